@@ -12,6 +12,7 @@ table; columns that clash with the output names are replaced."""
 from __future__ import annotations
 
 import base64
+import gc
 import heapq
 import re
 from collections.abc import Callable
@@ -25,7 +26,9 @@ from pyspark.sql import types as T
 from .common import add_columns, read_table, texts
 
 #: A task forgets its spelled chunks beyond this many, so its memory is bounded whatever the corpus.
-MAX_CHUNKS = 400_000
+MAX_CHUNKS = 300_000
+#: Characters of text that a task cuts at once.
+SLICE = 4_000_000
 #: A blank that cannot open a piece of its own: white space or the end follows it.
 LOOSE_BLANK = re.compile(r" (?:\s|\Z)")
 
@@ -41,99 +44,124 @@ def read_ranks(path: str) -> list[bytes]:
 
 
 class MergeReplay:
-    """Encodes lists of words together by replaying the merges in rank order over an inverted index."""
+    """Encodes lists of words together by replaying the merges in rank order over an inverted index.
+
+    The words' symbols stand in flat arrays linked to their neighbours; ``index`` maps a merge, known by the
+    id it makes, to the positions where its pair begins; a merge is applied to all of them in array
+    operations, or one by one where its pairs overlap."""
 
     def __init__(self, tokens: list[bytes]):
         self.tokens = tokens
         self.rank = {t: i for i, t in enumerate(tokens) if t}
-        self.byte = [self.rank[bytes([b])] for b in range(256)]
-        self.pairs: dict[tuple[int, int], int] = {}
-
-    def merged(self, a: int, b: int) -> int:
-        """The id of the token that a followed by b spells, or -1."""
-        r = self.pairs.get((a, b))
-        if r is None:
-            if len(self.pairs) > MAX_CHUNKS:
-                self.pairs.clear()
-            r = self.pairs[a, b] = self.rank.get(self.tokens[a] + self.tokens[b], -1)
-        return r
-
-    def encode(self, words: list[bytes]) -> list[list[int]]:
-        symbol: list[int] = []
-        after: list[int] = []
-        before: list[int] = []
-        word_of: list[int] = []
-        start: list[int] = []
-        whole: dict[int, int] = {}
+        self.byte = np.array([self.rank[bytes([b])] for b in range(256)], np.int64)
+        # every way to cut a token into two tokens, by (left << 32 | right)
+        cuts = [(self.rank[t[:k]] << 32 | self.rank[t[k:]], i) for t, i in self.rank.items() for k in range(1, len(t)) if t[:k] in self.rank and t[k:] in self.rank]
+        pairs = np.array(sorted(cuts), np.int64).reshape(-1, 2)
+        self.pair, self.made = np.ascontiguousarray(pairs[:, 0]), np.ascontiguousarray(pairs[:, 1])
+
+    def merged(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The ids of the tokens that a followed by b spell, or -1."""
+        code = a << 32 | b
+        at = np.minimum(np.searchsorted(self.pair, code), len(self.pair) - 1)
+        return np.where(self.pair[at] == code, self.made[at], -1)
+
+    def encode(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each word, as little-endian 32-bit integers."""
+        out = [b""] * len(words)
+        todo = []
         for w, word in enumerate(words):
-            start.append(len(symbol))
             if (r := self.rank.get(word)) is not None:
-                whole[w] = r
-                continue
-            at = len(symbol)
-            symbol.extend(map(self.byte.__getitem__, word))
-            n = len(symbol)
-            after.extend(range(at + 1, n + 1))
-            before.extend(range(at - 1, n - 1))
-            word_of.extend([w] * (n - at))
-            if n > at:
-                after[-1] = before[at] = -1
+                out[w] = r.to_bytes(4, "little")
+            elif word:
+                todo.append(w)
+        if todo:
+            ids, counts, strayed = self.replay([words[w] for w in todo])
+            flat, ends = ids.astype("<i4").tobytes(), (4 * np.cumsum(counts)).tolist()
+            start = 0
+            for w, end in zip(todo, ends, strict=True):
+                out[w] = flat[start:end]
+                start = end
+            for k in strayed:
+                out[todo[k]] = np.array(self.encode_one(words[todo[k]]), "<i4").tobytes()
+        return out
+
+    def replay(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, set[int]]:
+        """The ids of all words in a row, the number of each, and the words in which a merge opened one of
+        lower rank, so that the order over the corpus is not the word's own."""
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        symbol = self.byte[np.frombuffer(b"".join(words), np.uint8)]
+        n, ends = len(symbol), np.cumsum(sizes)
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        after[ends - 1] = before[ends - sizes] = -1
+        word_of = np.repeat(np.arange(len(words)), sizes)
+        made = np.full(n, -1)  # by position, the merge that its pair would be
+        first = np.flatnonzero(after >= 0)
+        made[first] = self.merged(symbol[first], symbol[first + 1])
         index: dict[int, list[int]] = {}
-        for p, q in enumerate(after):
-            if q >= 0 and (r := self.merged(symbol[p], symbol[q])) >= 0:
-                index.setdefault(r, []).append(p)
+        first = first[made[first] >= 0]
+        first = first[np.argsort(made[first], kind="stable")]
+        at = np.flatnonzero(np.diff(made[first], prepend=-1)).tolist()
+        for i, j in zip(at, [*at[1:], len(first)], strict=False):
+            index[int(made[first[i]])] = first[i:j].tolist()
         due = list(index)
         heapq.heapify(due)
         strayed: set[int] = set()
         while due:
             r = heapq.heappop(due)
-            for p in sorted(index.pop(r)):
+            places = sorted(set(index.pop(r)))
+            p = np.array(places)
+            p = p[made[p] == r]
+            if len(p) > 1 and (after[p[:-1]] == p[1:]).any():
+                steps = [p[i : i + 1] for i in range(len(p))]  # pairs overlap: leftmost first
+            else:
+                steps = [p]
+            for p in steps:
+                p = p[made[p] == r]
+                if not len(p):
+                    continue
                 q = after[p]
-                if symbol[p] < 0 or q < 0 or self.merged(symbol[p], symbol[q]) != r:
+                z = after[q]
+                symbol[p], symbol[q], made[q], after[p] = r, -1, -1, z
+                right = z >= 0
+                before[z[right]] = p[right]
+                b = before[p]
+                left = b >= 0
+                starts = np.concatenate([b[left], p[right]])
+                made[p] = -1
+                if not len(starts):
                     continue
-                symbol[p], symbol[q] = r, -1
-                after[p] = z = after[q]
-                if z >= 0:
-                    before[z] = p
-                for left, right in ((before[p], p), (p, z)):
-                    if left >= 0 and right >= 0 and (s := self.merged(symbol[left], symbol[right])) >= 0:
-                        if s < r:  # rank order over the corpus and within the word could differ from here
-                            strayed.add(word_of[p])
-                        if s not in index:
-                            index[s] = []
+                new = self.merged(symbol[starts], symbol[after[starts]])
+                made[starts] = new
+                for s, x in zip(new.tolist(), starts.tolist(), strict=True):
+                    if s >= 0:
+                        if s < r:
+                            strayed.add(int(word_of[x]))
+                        if s in index:
+                            index[s].append(x)
+                        else:
+                            index[s] = [x]
                             heapq.heappush(due, s)
-                        index[s].append(left)
-        out = []
-        for w, word in enumerate(words):
-            if w in whole:
-                out.append([whole[w]])
-            elif w in strayed:
-                out.append(self.encode_one(word))
-            else:
-                ids, p = [], start[w] if word else -1
-                while p >= 0:
-                    ids.append(symbol[p])
-                    p = after[p]
-                out.append(ids)
-        return out
+        alive = symbol >= 0
+        return symbol[alive], np.bincount(word_of[alive], minlength=len(words)), strayed
 
     def encode_one(self, word: bytes) -> list[int]:
         """One word with its merges in its own order of rank, leftmost first."""
-        parts = [self.byte[b] for b in word]
+        parts = [int(self.byte[b]) for b in word]
         after, before = [*range(1, len(parts)), -1], [*range(-1, len(parts) - 1)]
-        due = [(r, p) for p, (a, b) in enumerate(zip(parts, parts[1:], strict=False)) if (r := self.merged(a, b)) >= 0]
+        spell = lambda a, b: self.rank.get(self.tokens[parts[a]] + self.tokens[parts[b]], -1) if a >= 0 and b >= 0 and parts[a] >= 0 else -1
+        due = [(r, p) for p in range(len(parts)) if (r := spell(p, after[p])) >= 0]
         heapq.heapify(due)
         while due:
             r, p = heapq.heappop(due)
             q = after[p]
-            if parts[p] < 0 or q < 0 or self.merged(parts[p], parts[q]) != r:
+            if spell(p, q) != r:
                 continue
             parts[p], parts[q] = r, -1
             after[p] = z = after[q]
             if z >= 0:
                 before[z] = p
             for left, right in ((before[p], p), (p, z)):
-                if left >= 0 and right >= 0 and (s := self.merged(parts[left], parts[right])) >= 0:
+                if (s := spell(left, right)) >= 0:
                     heapq.heappush(due, (s, left))
         return [s for s in parts if s >= 0]
 
@@ -143,15 +171,19 @@ class Speller:
 
     A blank followed by anything but white space always opens a new piece of the pattern, so the text may
     be cut there and each distinct chunk handled once. ``lead`` holds chunks at a text's start, ``rest``
-    those that follow a blank."""
+    those that follow a blank, ``words`` the pattern's pieces."""
 
     def __init__(self, tokens: list[bytes], pattern: str):
         import regex
 
         self.split = regex.compile(pattern).findall
         self.replay = MergeReplay(tokens)
+        self.forget()
+
+    def forget(self) -> None:
         self.lead: dict[str, bytes] = {"": b""}
         self.rest: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
 
     @staticmethod
     def chunks(text: str) -> list[str]:
@@ -166,47 +198,66 @@ class Speller:
                 out.append(part)
         return out
 
+    def pieces(self, chunk: str) -> list[str]:
+        """The pattern's matches in a chunk with its blank; most are letters with one mark at the end."""
+        if chunk.isalpha():
+            return [" " + chunk]
+        if chunk[-1] in ".,;:!?" and chunk[:-1].isalpha():
+            return [" " + chunk[:-1], chunk[-1]]
+        return self.split(" " + chunk)
+
     def learn(self, lead: set[str], rest: set[str]) -> None:
-        if len(self.lead) + len(self.rest) > MAX_CHUNKS:
-            self.lead, self.rest = {"": b""}, {}
-        pieces = [(self.lead, c, self.split(c)) for c in lead] + [(self.rest, c, self.split(" " + c)) for c in rest]
-        words = list(dict.fromkeys(w for _, _, ws in pieces for w in ws))
-        spelled = dict(zip(words, self.replay.encode([w.encode() for w in words]), strict=True))
-        for table, chunk, ws in pieces:
-            table[chunk] = np.array([i for w in ws for i in spelled[w]], "<i4").tobytes()
+        cut = [[*map(self.split, lead), *map(self.pieces, rest)]]
+        new = list({w for ws in cut[0] for w in ws}.difference(self.words))
+        self.words.update(zip(new, self.replay.encode([w.encode() for w in new]), strict=True))
+        spelled = self.words.__getitem__
+        joined = [spelled(ws[0]) if len(ws) == 1 else b"".join(map(spelled, ws)) for ws in cut.pop()]
+        self.lead.update(zip(lead, joined, strict=False))
+        self.rest.update(zip(rest, joined[len(lead) :], strict=True))
 
     def __call__(self, batch: list[str]) -> list[bytes]:
-        cut = [self.chunks(t) for t in batch]
-        out: list[bytes | None] = [None] * len(cut)
+        gc.disable()  # millions of short-lived strings and no cycles
+        try:
+            return self.spell(batch)
+        finally:
+            gc.enable()
+
+    def spell(self, batch: list[str]) -> list[bytes]:
+        out: list[bytes] = []
         at = 0
-        while at < len(cut):  # blocks of a bounded number of new chunks, so that a table reset stays safe
-            lead: set[str] = set()
-            rest: set[str] = set()
-            end = at
-            while end < len(cut) and len(lead) + len(rest) < MAX_CHUNKS // 4:
-                if cut[end][0] not in self.lead:
-                    lead.add(cut[end][0])
-                rest.update(c for c in cut[end][1:] if c not in self.rest)
-                end += 1
+        while at < len(batch):
+            if len(self.lead) + len(self.rest) > MAX_CHUNKS:
+                self.forget()
+            cut, size = [], 0
+            while at < len(batch) and size < SLICE:
+                cut.append(self.chunks(batch[at]))
+                size += len(batch[at])
+                at += 1
+            lead = {c[0] for c in cut} - self.lead.keys()
+            rest = {x for c in cut for x in c[1:]} - self.rest.keys()
             if lead or rest:
-                if len(self.lead) + len(self.rest) > MAX_CHUNKS:
-                    self.lead, self.rest = {"": b""}, {}
-                    lead = {c[0] for c in cut[at:end]} - {""}
-                    rest = {x for c in cut[at:end] for x in c[1:]}
                 self.learn(lead, rest)
-            for k in range(at, end):
-                out[k] = b"".join([self.lead[cut[k][0]], *map(self.rest.__getitem__, cut[k][1:])])
-                cut[k] = []
-            at = end
+            out.extend(b"".join([self.lead[c[0]], *map(self.rest.__getitem__, c[1:])]) for c in cut)
         return out
 
 
+#: The spellers of this worker process: tasks that follow one another go on with what was learnt.
+SPELLERS: dict[tuple[str, str], Speller] = {}
+
+
+def speller(ranks: str, pattern: str) -> Speller:
+    if (ranks, pattern) not in SPELLERS:
+        SPELLERS.clear()
+        SPELLERS[ranks, pattern] = Speller(read_ranks(ranks), pattern)
+    return SPELLERS[ranks, pattern]
+
+
 def encode(df: DataFrame, ranks: str, pattern: str, text_col: str = "text", out_col: str = "token_ids") -> DataFrame:
     """``df`` with ``out_col`` array<int>: the ids of each text by the rank file ``ranks``, each match of
     ``pattern`` encoded separately, no special tokens."""
 
     def make() -> Callable:
-        spell = Speller(read_ranks(ranks), pattern)
+        spell = speller(ranks, pattern)
 
         def kernel(column: pa.Array) -> list:
             ids = spell(texts(column))

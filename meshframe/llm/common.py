@@ -56,12 +56,21 @@ def add_columns(df: DataFrame, source: str, fields: T.StructType, make: Callable
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kernel = make()
         for batch in batches:
-            made = kernel(batch.column(len(kept)))
-            yield pa.RecordBatch.from_arrays(list(batch.columns[: len(kept)]) + made, names=kept + names)
+            for part in slices(batch):
+                made = kernel(part.column(len(kept)))
+                yield pa.RecordBatch.from_arrays(list(part.columns[: len(kept)]) + made, names=kept + names)
 
     return wide.mapInArrow(run, schema)
 
 
+def slices(batch: pa.RecordBatch, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Runs of a batch's rows of about ``size`` bytes each, so that a kernel's memory doesn't follow the
+    size of batches."""
+    step = max(1, batch.num_rows * size // max(1, batch.nbytes))
+    for at in range(0, batch.num_rows, step):
+        yield batch.slice(at, step)
+
+
 def utf8(array: pa.Array) -> list[bytes]:
     """Text cells as UTF-8 bytes, null as empty, without passing through ``str``."""
     kind = pa.large_binary() if pa.types.is_large_string(array.type) or pa.types.is_large_binary(array.type) else pa.binary()

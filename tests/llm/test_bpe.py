@@ -44,11 +44,13 @@ def test_any_texts_as_the_library(texts):
 def test_replay_agrees_with_single_words():
     replay = bpe.MergeReplay(bpe.read_ranks(RANKS))
     words = [b"", b"a", b"lowest", b"newest", "žluťoučký".encode(), b"aaaaaaaaaaa", bytes(range(256)), b"abcabcabcabd" * 40]
-    assert replay.encode(words) == [replay.encode_one(w) for w in words]
+    assert [list(memoryview(b).cast("i")) for b in replay.encode(words)] == [replay.encode_one(w) for w in words]
+    assert [bpe.read_ranks(RANKS)[i] for i in replay.encode_one(words[3])] and replay.encode([]) == []
 
 
 def test_bounded_table(monkeypatch):
     monkeypatch.setattr(bpe, "MAX_CHUNKS", 8)
+    monkeypatch.setattr(bpe, "SLICE", 50)
     spell = bpe.Speller(bpe.read_ranks(RANKS), P.PATTERN)
     texts = [f"word{i} other{i % 3} {'x' * i}" for i in range(60)]
     assert ids(spell, texts + texts) == [LIBRARY[RANKS].encode_ordinary(t) for t in texts + texts]
