@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import add_columns, materialise, read_table, utf8, without
+from .common import add_columns, materialise, read_table, slices, utf8, without
 
 MATCH = 400
 ANCHOR = 128
@@ -138,7 +138,7 @@ ANCHOR_ROW = "gram long, k1 long, k2 long, at int, lo int, hi int"
 
 def anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["gram", *KEYS, "at", "lo", "hi"]
-    for batch in batches:
+    for batch in (part for b in batches for part in slices(b)):
         i, gram, at, lo, hi = anchors(utf8(batch.column(2)))
         keys = [pa.array(batch.column(c).to_numpy(zero_copy_only=False)[i], pa.int64()) for c in (0, 1)]
         yield pa.RecordBatch.from_arrays([pa.array(gram, pa.int64()), *keys, *(pa.array(x.astype(np.int32)) for x in (at, lo, hi))], names=names)
@@ -149,7 +149,7 @@ SUFFIX_ROW = "k1 long, k2 long, at int, lo int, before binary, suffix binary"
 
 def suffix_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The suffix at each marked anchor of a text and the bytes before it, as far as its windows go."""
-    for batch in batches:
+    for batch in (part for b in batches for part in slices(b)):
         k1, k2, text, marked = (batch.column(c).to_pylist() for c in range(4))
         rows: list[tuple] = []
         size = 0
@@ -158,7 +158,7 @@ def suffix_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 p, lo, hi = m["at"], m["lo"], m["hi"]
                 rows.append((a, b, p, lo, t[lo:p], t[p : hi + MATCH]))
                 size += hi + MATCH - lo
-                if size > 1 << 24:
+                if size > 1 << 22:
                     yield to_batch(rows, SUFFIX_ROW)
                     rows, size = [], 0
         if rows:
@@ -260,7 +260,7 @@ def bucket_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 rows.extend((k1, k2, int(at - o2 + 1), int(at - o1 + MATCH)) for o1, o2 in zip(edge[::2], edge[1::2], strict=True))
         return rows
 
-    for batch in batches:
+    for batch in (part for b in batches for part in slices(b)):
         for k1, k2, at, _, before, suffix in zip(*(batch.column(c).to_pylist() for c in range(6)), strict=True):
             mark = suffix[:ANCHOR]
             if mark != lead:
@@ -288,7 +288,7 @@ def digest_rows(single: bool) -> Callable:
     """Digests of whole contexts (before, suffix), or with ``single`` of each of their windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for b in batches for part in slices(b)):
             rows: list[tuple] = []
             for k1, k2, at, lo, before, suffix in zip(*(batch.column(c).to_pylist() for c in range(6)), strict=True):
                 whole = before + suffix
@@ -376,6 +376,12 @@ def cut(texts: DataFrame, hot: int = HOT) -> DataFrame:
     return add_columns(joined, "held", T.StructType([T.StructField("kept", T.BinaryType()), T.StructField("removed", SPANS)]), make, drop_source=True)
 
 
+def as_text(df: DataFrame, bytes_col: str, out_col: str) -> DataFrame:
+    """``df`` with kept bytes as text in place of the bytes; a character that an edge cut is left out."""
+    make = lambda: lambda column: [pa.array([b.decode("utf-8", "ignore") for b in utf8(column)], pa.string())]
+    return add_columns(df, bytes_col, T.StructType([T.StructField(out_col, T.StringType())]), make, drop_source=True)
+
+
 def remove_repeats(df: DataFrame, text_col: str = "text", hot: int = HOT) -> DataFrame:
     """``df`` with ``kept`` and ``removed`` for each row's text; columns of those names are replaced."""
     results = cut(distinct_texts(df, text_col), hot)
