@@ -112,7 +112,8 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def link(marked: DataFrame) -> DataFrame:
-    """``marked`` (doc_id, fp) with ``component_id``, the smallest doc_id reachable over links."""
+    """``marked`` (doc_id, fp) with ``component_id``, the smallest doc_id reachable over links, and
+    ``_root``, the component's smallest fingerprint."""
     spark = marked.sparkSession
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(shared_folder(spark))
@@ -122,7 +123,8 @@ def link(marked: DataFrame) -> DataFrame:
     least = rooted.where("root <> fp").groupBy("root").agg(F.min("low").alias("other"))
     named = rooted.join(least, "root", "left").select("fp", F.least("low", "other").alias("own"), "root")
     heads = named.where("root = fp").select("root", F.col("own").alias("component_id"))
-    lookup = named.where("root <> fp").select("fp", "root").join(heads, "root").select("fp", "component_id").unionByName(heads.withColumnRenamed("root", "fp"))
+    others = named.where("root <> fp").select("fp", "root").join(heads, "root")
+    lookup = others.unionByName(heads.withColumn("fp", F.col("root"))).withColumnRenamed("root", "_root")
     return marked.join(lookup, "fp")
 
 
