@@ -83,7 +83,7 @@ def dihedral_angle(a: Column, b: Column, p: Column, q: Column) -> Column:
     edge = sub(b, a)
     u, w = cross(edge, sub(p, a)), cross(edge, sub(q, a))  # the perpendicular parts, turned and scaled alike
     length, lu, lw = norm(edge), norm(u), norm(w)
-    angle = F.acos(clamp(dot(u, w) / (lu * lw), -1.0, 1.0))
+    angle = F.acos(clamp(F.try_divide(dot(u, w), lu * lw), -1.0, 1.0))
     return F.when((length < 1e-14) | (F.least(lu, lw) < 1e-14 * length), F.lit(0.0)).otherwise(angle)
 
 
@@ -97,7 +97,7 @@ def volume(a: Column, b: Column, c: Column, d: Column) -> Column:
 
 def gradients(a: Column, b: Column, c: Column, d: Column) -> list[Vec]:
     """The gradients of the four barycentric coordinates: opposite-face normals over six volumes."""
-    inverse = 1 / signed_volume6(a, b, c, d)
+    inverse = F.try_divide(F.lit(1.0), signed_volume6(a, b, c, d))
     faces = [cross(sub(d, b), sub(c, b)), cross(sub(c, a), sub(d, a)), cross(sub(d, a), sub(b, a)), cross(sub(b, a), sub(c, a))]
     return [scale(f, inverse) for f in faces]
 
@@ -107,7 +107,7 @@ def tet_coordinates(p: Column, a: Column, b: Column, c: Column, d: Column) -> tu
     or the tet is flat."""
     whole = signed_volume6(a, b, c, d)
     flat = F.least(*[dot(n, n) for n in (cross(sub(c, b), sub(d, b)), cross(sub(c, a), sub(d, a)), cross(sub(b, a), sub(d, a)))]) < 1e-20
-    first = [signed_volume6(p, b, c, d) / whole, signed_volume6(a, p, c, d) / whole, signed_volume6(a, b, p, d) / whole]
+    first = [F.try_divide(signed_volume6(*q), whole) for q in ((p, b, c, d), (a, p, c, d), (a, b, p, d))]
     all4 = [*first, 1 - first[0] - first[1] - first[2]]
     least = F.least(*all4)
     return F.when(flat | (whole == 0) | (least < 0), F.lit(-1.0)).otherwise(least), all4
@@ -117,7 +117,7 @@ def edge_weight(p: Column, a: Column, b: Column) -> Column:
     """The weight of b when p is projected on edge a-b and clamped to it; 0 on an edge without length."""
     e = sub(b, a)
     square = dot(e, e)
-    return F.when(square > 1e-20, clamp(dot(sub(p, a), e) / square, 0.0, 1.0)).otherwise(F.lit(0.0))
+    return F.when(square > 1e-20, clamp(F.try_divide(dot(sub(p, a), e), square), 0.0, 1.0)).otherwise(F.lit(0.0))
 
 
 def edge_distance(p: Column, a: Column, b: Column) -> Column:
@@ -129,17 +129,17 @@ def triangle_projection(p: Column, a: Column, b: Column, c: Column) -> tuple[Col
     s, t, r = sub(b, a), sub(c, a), sub(p, a)
     ss, st, tt, rs, rt = dot(s, s), dot(s, t), dot(t, t), dot(r, s), dot(r, t)
     denominator = ss * tt - st * st
-    v, w = (tt * rs - st * rt) / denominator, (ss * rt - st * rs) / denominator
+    v, w = F.try_divide(tt * rs - st * rt, denominator), F.try_divide(ss * rt - st * rs, denominator)
     weights = [1 - v - w, v, w]
     degenerate = F.abs(denominator) < 1e-12
     normal = cross(s, t)
     inside = ~degenerate & (F.least(*weights) >= -1e-5)
-    return degenerate, F.when(inside, F.abs(dot(normal, r)) / norm(normal)), weights
+    return degenerate, F.when(inside, F.try_divide(F.abs(dot(normal, r)), norm(normal))), weights
 
 
 def safe_inverse(c: Column, epsilon: float) -> Column:
     """1/c, or 0 where c is within epsilon of 0."""
-    return F.when(F.abs(c) > epsilon, 1 / c).otherwise(F.lit(0.0))
+    return F.when(F.abs(c) > epsilon, F.try_divide(F.lit(1.0), c)).otherwise(F.lit(0.0))
 
 
 def chebyshev_omegas(largest: float, degree: int = 2) -> list[float]:

@@ -66,7 +66,7 @@ def sharpness(vertices: DataFrame, exterior: DataFrame, ext_edges: DataFrame, ed
     raw = G.cross(G.sub(b, a), G.sub(w, a))
     flip = F.when(F.col("p_k").isNotNull() & (G.dot(raw, G.sub(k, a)) > 0), F.lit(-1.0)).otherwise(F.lit(1.0))
     sized = placed.join(at, "k", "left").select("a", "b", "side", raw.alias("raw"), G.norm(raw).alias("size"), flip.alias("flip"))
-    normals = sized.select("a", "b", "side", "size", G.scale(F.col("raw"), F.col("flip") / F.col("size")).alias("n"))
+    normals = sized.select("a", "b", "side", "size", G.scale(F.col("raw"), F.try_divide("flip", "size")).alias("n"))
     pair = normals.groupBy("a", "b").agg(F.min("size").alias("size"), *[F.min(F.when(F.col("side") == s, F.col("n"))).alias(f"n{s}") for s in (0, 1)]).where("size >= 1e-14")
     angle = F.acos(G.clamp(G.dot(F.col("n0"), F.col("n1")), -1.0, 1.0))
     sums = pair.select(F.explode(F.array("a", "b")).alias("vid"), angle.alias("angle")).groupBy("vid").agg(F.sum("angle").alias("feature"))
@@ -74,9 +74,10 @@ def sharpness(vertices: DataFrame, exterior: DataFrame, ext_edges: DataFrame, ed
 
 
 def by_feature(features: DataFrame) -> DataFrame:
-    """(vid, feature, rank): exterior vertices, sharpest first, ties by id; the surface's order in sampling.
+    """(vid, feature, rank): exterior vertices, sharpest first, ties (to six digits, since angles near zero are
+    only so exact) by id; the surface's order in sampling.
     Ranks come from a range partitioning and counts per partition, not from one sorted task."""
-    return ranked(features.withColumn("key", F.round("feature", 9)), [F.desc("key"), F.col("vid")]).drop("key")
+    return ranked(features.withColumn("key", F.round("feature", 6)), [F.desc("key"), F.col("vid")]).drop("key")
 
 
 def ranked(df: DataFrame, order: list) -> DataFrame:

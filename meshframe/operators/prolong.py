@@ -95,7 +95,8 @@ def inverse_distance(df: DataFrame) -> DataFrame:
     """Rows (f, to, d, r) with ``v``: 1/d over its sum for each f, or 1 on the first hit (d < 1e-12)."""
     each = Window.partitionBy("f")
     hit = F.min(F.when(F.col("d") < TINY, F.col("r"))).over(each)
-    share = (1 / F.col("d")) / F.sum(F.when(F.col("d") >= TINY, 1 / F.col("d"))).over(each)
+    inverse = F.try_divide(F.lit(1.0), F.col("d"))
+    share = inverse / F.sum(F.when(F.col("d") >= TINY, inverse)).over(each)
     return df.withColumn("v", F.when(hit.isNotNull(), F.when(hit == F.col("r"), 1.0).otherwise(0.0)).otherwise(share))
 
 

@@ -11,7 +11,7 @@ def residual_curve(history: DataFrame) -> DataFrame:
     over the running time. Windows run inside one problem's cycles, which a solve bounds."""
     order = Window.partitionBy("problem").orderBy("cycle")
     running = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    relative = F.col("residual") / F.first("residual").over(order)
+    relative = F.try_divide(F.col("residual"), F.first("residual").over(order))
     return history.select("problem", "cycle", (F.sum("cycle_ms").over(running) / 1000).alias("seconds"), F.when(relative > 0, relative).otherwise(1e-16).alias("relative"))
 
 
