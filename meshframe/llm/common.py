@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -25,15 +26,45 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def materialise(df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:
+#: Paths and tables that hold intermediate results, by the application that made them.
+TEMPORARY: dict[str, list[tuple[str, str]]] = {}
+
+
+def temporary(spark: SparkSession, kind: str, name: str) -> str:
+    TEMPORARY.setdefault(spark.sparkContext.applicationId, []).append((kind, name))
+    return name
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the intermediate results made so far; only for a caller whose results are all written."""
+    for kind, name in TEMPORARY.pop(spark.sparkContext.applicationId, []):
+        if kind == "table":
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+        else:
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def materialise(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back, which cuts the lineage and
-    lets later stages restart from files any executor can reach."""
+    lets later stages restart from files any executor can reach. ``release`` deletes it unless kept."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path, partitionBy=partition_by)
+    if not keep:
+        temporary(spark, "path", path)
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def trim() -> None:
+    """Give memory that a task freed back to the system; a worker process lives on for other tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # not glibc
+        pass
+
+
 def without(df: DataFrame, names: list[str]) -> DataFrame:
     """``df`` without the columns whose names (case aside) are about to be produced."""
     taken = {n.lower() for n in names}
@@ -59,6 +90,8 @@ def add_columns(df: DataFrame, source: str, fields: T.StructType, make: Callable
             for part in slices(batch):
                 made = kernel(part.column(len(kept)))
                 yield pa.RecordBatch.from_arrays(list(part.columns[: len(kept)]) + made, names=kept + names)
+                del made
+        trim()
 
     return wide.mapInArrow(run, schema)
 

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import add_columns, materialise, read_table, slices, utf8, without
+from .common import add_columns, materialise, read_table, slices, temporary, utf8, without
 
 MATCH = 400
 ANCHOR = 128
@@ -58,7 +58,7 @@ def with_keys(df: DataFrame, text_col: str = "text") -> DataFrame:
 def distinct_texts(df: DataFrame, text_col: str = "text") -> DataFrame:
     """Table (k1, k2, copies, text) of the distinct texts, bucketed by key in the warehouse."""
     spark = df.sparkSession
-    name = f"meshframe_texts_{uuid.uuid4().hex}"
+    name = temporary(spark, "table", f"meshframe_texts_{uuid.uuid4().hex}")
     plain = df.select(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     grouped = with_keys(plain).groupBy(*KEYS).agg(F.count("*").alias("copies"), F.first("text").alias("text"))
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -321,7 +321,7 @@ def hot_spans(suffixes: DataFrame) -> DataFrame:
 def repeated_spans(texts: DataFrame, hot: int = HOT) -> DataFrame:
     """(k1, k2, start, end): spans of ``texts`` (distinct) whose union is what MATCH-byte repeats cover."""
     found = materialise(texts.select(*KEYS, "text").mapInArrow(anchor_rows, ANCHOR_ROW), "anchors")
-    counts = found.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1")
+    counts = materialise(found.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1"), "grams")  # so that the join can split a hot gram
     marked = found.join(counts, "gram").select(*KEYS, F.struct("at", "lo", "hi").alias("m"), (F.col("n") > hot).alias("is_hot"))
     listed = marked.groupBy(*KEYS).agg(F.collect_list(F.when(~F.col("is_hot"), F.col("m"))).alias("few"), F.collect_list(F.when(F.col("is_hot"), F.col("m"))).alias("many"))
     listed = materialise(listed, "marked")
