@@ -30,7 +30,7 @@ PERIOD = 1_000
 #: Without given weights a source's weight is its number of documents to this power.
 TEMPERATURE = 0.5
 #: Documents of a hash bucket, about.
-BUCKET = 20_000
+BUCKET = 2_000
 ADDED = ["block", "slot", "phase", "lag"]
 
 
