@@ -8,7 +8,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 AXES = ("x", "y", "z")
@@ -102,15 +102,21 @@ def gradients(a: Column, b: Column, c: Column, d: Column) -> list[Vec]:
     return [scale(f, inverse) for f in faces]
 
 
-def tet_coordinates(p: Column, a: Column, b: Column, c: Column, d: Column) -> tuple[Column, list[Column]]:
-    """(metric, coordinates) of p in a tet: the smallest barycentric coordinate, or -1 when p is outside
-    or the tet is flat."""
-    whole = signed_volume6(a, b, c, d)
-    flat = F.least(*[dot(n, n) for n in (cross(sub(c, b), sub(d, b)), cross(sub(c, a), sub(d, a)), cross(sub(b, a), sub(d, a)))]) < 1e-20
-    first = [F.try_divide(signed_volume6(*q), whole) for q in ((p, b, c, d), (a, p, c, d), (a, b, p, d))]
-    all4 = [*first, 1 - first[0] - first[1] - first[2]]
-    least = F.least(*all4)
-    return F.when(flat | (whole == 0) | (least < 0), F.lit(-1.0)).otherwise(least), all4
+def with_tet_coordinates(df: DataFrame, p: str, corners: list[str]) -> DataFrame:
+    """``df`` with ``w0``..``w3``, the barycentric coordinates of point column ``p`` in the tet of ``corners``
+    (the first by complement), and ``metric``: the smallest of them, or -1 when p is outside or the tet is
+    flat. The steps are columns of their own, so that no part is worked out twice."""
+    a, b, c, d = (F.col(k) for k in corners)
+    col = F.col
+    steps = df.withColumns({"_b": sub(b, a).struct(), "_c": sub(c, a).struct(), "_d": sub(d, a).struct(), "_r": sub(col(p), a).struct()})
+    steps = steps.withColumns({"_nb": cross(col("_c"), col("_d")).struct(), "_nc": cross(col("_d"), col("_b")).struct(), "_nd": cross(col("_b"), col("_c")).struct()})
+    steps = steps.withColumn("_whole", dot(col("_b"), col("_nb")))
+    steps = steps.withColumns({f"w{i}": F.try_divide(dot(col("_r"), col(n)), col("_whole")) for i, n in ((1, "_nb"), (2, "_nc"), (3, "_nd"))})
+    steps = steps.withColumn("w0", 1 - col("w1") - col("w2") - col("w3"))
+    flat = F.least(*[dot(col(n), col(n)) for n in ("_nb", "_nc", "_nd")]) < 1e-20
+    least = F.least("w0", "w1", "w2", "w3")
+    metric = F.when(flat | (col("_whole") == 0) | (least < 0), F.lit(-1.0)).otherwise(least)
+    return steps.withColumn("metric", metric).drop("_b", "_c", "_d", "_r", "_nb", "_nc", "_nd", "_whole")
 
 
 def edge_weight(p: Column, a: Column, b: Column) -> Column:

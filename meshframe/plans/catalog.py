@@ -396,8 +396,7 @@ def best_tet_per_point(spark, sf_dir):
     v, t = orders.order_mesh(spark, sf_dir)
     corners = topology.tet_points(t, v).withColumn("g", F.floor(F.col("v0") / 40))
     points = labels(spark, sf_dir).join(v, "vid").select("vid", F.col("coarse_id").alias("g"), G.point(F.col("x"), F.col("y"), F.col("z")).alias("p"))
-    metric, _ = G.tet_coordinates(F.col("p"), *[F.col(f"p{i}") for i in range(4)])
-    hits = points.join(corners, "g").select("vid", "tid", r6(metric).alias("metric")).where("metric > -0.5")
+    hits = G.with_tet_coordinates(points.join(corners, "g"), "p", [f"p{i}" for i in range(4)]).select("vid", "tid", r6("metric").alias("metric")).where("metric > -0.5")
     return hits.groupBy("vid").agg(F.min(F.struct("metric", "tid")).alias("top")).select("vid", "top.tid", "top.metric")
 
 

@@ -117,9 +117,12 @@ SPOTS = "spot AS (SELECT vid, x AS qx, y AS qy, z AS qz, vid // 40 AS g FROM pts
 
 
 def inside() -> str:
-    whole = volume6("p0", "p1", "p2", "p3")
-    flat = "least(" + ", ".join(dot(n, n) for n in (cross(sub("p2", "p1"), sub("p3", "p1")), cross(sub("p2", "p0"), sub("p3", "p0")), cross(sub("p1", "p0"), sub("p3", "p0")))) + ") < 1e-20"
-    return f"hit AS (SELECT vid, tid, {flat} OR {whole} = 0 AS flat, {volume6('q', 'p1', 'p2', 'p3')} / {whole} AS w0, {volume6('p0', 'q', 'p2', 'p3')} / {whole} AS w1, {volume6('p0', 'p1', 'q', 'p3')} / {whole} AS w2 FROM spot JOIN corner USING (g))"
+    e, r = [sub(f"p{i}", "p0") for i in (1, 2, 3)], sub("q", "p0")
+    n = [cross(e[1], e[2]), cross(e[2], e[0]), cross(e[0], e[1])]
+    whole = dot(e[0], n[0])
+    flat = "least(" + ", ".join(dot(x, x) for x in n) + ") < 1e-20"
+    weights = ", ".join(f"{dot(r, x)} / {whole} AS w{i}" for i, x in enumerate(n))
+    return f"hit AS (SELECT vid, tid, {flat} OR {whole} = 0 AS flat, {weights} FROM spot JOIN corner USING (g))"
 
 
 def projected() -> str:
