@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from .common import add_columns, read_table, texts
 
 #: A task forgets its spelled chunks beyond this many, so its memory is bounded whatever the corpus.
-MAX_CHUNKS = 300_000
+MAX_CHUNKS = 240_000
 #: Characters of text that a task cuts at once.
 SLICE = 4_000_000
 #: A blank that cannot open a piece of its own: white space or the end follows it.
@@ -252,7 +252,7 @@ def speller(ranks: str, pattern: str) -> Speller:
     return SPELLERS[ranks, pattern]
 
 
-def encode(df: DataFrame, ranks: str, pattern: str, text_col: str = "text", out_col: str = "token_ids") -> DataFrame:
+def encode(df: DataFrame, ranks: str, pattern: str, text_col: str = "text", out_col: str = "token_ids", drop_text: bool = False) -> DataFrame:
     """``df`` with ``out_col`` array<int>: the ids of each text by the rank file ``ranks``, each match of
     ``pattern`` encoded separately, no special tokens."""
 
@@ -267,7 +267,7 @@ def encode(df: DataFrame, ranks: str, pattern: str, text_col: str = "text", out_
 
         return kernel
 
-    return add_columns(df, text_col, T.StructType([T.StructField(out_col, T.ArrayType(T.IntegerType()))]), make)
+    return add_columns(df, text_col, T.StructType([T.StructField(out_col, T.ArrayType(T.IntegerType()))]), make, drop_source=drop_text)
 
 
 def decode(df: DataFrame, ranks: str, ids_col: str = "token_ids", out_col: str = "decoded", drop_ids: bool = False) -> DataFrame:
@@ -290,7 +290,7 @@ def decode(df: DataFrame, ranks: str, ids_col: str = "token_ids", out_col: str =
 
 def digest(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
     """Per document: number of ids and digests of the ids and of the decoded bytes."""
-    ids = encode(docs.select("doc_id", "text"), ranks, pattern).drop("text")
+    ids = encode(docs.select("doc_id", "text"), ranks, pattern, drop_text=True)
     spelled = F.concat_ws(" ", F.col("token_ids").cast("array<string>"))
     counted = ids.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), F.sha2(spelled, 256).alias("ids_sha256"), "token_ids")
     return decode(counted, ranks, drop_ids=True).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))

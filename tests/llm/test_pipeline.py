@@ -46,6 +46,6 @@ def test_stages_with_odd_rows(spark):
             docs = stage(spark, docs, SF)
             if name != "tokens":
                 assert docs.columns == columns
-                docs = corpus_pipeline.common.materialise(docs, name)
+                docs = corpus_pipeline.common.materialise(docs, name, keep=True)
         got = sorted((r.doc_id or 0, r.n_tokens > 0) for r in docs.collect())
         assert got in ([(0, True), (2, True), (3, False)], [])
