@@ -1,6 +1,7 @@
 """From raw documents to token ids: language ID, near-duplicate removal, removal of long repeats, mixing of
 sources and byte-level BPE. Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 as Parquet and read again as the next stage's documents; all but the last return the columns of documents.
+A stage begins by deleting the intermediate files of those before it, whose results are written by then.
 
 * ``language`` drops documents without letters and those whose best language scores under MIN_SCORE.
 * ``near_duplicates`` keeps the document with the smallest doc_id of each SimHash component.
@@ -20,6 +21,7 @@ RANKS = "byte_bpe_50k.tiktoken"
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    common.release(spark)
     aside = {c: f"_own_{c}" for c in docs.columns if c in ("lang_pred", "score")}
     marked = language.predict(docs.withColumnsRenamed(aside), language.learn(docs))
     kept = marked.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= MIN_SCORE))
@@ -27,6 +29,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    common.release(spark)
     numbered = docs.withColumn("_row", F.monotonically_increasing_id())
     marked = common.materialise(simhash.fingerprints(numbered, out_col="_fp", keep_text=True), "near-duplicates")
     grouped = simhash.link(marked.select("doc_id", "_row", F.col("_fp").alias("fp")))
@@ -36,6 +39,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def repeat_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    common.release(spark)
     results = suffix.as_text(suffix.cut(suffix.distinct_texts(docs)), "kept", "_kept").select(*suffix.KEYS, "_kept")
     keyed = suffix.with_keys(docs.withColumnRenamed("text", "_text"), "_text").drop("_text")
     text = keyed.join(results, list(suffix.KEYS)).withColumn("text", F.col("_kept"))
@@ -43,15 +47,17 @@ def repeat_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    common.release(spark)
     return mixing.mix(docs)
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    common.release(spark)
     import public_tokenizers
 
     ranks = public_tokenizers.path(RANKS)
-    ids = bpe.encode(docs.select("doc_id", "lang", "source", "text"), ranks, public_tokenizers.PATTERN)
-    back = bpe.decode(ids.drop("text"), ranks)
+    ids = bpe.encode(docs.select("doc_id", "lang", "source", "text"), ranks, public_tokenizers.PATTERN, drop_text=True)
+    back = bpe.decode(ids, ranks)
     return back.select("doc_id", "lang", "source", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
@@ -65,5 +71,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = common.materialise(docs, name)
+            docs = common.materialise(docs, name, keep=True)
     return docs
