@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import add_columns, materialise, read_table, slices, temporary, utf8, without
+from .common import add_columns, materialise, read_table, slices, temporary, trim, utf8, without
 
 MATCH = 400
 ANCHOR = 128
@@ -142,6 +142,7 @@ def anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         i, gram, at, lo, hi = anchors(utf8(batch.column(2)))
         keys = [pa.array(batch.column(c).to_numpy(zero_copy_only=False)[i], pa.int64()) for c in (0, 1)]
         yield pa.RecordBatch.from_arrays([pa.array(gram, pa.int64()), *keys, *(pa.array(x.astype(np.int32)) for x in (at, lo, hi))], names=names)
+    trim()
 
 
 SUFFIX_ROW = "k1 long, k2 long, at int, lo int, before binary, suffix binary"
@@ -163,6 +164,7 @@ def suffix_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     rows, size = [], 0
         if rows:
             yield to_batch(rows, SUFFIX_ROW)
+    trim()
 
 
 ARROW = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
@@ -279,6 +281,8 @@ def bucket_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held += 1
     if groups and (rows := settle()):
         yield to_batch(rows, SPAN_ROW)
+    groups.clear()
+    trim()
 
 
 WINDOW_ROW = "d1 long, d2 long, k1 long, k2 long, start int, end int"
