@@ -4,7 +4,8 @@ as Parquet and read again as the next stage's documents; all but the last return
 A stage begins by deleting the intermediate files of those before it, whose results are written by then.
 
 * ``language`` drops documents without letters and those whose best language scores under MIN_SCORE.
-* ``near_duplicates`` keeps the document with the smallest doc_id of each SimHash component.
+* ``near_duplicates`` keeps the document with the smallest doc_id of each component of texts whose five-word shingles
+  have a Jaccard similarity of 0.8 or more.
 * ``repeats`` removes every byte inside a 400-byte string that occurs twice; a character cut by an edge goes.
 * ``mixing`` puts the documents in the order of the mix: files and rows follow its slots.
 * ``tokens`` encodes and decodes the texts and returns the ids."""
@@ -14,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshframe.llm import bpe, common, language, mixing, simhash, suffix
+from meshframe.llm import bpe, common, jaccard, language, mixing, suffix
 
 MIN_SCORE = 0.25
 RANKS = "byte_bpe_50k.tiktoken"
@@ -31,8 +32,8 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     common.release(spark)
     numbered = docs.withColumn("_row", F.monotonically_increasing_id())
-    marked = common.materialise(simhash.fingerprints(numbered, out_col="_fp", keep_text=True), "near-duplicates")
-    grouped = simhash.link(marked.select("doc_id", "_row", F.col("_fp").alias("fp")))
+    marked = common.materialise(jaccard.signatures(numbered), "near-duplicates")
+    grouped = jaccard.link(marked)
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("one")
     winners = grouped.groupBy("_root").agg(first).select("one._row")
     return marked.join(winners, "_row", "left_semi").select(*docs.columns)
