@@ -199,6 +199,22 @@ def four_cliques(spark, sf_dir):
     return cliques.four_cliques(sparse_graph(spark, sf_dir))
 
 
+def whole_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return settle(topology.adjacency(orders.order_tets(spark, sf_dir)), "edges")
+
+
+@query
+def all_triangles(spark, sf_dir):
+    """Those of all edges; ``triangles`` is bound by its SQL to edges of even key sum."""
+    return cliques.triangles(whole_graph(spark, sf_dir))
+
+
+@query
+def all_four_cliques(spark, sf_dir):
+    """Those of all edges; ``four_cliques`` is bound by its SQL to edges of even key sum."""
+    return cliques.four_cliques(whole_graph(spark, sf_dir))
+
+
 @query
 def quotient_graph(spark, sf_dir):
     return coarsen.quotient(topology.adjacency(orders.order_tets(spark, sf_dir)), labels(spark, sf_dir))
