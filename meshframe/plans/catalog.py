@@ -449,13 +449,22 @@ def case_histogram(spark, sf_dir):
     return rounded(prolong.case_histogram(cases), "percent")
 
 
+def order_history(o: DataFrame) -> DataFrame:
+    cycle = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) - 1
+    return o.select(F.col("o_custkey").cast("string").alias("problem"), cycle.alias("cycle"), F.col("o_totalprice").alias("residual"), (F.col("o_orderkey") % 10).cast("double").alias("cycle_ms"))
+
+
 @query
 def residual_curve(spark, sf_dir):
-    """Orders as the cycles of their customer: prices as residuals, lines as times."""
+    """Orders as the cycles of their customer: prices as residuals, lines as times. Its SQL binds it to 50 customers."""
     o = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_custkey <= 50")
-    cycle = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) - 1
-    history = o.select(F.col("o_custkey").cast("string").alias("problem"), cycle.alias("cycle"), F.col("o_totalprice").alias("residual"), (F.col("o_orderkey") % 10).cast("double").alias("cycle_ms"))
-    return rounded(report.residual_curve(history), "seconds", "relative")
+    return rounded(report.residual_curve(order_history(o)), "seconds", "relative")
+
+
+@query
+def all_residual_curves(spark, sf_dir):
+    """The curves of all customers."""
+    return rounded(report.residual_curve(order_history(spark.read.parquet(f"{sf_dir}/orders.parquet"))), "seconds", "relative")
 
 
 @query

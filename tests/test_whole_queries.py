@@ -36,3 +36,16 @@ def test_cliques_of_all_edges(spark, near):
     got = rows(spark, "all_triangles")
     assert sorted(got) == sorted(three) and any((a + b) % 2 for a, b, _ in got)
     assert sorted(rows(spark, "all_four_cliques")) == sorted(four)
+
+
+def test_residual_curves_of_all_customers(spark):
+    by = defaultdict(list)
+    for r in spark.read.parquet(f"{SF}/orders.parquet").orderBy("o_orderkey").collect():
+        by[r.o_custkey].append((r.o_orderkey % 10, r.o_totalprice))
+    want = {}
+    for c, held in by.items():
+        for k, (_, price) in enumerate(held):
+            want[str(c), k] = (sum(ms for ms, _ in held[: k + 1]) / 1000, price / held[0][1])
+    got = {(p, c): (s, r) for p, c, s, r in rows(spark, "all_residual_curves")}
+    assert set(got) == set(want) and max(int(p) for p, _ in got) > 50
+    assert all(got[k] == pytest.approx(want[k], abs=2e-6) for k in want)
