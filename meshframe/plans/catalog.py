@@ -252,6 +252,13 @@ def complex_surface(spark, sf_dir):
     return topology.complex_surface(topology.boundary_faces(tets), tris)
 
 
+@query
+def all_complex_surface(spark, sf_dir):
+    """With the faces of all tets; ``complex_surface`` is bound by its SQL to those of every fifth."""
+    tets = orders.order_tets(spark, sf_dir)
+    return topology.complex_surface(topology.boundary_faces(tets), topology.tet_faces(tets).select("a", "b", "c").distinct())
+
+
 @query
 def surface_depth(spark, sf_dir):
     v, t = cube.cube_mesh(spark, CUBE_N)
@@ -406,6 +413,13 @@ def two_hop_reach(spark, sf_dir):
     return rounded(sampling.reach(topology.with_length(edges, v), 0.4).join(from_seed, "src", "left_semi"), "dist")
 
 
+@query
+def all_two_hop_reach(spark, sf_dir):
+    """The same from every part; ``two_hop_reach`` is bound by its SQL to the seeds."""
+    v, _, edges = order_edges(spark, sf_dir)
+    return rounded(sampling.reach(settle(topology.with_length(edges, v), "edges"), 0.4), "dist")
+
+
 @query
 def best_tet_per_point(spark, sf_dir):
     """For each part the tet of the orders of its group that contains it with the least margin."""

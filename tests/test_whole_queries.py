@@ -1,6 +1,7 @@
 """The queries on whole tables against brute force over a small order complex."""
 
 import itertools
+import math
 from collections import defaultdict
 
 import pytest
@@ -49,3 +50,24 @@ def test_residual_curves_of_all_customers(spark):
     got = {(p, c): (s, r) for p, c, s, r in rows(spark, "all_residual_curves")}
     assert set(got) == set(want) and max(int(p) for p, _ in got) > 50
     assert all(got[k] == pytest.approx(want[k], abs=2e-6) for k in want)
+
+
+def test_reach_of_all_parts(spark, near):
+    at = {r.vid: (r.x, r.y, r.z) for r in catalog.orders.order_vertices(spark, SF).collect()}
+    length = {(a, b): math.dist(at[a], at[b]) for a in near for b in near[a]}
+    want = {k: d for k, d in length.items() if d < 0.4}
+    for (a, m), d in length.items():
+        for b in near[m] - {a}:
+            if d + length[m, b] < 0.4:
+                want[a, b] = min(want.get((a, b), 1.0), d + length[m, b])
+    got = {(a, b): d for a, b, d in rows(spark, "all_two_hop_reach")}
+    assert set(got) == set(want) and any(a % 40 for a, _ in got)
+    assert all(got[k] == pytest.approx(want[k], abs=2e-6) for k in want)
+
+
+def test_surface_with_the_faces_of_all_tets(spark, tets):
+    got = rows(spark, "all_complex_surface")
+    assert {tuple(sorted(f)) for f in got} == {f for t in tets.values() for f in itertools.combinations(t, 3)}
+    assert len(got) == len({frozenset(f) for f in got})
+    outer = set(rows(spark, "oriented_boundary"))
+    assert outer <= set(got) and all(f == tuple(sorted(f)) for f in set(got) - outer)
