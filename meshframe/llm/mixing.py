@@ -1,32 +1,39 @@
 """Mixing sources to target weights by Pfair scheduling (operator 6).
 
-Each source's documents, in a fixed shuffled order, form blocks. With c of the L slots of a period, block j
-of a source is released at floor((j - 1) L / c) and due at ceil(j L / c); the earliest deadline among the
-released blocks takes the next slot. As the shares add up to one, no deadline is missed, so at every slot a
-source is less than one block from its target. When a source can't fill another period, a shorter period in
-which it runs out follows, and the rest goes on with the remaining sources at their relative weights.
+Each source's documents, in a fixed shuffled order, form blocks. With the share w of the weights, block j of a
+source is released at floor((j - 1) / w) and due at ceil(j / w), in whole numbers from the exact weights and
+counted over the whole phase; the earliest deadline among the released blocks takes the next slot. As the shares
+add up to one, no deadline is missed, so at every slot a source is less than one block from its target, however
+long the phase. A phase ends when a source runs out, and the rest goes on with the remaining sources at their
+relative weights: at most one phase a source.
 
-The schedule is worked out on the driver from the number of blocks of each source and is bounded by PERIOD
-slots for each of at most two phases a source (with over PERIOD sources, each gets one slot a period);
-documents look up their slot by joins. Ranks inside a source come from counts of hash buckets, so a source
-of any size is spread over many tasks.
+The schedule is worked out on the driver, a step a block, from the number of blocks of each source; it is handed
+on in pieces of PIECE blocks, which bounds the driver's memory. Documents look up their slot by a join. Ranks
+inside a source come from counts of hash buckets, so a source of any size is spread over many tasks.
 
 Defined results: every document is placed once, none is dropped or repeated; a null source counts as the
-source ''; unknown weights raise; equal rows are ordered arbitrarily among themselves; an empty table gives
+source ''; unknown and negative weights raise;
+sources of weight 0 follow the others; equal rows are ordered arbitrarily among themselves; an empty table gives
 an empty table; columns that clash with the added ones are replaced."""
 
 from __future__ import annotations
 
 import heapq
+import math
+import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
+from fractions import Fraction
+from itertools import islice
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import read_table, without
+from .common import read_table, shared_folder, temporary, without
 
 BLOCK = 16
-PERIOD = 1_000
+#: Blocks of the schedule that the driver holds at once.
+PIECE = 200_000
 #: Without given weights a source's weight is its number of documents to this power.
 TEMPERATURE = 0.5
 #: Documents of a hash bucket, about.
@@ -34,32 +41,51 @@ BUCKET = 2_000
 ADDED = ["block", "slot", "phase", "lag"]
 
 
-def allotments(weights: dict[str, float], period: int = PERIOD) -> dict[str, int]:
-    """Slots per period by largest remainders, one at least."""
-    total, period = sum(weights.values()), max(period, len(weights))
-    exact = {s: w / total * period for s, w in weights.items()}
-    out = {s: max(1, int(x)) for s, x in exact.items()}
-    short = period - sum(out.values())
-    for s in sorted(exact, key=lambda s: (int(exact[s]) - exact[s], s))[: max(0, short)]:
-        out[s] += 1
-    return out
+class Share(dict):
+    """Blocks by source, and the whole-number weights by which they are served."""
 
+    def __init__(self, blocks: dict[str, int], rates: dict[str, int]):
+        super().__init__(blocks)
+        self.rates = rates
 
-def pattern(share: dict[str, int]) -> dict[str, list[int]]:
-    """The slots of each source's blocks in one period: earliest deadline first among the released."""
-    length = sum(share.values())
-    coming = [((j * length) // c, -(-(j + 1) * length // c), s, j) for s, c in share.items() for j in range(c)]
-    coming.sort(reverse=True)
-    slots: dict[str, list[int]] = {s: [0] * c for s, c in share.items()}
-    ready: list[tuple[int, str, int]] = []
-    for slot in range(length):
-        while coming and coming[-1][0] <= slot:
-            _, due, s, j = coming.pop()
-            heapq.heappush(ready, (due, s, j))
-        due, s, j = heapq.heappop(ready)
+
+def allotments(weights: dict[str, float], least: int = 1) -> dict[str, int]:
+    """The weights in exact proportion as whole numbers that add up to ``least`` or more."""
+    exact = {s: Fraction(w) for s, w in weights.items()}
+    if min(exact.values(), default=0) < 0:
+        raise ValueError("negative weight")
+    unit = math.lcm(*[x.denominator for x in exact.values()])
+    total = sum(exact.values()) * unit
+    unit *= max(1, -(-least // int(total))) if total else 1
+    return {s: int(x * unit) for s, x in exact.items()}
+
+
+def earliest(rates: dict[str, int]) -> Iterator[str]:
+    """The source of each slot: earliest deadline first among the released blocks, without end."""
+    whole = sum(rates.values())
+    served = dict.fromkeys(rates, 0)
+    coming: list[tuple[int, str]] = []
+    ready = [(-(-whole // c), s) for s, c in rates.items()]
+    heapq.heapify(ready)
+    slot = 0
+    while True:
+        while coming and coming[0][0] <= slot:
+            s = heapq.heappop(coming)[1]
+            heapq.heappush(ready, (-(-(served[s] + 1) * whole // rates[s]), s))
+        due, s = heapq.heappop(ready)
         if due <= slot:
-            raise AssertionError(f"block {j} of {s} is late")
-        slots[s][j] = slot
+            raise AssertionError(f"block {served[s]} of {s} is late")
+        yield s
+        served[s] += 1
+        heapq.heappush(coming, (served[s] * whole // rates[s], s))
+        slot += 1
+
+
+def pattern(share: dict[str, int]) -> dict[str, list[int]]:
+    """The slots of each source's blocks in one period of ``share``."""
+    slots: dict[str, list[int]] = {s: [] for s in share}
+    for slot, s in enumerate(islice(earliest(getattr(share, "rates", share)), sum(share.values()))):
+        slots[s].append(slot)
     return slots
 
 
@@ -71,21 +97,35 @@ class Phase:
     first: dict[str, int]  #: each source's first block in the phase
 
 
-def phases(blocks: dict[str, int], share: dict[str, int]) -> list[Phase]:
+def places(blocks: dict[str, int], share: dict[str, int]) -> Iterator[tuple[int, str, int, int, float]]:
+    """(phase, source, block, slot, lag) of every block in the order of the slots; lag is the exact target less
+    the served blocks of the phase."""
     left = {s: n for s, n in blocks.items() if n}
     done = dict.fromkeys(left, 0)
-    out: list[Phase] = []
-    slot = 0
+    slot = phase = 0
     while left:
-        periods = min(n // share[s] for s, n in left.items())
-        scarce = min(left, key=lambda s: (left[s] / share[s], s))
-        own = {s: share[s] if periods else max(1, share[s] * left[scarce] // share[scarce]) for s in left}
-        out.append(Phase(slot, max(1, periods), own, {s: done[s] for s in left}))
-        slot += max(1, periods) * sum(own.values())
-        for s, c in own.items():
-            done[s] += c * max(1, periods)
-            left[s] -= c * max(1, periods)
-        left = {s: n for s, n in left.items() if n}
+        rates = {s: share[s] for s in left if share[s]} or dict.fromkeys(left, 1)
+        whole, first, start = sum(rates.values()), dict(done), slot
+        for s in earliest(rates):
+            done[s] += 1
+            slot += 1
+            yield phase, s, done[s] - 1, slot - 1, (rates[s] * (slot - start) - (done[s] - first[s]) * whole) / whole
+            if done[s] == left[s]:
+                del left[s]
+                break
+        phase += 1
+
+
+def phases(blocks: dict[str, int], share: dict[str, int]) -> list[Phase]:
+    out: list[Phase] = []
+    for phase, s, block, slot, _ in places(blocks, share):
+        if phase == len(out):
+            ended = [x for p in out for x, c in p.share.items() if p.first[x] + c == blocks[x]]
+            left = {x: share[x] for x, n in blocks.items() if n and x not in ended}
+            rates = {x: c for x, c in left.items() if c} or dict.fromkeys(left, 1)
+            out.append(Phase(slot, 1, Share({}, rates), {}))
+        out[-1].first.setdefault(s, block)
+        out[-1].share[s] = out[-1].share.get(s, 0) + 1
     return out
 
 
@@ -107,8 +147,7 @@ def ranked(docs: DataFrame, source_col: str = "source") -> tuple[DataFrame, dict
 
 def schedule(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK, source_col: str = "source") -> DataFrame:
     """``docs`` with ``block`` (its number within the source), ``slot`` (place of the block in the mix),
-    ``phase`` and ``lag`` (target less served blocks of the phase after the slot, under one either way)."""
-    spark = docs.sparkSession
+    ``phase`` and ``lag`` (exact target less served blocks of the phase after the slot, under one either way)."""
     docs = without(docs, ADDED)
     numbered, counts = ranked(docs, source_col)
     if weights is None:
@@ -116,17 +155,22 @@ def schedule(docs: DataFrame, weights: dict[str, float] | None = None, block: in
     elif missing := set(counts) - set(weights):
         raise ValueError(f"no weight for sources {sorted(missing)}")
     blocks = {s: -(-n // block) for s, n in counts.items()}
-    made = phases(blocks, allotments({s: weights[s] for s in blocks})) if blocks else []
-    spans = [(k, s, p.first[s], p.first[s] + p.periods * c, c, p.start, sum(p.share.values())) for k, p in enumerate(made) for s, c in p.share.items()]
-    places = [(k, s, j, at) for k, p in enumerate(made) for s, slots in pattern(p.share).items() for j, at in enumerate(slots)]
-    span = spark.createDataFrame(spans, "phase int, _source string, first long, past long, c long, start long, length long")
-    place = spark.createDataFrame(places, "phase int, _source string, j long, at long")
-    with_block = numbered.withColumn("block", F.floor(F.col("_rank") / block).cast("long"))
-    near = with_block.join(F.broadcast(span), (with_block["_source"] == span["_source"]) & (F.col("block") >= F.col("first")) & (F.col("block") < F.col("past"))).drop(span["_source"])
-    near = near.withColumns({"period": F.expr("(block - first) div c"), "j": F.expr("(block - first) % c")})
-    found = near.join(F.broadcast(place), ["phase", "_source", "j"])
-    lag = F.col("c") * (F.col("at") + 1) / F.col("length") - (F.col("j") + 1)
-    return found.select(*docs.columns, "block", (F.col("start") + F.col("period") * F.col("length") + F.col("at")).alias("slot"), "phase", lag.alias("lag"), "_rank")
+    place = handed_on(docs.sparkSession, places(blocks, allotments({s: weights[s] for s in blocks})))
+    found = numbered.withColumn("block", F.floor(F.col("_rank") / block).cast("long")).join(place, ["_source", "block"])
+    return found.select(*docs.columns, "block", "slot", "phase", "lag", "_rank")
+
+
+def handed_on(spark: SparkSession, rows: Iterator[tuple]) -> DataFrame:
+    """``places`` as a table; more than a piece goes to files in the shared folder piece by piece."""
+    schema = "phase int, _source string, block long, slot long, lag double"
+    piece = list(islice(rows, PIECE))
+    if len(piece) < PIECE:
+        return spark.createDataFrame(piece, schema)
+    path = temporary(spark, "path", f"{shared_folder(spark)}/places-{uuid.uuid4().hex}")
+    while piece:
+        spark.createDataFrame(piece, schema).write.mode("append").parquet(path)
+        piece = list(islice(rows, PIECE))
+    return spark.read.schema(schema).parquet(path)
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK) -> DataFrame:
