@@ -405,6 +405,14 @@ def cluster_k_hops(spark, sf_dir):
     return rounded(made.select("vid", "dist"), "dist")
 
 
+@query
+def cluster_all_hops(spark, sf_dir):
+    """The nearest seed of each part over any number of edges, and its distance."""
+    v, _, edges = order_edges(spark, sf_dir)
+    made = coarsen.cluster(seeds(spark, sf_dir), settle(topology.with_length(edges, v), "edges"))
+    return rounded(made.select("vid", "coarse_id", "dist"), "dist")
+
+
 @query
 def two_hop_reach(spark, sf_dir):
     """Shortest paths of up to two edges from the seeds, under a length of 0.4."""

@@ -1,5 +1,6 @@
 """The queries on whole tables against brute force over a small order complex."""
 
+import heapq
 import itertools
 import math
 from collections import defaultdict
@@ -71,3 +72,21 @@ def test_surface_with_the_faces_of_all_tets(spark, tets):
     assert len(got) == len({frozenset(f) for f in got})
     outer = set(rows(spark, "oriented_boundary"))
     assert outer <= set(got) and all(f == tuple(sorted(f)) for f in set(got) - outer)
+
+
+def test_clusters_over_any_number_of_edges(spark, near):
+    vertices = catalog.orders.order_vertices(spark, SF).collect()
+    at = {r.vid: (r.x, r.y, r.z) for r in vertices}
+    best, heap = {}, [(0.0, v // 40, v) for v in at if v % 40 == 0]
+    heapq.heapify(heap)
+    while heap:
+        d, c, a = heapq.heappop(heap)
+        if a not in best:
+            best[a] = (d, c)
+            for b in near[a]:
+                heapq.heappush(heap, (d + math.dist(at[a], at[b]), c, b))
+    got = {v: (d, c) for v, c, d in rows(spark, "cluster_all_hops")}
+    assert set(got) == set(best) and all(got[v][0] == pytest.approx(best[v][0], abs=2e-6) for v in best)
+    assert all(got[v][1] == best[v][1] for v in best)
+    two = {r.vid: r.dist for r in catalog.cluster_k_hops(spark, SF).collect()}
+    assert set(two) < set(got) or any(got[v][0] < d for v, d in two.items())
