@@ -3,7 +3,7 @@
 A text's words are scored by their log frequency in each language. A word that no language's vocabulary
 holds falls back to character n-grams, from ORDERS[0] down: the longest order of which the word has a known
 n-gram decides, by the mean log frequency of its known n-grams. Vocabularies are the most frequent words of a
-language, VOCABULARY at most; n-gram counts go into BUCKETS hashed counters per order and language, so the
+language, VOCABULARY at most; a word in any of them has its counts in all languages; n-gram counts go into BUCKETS hashed counters per order and language, so the
 model has a fixed size; the counts themselves cover all learning rows.
 
 Defined results: null text and text without letters are ``und`` with score 0; rows without a language are
@@ -28,6 +28,8 @@ from .common import add_columns, materialise, read_table, slices, texts
 VOCABULARY = 50_000
 ORDERS = (5, 4, 3, 2, 1)
 BUCKETS = 1 << 16
+#: Words of one count are told apart by so many leading bits of their hash before they are ranked.
+PART_BITS = 12
 #: Languages a model may hold, the most frequent first; it bounds what is sent to executors.
 LANGUAGES = 64
 #: Words a task remembers the scores of, at most.
@@ -110,13 +112,27 @@ def gram_counts(counts: DataFrame) -> DataFrame:
     return counts.select("lang", "word", "n").mapInArrow(run, "lang string, grams int, bucket int, n long").groupBy("lang", "grams", "bucket").agg(F.sum("n").alias("n"))
 
 
+def rising(counts: DataFrame, order: list, by: str) -> DataFrame:
+    """(lang, ``by``, before, words): how many words have each value, and how many those before it in ``order``."""
+    prior = Window.partitionBy("lang").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return counts.groupBy("lang", by).agg(F.count("*").alias("words")).withColumn("before", F.coalesce(F.sum("words").over(prior), F.lit(0)))
+
+
 def frequent(counts: DataFrame) -> DataFrame:
-    """(lang, word, n): the words of each language whose count is so high that at most VOCABULARY words reach
-    it. The bar comes from how many words have each count, so that no language's words meet in a task."""
-    falling = Window.partitionBy("lang").orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    kinds = counts.groupBy("lang", "n").agg(F.count("*").alias("words")).withColumn("above", F.sum("words").over(falling))
-    bar = kinds.where(F.col("above") <= VOCABULARY).groupBy("lang").agg(F.min("n").alias("bar"))
-    return counts.join(F.broadcast(bar), "lang").where("n >= bar").select("lang", "word", "n")
+    """(lang, word, n): the VOCABULARY most frequent words of each language, those of one count in the order of a
+    hash. The bar comes from how many words have each count; among the words at the bar, it comes from how many
+    have each leading part of the hash, so that no language's words meet in a task but those of one part."""
+    bar = rising(counts, [F.desc("n")], "n").where((F.col("before") < VOCABULARY) & (F.col("before") + F.col("words") > VOCABULARY))
+    bar = bar.select("lang", F.col("n").alias("bar"), (VOCABULARY - F.col("before")).alias("room"))
+    least = rising(counts, [F.desc("n")], "n").where(F.col("before") < VOCABULARY).groupBy("lang").agg(F.min("n").alias("least"))
+    marked = counts.join(F.broadcast(least), "lang").where("n >= least").join(F.broadcast(bar), "lang", "left")
+    hashed = F.xxhash64("word")
+    split = marked.withColumns({"_tied": F.coalesce(F.col("n") == F.col("bar"), F.lit(False)), "_part": F.shiftrightunsigned(hashed, 64 - PART_BITS)})
+    tied = split.where("_tied")
+    edge = rising(tied, [F.col("_part")], "_part").join(F.broadcast(bar), "lang").where("before < room").select("lang", "_part", (F.col("room") - F.col("before")).alias("_left"))
+    place = F.row_number().over(Window.partitionBy("lang", "_part").orderBy(hashed, "word"))
+    filled = tied.join(F.broadcast(edge), ["lang", "_part"]).withColumn("_place", place).where(F.col("_place") <= F.col("_left"))
+    return split.where("not _tied").select("lang", "word", "n").unionByName(filled.select("lang", "word", "n"))
 
 
 @dataclass
@@ -137,7 +153,7 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Mo
     langs = sorted(sizes)
     at = {x: i for i, x in enumerate(langs)}
     counts = counts.where(F.col("lang").isin(langs))
-    top = frequent(counts)
+    top = counts.join(frequent(counts).select("word").distinct(), "word", "left_semi").select("lang", "word", "n")
     vocabulary: dict[str, int] = {}
     seen = []
     for lang, word, n in zip(*top.toArrow().to_pydict().values(), strict=True):
