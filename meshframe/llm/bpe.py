@@ -1,8 +1,8 @@
 """Byte-level BPE by corpus-level merge replay (operator 1).
 
-``encode`` cuts every text with the tokenizer's pattern, gathers the distinct pieces that a task has not
-met yet, and replays the merges over that whole word list at once: an inverted index maps a merge to the
-positions where its pair stands, merges are taken in rank order, and each application touches only the two
+``encode`` cuts every text with the tokenizer's pattern, gathers the distinct pieces of a block of texts that the
+worker has not met yet, and replays the merges over that whole word list at once: an inverted index maps a merge to
+the positions where its pair stands, merges are taken in rank order, and each application touches only the two
 neighbouring pairs. Texts are then spelled from the finished word list. ``decode`` maps ids back to bytes.
 
 Defined results: null and empty texts give no ids and decode to no bytes; a text of any length, with or
@@ -25,10 +25,13 @@ from pyspark.sql import types as T
 
 from .common import add_columns, read_table, texts
 
-#: A task forgets its spelled chunks beyond this many, so its memory is bounded whatever the corpus.
-MAX_CHUNKS = 240_000
-#: Characters of text that a task cuts at once.
-SLICE = 4_000_000
+#: A worker forgets what it has spelled once its tables hold so many bytes, ENTRY of them for each entry's own
+#: overhead; so they are bounded by this and what one block adds.
+HELD, ENTRY = 80 << 20, 200
+#: Characters of a block of texts, whose new words go through one replay; bytes of a kernel's slice of rows.
+SLICE = 6_000_000
+#: The pattern under which texts may be cut at blanks (fixed value, as the tokenizer publishes it).
+BLANK_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: A blank that cannot open a piece of its own: white space or the end follows it.
 LOOSE_BLANK = re.compile(r" (?:\s|\Z)")
 
@@ -91,56 +94,66 @@ class MergeReplay:
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         symbol = self.byte[np.frombuffer(b"".join(words), np.uint8)]
         n, ends = len(symbol), np.cumsum(sizes)
-        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        after, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
         after[ends - 1] = before[ends - sizes] = -1
-        word_of = np.repeat(np.arange(len(words)), sizes)
-        made = np.full(n, -1)  # by position, the merge that its pair would be
-        first = np.flatnonzero(after >= 0)
+        word_of = np.repeat(np.arange(len(words), dtype=np.int32), sizes)
+        made = np.full(n, -1, np.int32)  # by position, the merge that its pair would be
+        first = np.flatnonzero(after >= 0).astype(np.int32)
         made[first] = self.merged(symbol[first], symbol[first + 1])
-        index: dict[int, list[int]] = {}
+        index: dict[int, list[np.ndarray]] = {}
+        due: list[int] = []
+
+        def enter(merges: np.ndarray, places: np.ndarray) -> None:
+            """Add places to the index under the merges that their pairs would be."""
+            order = np.argsort(merges, kind="stable")
+            merges, places = merges[order], places[order]
+            at = np.flatnonzero(merges[1:] != merges[:-1]) + 1
+            for r, x in zip(merges[np.concatenate([[0], at])].tolist(), np.split(places, at) if len(at) else [places], strict=True):
+                if r in index:
+                    index[r].append(x)
+                else:
+                    index[r] = [x]
+                    heapq.heappush(due, r)
+
         first = first[made[first] >= 0]
-        first = first[np.argsort(made[first], kind="stable")]
-        at = np.flatnonzero(np.diff(made[first], prepend=-1)).tolist()
-        for i, j in zip(at, [*at[1:], len(first)], strict=False):
-            index[int(made[first[i]])] = first[i:j].tolist()
-        due = list(index)
-        heapq.heapify(due)
+        if len(first):
+            enter(made[first], first)
         strayed: set[int] = set()
         while due:
             r = heapq.heappop(due)
-            places = sorted(set(index.pop(r)))
-            p = np.array(places)
+            places = index.pop(r)
+            p = places[0] if len(places) == 1 else np.unique(np.concatenate(places))
             p = p[made[p] == r]
-            if len(p) > 1 and (after[p[:-1]] == p[1:]).any():
-                steps = [p[i : i + 1] for i in range(len(p))]  # pairs overlap: leftmost first
-            else:
-                steps = [p]
-            for p in steps:
-                p = p[made[p] == r]
+            if not len(p):
+                continue
+            overlap = len(p) > 1 and (after[p[:-1]] == p[1:]).any()  # then leftmost first
+            for p in [p[i : i + 1] for i in range(len(p))] if overlap else [p]:
+                p = p[made[p] == r] if overlap else p
                 if not len(p):
                     continue
                 q = after[p]
                 z = after[q]
-                symbol[p], symbol[q], made[q], after[p] = r, -1, -1, z
+                symbol[p], symbol[q], made[q], made[p], after[p] = r, -1, -1, -1, z
                 right = z >= 0
                 before[z[right]] = p[right]
                 b = before[p]
-                left = b >= 0
-                starts = np.concatenate([b[left], p[right]])
-                made[p] = -1
+                starts = np.concatenate([b[b >= 0], p[right]])
                 if not len(starts):
                     continue
-                new = self.merged(symbol[starts], symbol[after[starts]])
-                made[starts] = new
-                for s, x in zip(new.tolist(), starts.tolist(), strict=True):
-                    if s >= 0:
-                        if s < r:
-                            strayed.add(int(word_of[x]))
-                        if s in index:
-                            index[s].append(x)
+                made[starts] = new = self.merged(symbol[starts], symbol[after[starts]])
+                some = new >= 0
+                if some.any():
+                    new, starts = new[some], starts[some]
+                    if (new < r).any():
+                        strayed.update(word_of[starts[new < r]].tolist())
+                    if len(new) == 1:
+                        if (s := int(new[0])) in index:
+                            index[s].append(starts)
                         else:
-                            index[s] = [x]
+                            index[s] = [starts]
                             heapq.heappush(due, s)
+                    else:
+                        enter(new, starts)
         alive = symbol >= 0
         return symbol[alive], np.bincount(word_of[alive], minlength=len(words)), strayed
 
@@ -167,16 +180,17 @@ class MergeReplay:
 
 
 class Speller:
-    """Spells texts as little-endian 32-bit ids from a growing table of blank-separated chunks.
+    """Spells texts as little-endian 32-bit ids from a growing table of pieces.
 
-    A blank followed by anything but white space always opens a new piece of the pattern, so the text may
-    be cut there and each distinct chunk handled once. ``lead`` holds chunks at a text's start, ``rest``
-    those that follow a blank, ``words`` the pattern's pieces."""
+    Under BLANK_PATTERN a blank followed by anything but white space always opens a new piece, so a text may be cut
+    there and each distinct chunk handled once: ``lead`` holds chunks at a text's start, ``rest`` those that follow a
+    blank. Under any other pattern a text is cut by the pattern alone. ``words`` holds the pattern's pieces."""
 
     def __init__(self, tokens: list[bytes], pattern: str):
         import regex
 
-        self.split = regex.compile(pattern).findall
+        self.find = regex.compile(pattern).finditer
+        self.by_blank = pattern == BLANK_PATTERN
         self.replay = MergeReplay(tokens)
         self.forget()
 
@@ -184,6 +198,11 @@ class Speller:
         self.lead: dict[str, bytes] = {"": b""}
         self.rest: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
+        self.held = 0
+
+    def split(self, text: str) -> list[str]:
+        """The pattern's whole matches, whatever groups it has."""
+        return [m[0] for m in self.find(text)]
 
     @staticmethod
     def chunks(text: str) -> list[str]:
@@ -206,39 +225,54 @@ class Speller:
             return [" " + chunk[:-1], chunk[-1]]
         return self.split(" " + chunk)
 
-    def learn(self, lead: set[str], rest: set[str]) -> None:
-        cut = [[*map(self.split, lead), *map(self.pieces, rest)]]
-        new = list({w for ws in cut[0] for w in ws}.difference(self.words))
-        self.words.update(zip(new, self.replay.encode([w.encode() for w in new]), strict=True))
+    def add(self, table: dict[str, bytes], keys: list[str], spelled: list[bytes]) -> None:
+        table.update(zip(keys, spelled, strict=True))
+        self.held += sum(map(len, keys)) + sum(map(len, spelled)) + ENTRY * len(keys)
+
+    def learn(self, lead: list[str], rest: list[str]) -> None:
+        """Replay the merges over the words of new chunks that no chunk had before."""
+        cut = [*map(self.split, lead), *map(self.pieces, rest)]
+        new = list({w for ws in cut for w in ws}.difference(self.words))
+        self.add(self.words, new, self.replay.encode([w.encode() for w in new]))
         spelled = self.words.__getitem__
-        joined = [spelled(ws[0]) if len(ws) == 1 else b"".join(map(spelled, ws)) for ws in cut.pop()]
-        self.lead.update(zip(lead, joined, strict=False))
-        self.rest.update(zip(rest, joined[len(lead) :], strict=True))
+        joined = [spelled(ws[0]) if len(ws) == 1 else b"".join(map(spelled, ws)) for ws in cut]
+        self.add(self.lead, lead, joined[: len(lead)])
+        self.add(self.rest, rest, joined[len(lead) :])
 
     def __call__(self, batch: list[str]) -> list[bytes]:
         gc.disable()  # millions of short-lived strings and no cycles
         try:
-            return self.spell(batch)
+            out: list[bytes] = []
+            at, size = 0, 0
+            for end, text in enumerate(batch, 1):
+                size += len(text)
+                if size >= SLICE or end == len(batch):
+                    out.extend(self.spell(batch[at:end]))
+                    at, size = end, 0
+                    if self.held > HELD:
+                        self.forget()
+            return out
         finally:
             gc.enable()
 
-    def spell(self, batch: list[str]) -> list[bytes]:
-        out: list[bytes] = []
-        at = 0
-        while at < len(batch):
-            if len(self.lead) + len(self.rest) > MAX_CHUNKS:
-                self.forget()
-            cut, size = [], 0
-            while at < len(batch) and size < SLICE:
-                cut.append(self.chunks(batch[at]))
-                size += len(batch[at])
-                at += 1
-            lead = {c[0] for c in cut} - self.lead.keys()
-            rest = {x for c in cut for x in c[1:]} - self.rest.keys()
-            if lead or rest:
-                self.learn(lead, rest)
-            out.extend(b"".join([self.lead[c[0]], *map(self.rest.__getitem__, c[1:])]) for c in cut)
-        return out
+    def spell(self, block: list[str]) -> list[bytes]:
+        """One block of texts: its word list first, then the texts from it."""
+        if not self.by_blank:
+            new = {w for t in block for w in self.split(t)}.difference(self.words)
+            self.add(self.words, list(new), self.replay.encode([w.encode() for w in new]))
+            return [b"".join([self.words[w] for w in self.split(t)]) for t in block]
+        lead, rest = set(), set()
+        for t in block:
+            cut = self.chunks(t)
+            lead.add(cut[0])
+            del cut[0]
+            rest.update(cut)
+        lead.difference_update(self.lead)
+        rest.difference_update(self.rest)
+        if lead or rest:
+            self.learn(list(lead), list(rest))
+        del lead, rest
+        return [b"".join([self.lead[cut[0]], *map(self.rest.__getitem__, cut[1:])]) for cut in map(self.chunks, block)]
 
 
 #: The spellers of this worker process: tasks that follow one another go on with what was learnt.
@@ -267,7 +301,7 @@ def encode(df: DataFrame, ranks: str, pattern: str, text_col: str = "text", out_
 
         return kernel
 
-    return add_columns(df, text_col, T.StructType([T.StructField(out_col, T.ArrayType(T.IntegerType()))]), make, drop_source=drop_text)
+    return add_columns(df, text_col, T.StructType([T.StructField(out_col, T.ArrayType(T.IntegerType()))]), make, drop_source=drop_text, size=SLICE)
 
 
 def decode(df: DataFrame, ranks: str, ids_col: str = "token_ids", out_col: str = "decoded", drop_ids: bool = False) -> DataFrame:

@@ -71,8 +71,8 @@ def without(df: DataFrame, names: list[str]) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
 
 
-def add_columns(df: DataFrame, source: str, fields: T.StructType, make: Callable[[], Callable[[pa.Array], list]], drop_source: bool = False) -> DataFrame:
-    """Append ``fields``, computed batch by batch from column ``source``.
+def add_columns(df: DataFrame, source: str, fields: T.StructType, make: Callable[[], Callable[[pa.Array], list]], drop_source: bool = False, size: int = 4 << 20) -> DataFrame:
+    """Append ``fields``, computed from column ``source`` in runs of rows of about ``size`` bytes.
 
     ``make`` runs once per task and returns a function from the source's Arrow array to one Arrow array
     per field. Columns of ``df`` that clash with a new name are replaced."""
@@ -87,7 +87,7 @@ def add_columns(df: DataFrame, source: str, fields: T.StructType, make: Callable
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kernel = make()
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, size):
                 made = kernel(part.column(len(kept)))
                 yield pa.RecordBatch.from_arrays(list(part.columns[: len(kept)]) + made, names=kept + names)
                 del made

@@ -8,6 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from meshframe.llm import bpe
+from tests.conftest import SF
 
 RANKS = P.path("byte_bpe_50k.tiktoken")
 MULTI = P.path("byte_bpe_multi_50k.tiktoken")
@@ -49,11 +50,29 @@ def test_replay_agrees_with_single_words():
 
 
 def test_bounded_table(monkeypatch):
-    monkeypatch.setattr(bpe, "MAX_CHUNKS", 8)
+    monkeypatch.setattr(bpe, "HELD", 2_000)
     monkeypatch.setattr(bpe, "SLICE", 50)
     spell = bpe.Speller(bpe.read_ranks(RANKS), P.PATTERN)
     texts = [f"word{i} other{i % 3} {'x' * i}" for i in range(60)]
     assert ids(spell, texts + texts) == [LIBRARY[RANKS].encode_ordinary(t) for t in texts + texts]
+    assert spell.held <= bpe.HELD
+
+
+@pytest.mark.parametrize("pattern", [r"\S+|\s+", r"\p{L}+|\s+|[^\p{L}\s]+", r"(\p{L})+|(\s)|.", r"[a-z]+"])
+def test_other_patterns_as_the_library(pattern):
+    theirs = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=LIBRARY[RANKS]._mergeable_ranks, special_tokens={})
+    texts = ["hello there friend, abc. done", "a  b c", *HARD]
+    assert ids(bpe.Speller(bpe.read_ranks(RANKS), pattern), texts) == [theirs.encode_ordinary(t) for t in texts]
+
+
+def test_query_as_the_library(spark):
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    got = bpe.op1_byte_bpe(spark, SF).collect()
+    assert sorted(r.doc_id for r in got) == sorted(docs)
+    for r in got:
+        want = LIBRARY[RANKS].encode_ordinary(docs[r.doc_id])
+        assert (r.n_tokens, r.ids_sha256) == (len(want), hashlib.sha256(" ".join(map(str, want)).encode()).hexdigest())
+        assert r.decoded_sha256 == hashlib.sha256(docs[r.doc_id].encode()).hexdigest()
 
 
 def test_round_trip_and_digests(spark):
