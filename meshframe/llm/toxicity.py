@@ -1,21 +1,20 @@
 """Toxicity by compression distance (operator 8).
 
-Zstandard dictionaries are trained on ordinary and on toxic text. Words are first split by class: a word is
-toxic if it is RATIO times as frequent in toxic documents as in ordinary ones. One dictionary is trained on
-ordinary text; the other is the same preceded by what training on the toxic words adds, so that a window of
-ordinary words compresses to the same length under both and only toxic matches tell them apart (with two
-unrelated dictionaries, chance matches of ordinary text drown the difference). Both serve as plain content,
-without entropy tables. Every window of WINDOW words of the whole text is compressed under both; the
-differences of the lengths, as counts over thresholds, are calibrated by logistic regression on labelled rows.
+Two zstandard dictionaries are trained, one on ordinary text, a small one on toxic text, neither with a look at the
+other class. Every window of WINDOW words of the whole text is compressed twice, by the ordinary dictionary and by the
+toxic one followed by the ordinary one; the second is shorter where the window holds what is common in toxic text and
+not in ordinary text. (Against the toxic dictionary alone, chance matches of ordinary text drown the difference.) Both
+serve as plain content, without entropy tables. The differences of the lengths, as counts over thresholds, are
+calibrated by logistic regression on labelled documents that the dictionaries in use haven't seen: ordinary ones of
+the half that isn't trained on, toxic ones by a dictionary trained on the other half.
 
 Learning takes a bounded sample of labelled rows (SAMPLE per class, SAMPLE_BYTES of text); scores cover all
-windows. Defined results: null and empty texts are one empty window; without rows of both classes every
-score is the share of toxic rows (0 without any); repeated rows repeat their score; columns that clash with
-the output are replaced."""
+windows. Defined results: null and empty texts are one empty window; texts of any length are scored whole; without
+rows of both classes every score is the share of toxic rows (0 without any); repeated rows repeat their score; an
+empty table gives an empty table; columns that clash with the output are replaced."""
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -31,9 +30,12 @@ WINDOW = 12
 #: Labelled rows to learn from, at most, per class, and their bytes on the driver.
 SAMPLE = 6_000
 SAMPLE_BYTES = 96 << 20
-RATIO, LEAST = 5, 3
-ORDINARY_BYTES, TOXIC_BYTES, PIECE = 110_000, 2_048, 60
-OVER, UNDER = (1, 2, 3, 4, 5), (1, 2)
+#: Sizes of the dictionaries, and the segment and string lengths of their training.
+ORDINARY, TOXIC = (400_000, 200, 8), (8_192, 20, 8)
+#: Words of a training sample.
+PIECE = 60
+OVER, UNDER = (1, 2, 3, 4, 5, 7), (1, 2, 4)
+WIDTH = 4 + len(OVER) + len(UNDER)
 FIELDS = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
 
 
@@ -64,8 +66,8 @@ class Model:
     def compressors(self) -> list:
         import zstandard as z
 
-        how = z.ZstdCompressionParameters(window_log=18, chain_log=17, hash_log=18, search_log=5, min_match=6, target_length=32, strategy=z.STRATEGY_LAZY2, write_content_size=False, write_checksum=False, write_dict_id=False)
-        made = [z.ZstdCompressionDict(b or b" " * 8, dict_type=z.DICT_TYPE_RAWCONTENT) for b in (self.ordinary, self.toxic)]
+        how = z.ZstdCompressionParameters(window_log=19, chain_log=18, hash_log=19, search_log=6, min_match=6, target_length=32, strategy=z.STRATEGY_LAZY2, write_content_size=False, write_checksum=False, write_dict_id=False)
+        made = [z.ZstdCompressionDict(b or b" " * 8, dict_type=z.DICT_TYPE_RAWCONTENT) for b in (self.ordinary, self.toxic + self.ordinary)]
         return [z.ZstdCompressor(dict_data=d, compression_params=how).compress for d in made]
 
     def scores(self, x: np.ndarray) -> np.ndarray:
@@ -80,22 +82,8 @@ def distances(body: bytes, ordinary: Callable, toxic: Callable) -> list[float]:
     return [d.mean(), d.max(), d.sum() / n**0.5, *((d >= q).mean() for q in OVER), *((d <= -q).mean() for q in UNDER), 1 / n]
 
 
-def dictionaries(texts: list[tuple[bytes, int]]) -> tuple[bytes, bytes]:
-    """(ordinary, toxic) dictionaries from labelled texts."""
-    seen, sizes = (Counter(), Counter()), [0, 0]
-    for body, c in texts:
-        seen[c].update(set(body.split()))
-        sizes[c] += 1
-    toxic = {w for w, n in seen[1].items() if n >= LEAST and n * (sizes[0] or 1) >= RATIO * (seen[0][w] + 1) * sizes[1]}
-    marked = [p for body, c in texts if c for p in windows(b" ".join(w for w in body.split() if w in toxic), PIECE)]
-    room = sum(len(body) for body, c in texts if c)
-    plain: list[bytes] = []
-    for body, c in texts:
-        if not c and room > 0:
-            room -= len(body)
-            plain.extend(windows(body, PIECE))
-    base = train(plain, ORDINARY_BYTES, 200, 8)
-    return base, train([b" " + p + b" " for p in marked], TOXIC_BYTES, 16, 6) + base
+def dictionary(bodies: list[bytes], how: tuple[int, int, int]) -> bytes:
+    return train([p for body in bodies for p in windows(body, PIECE)], *how)
 
 
 def fit(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -120,31 +108,39 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> D
     return materialise(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select(key.alias("key"), "text", "toxic"), "labelled")
 
 
-def measured(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``df`` with ``distances`` array<double> in place of the text."""
-    shared = df.sparkSession.sparkContext.broadcast(model)
+def measured(df: DataFrame, models: list[Model], text_col: str = "text", model_col: str = "model") -> DataFrame:
+    """``df`` with ``distances`` array<double> in place of the text, by the model whose number ``model_col`` holds."""
+    shared = df.sparkSession.sparkContext.broadcast(models)
 
     def make() -> Callable:
-        pair = shared.value.compressors()
-        return lambda column: [pa.array([distances(b, *pair) for b in utf8(column)], pa.list_(pa.float64()))]
+        pairs = [m.compressors() for m in shared.value]
+        return lambda column: [pa.array([distances(b, *pairs[m]) for b, m in zip(utf8(column.field(0)), column.field(1).to_pylist(), strict=True)], pa.list_(pa.float64()))]
+
+    both = df.withColumn("_both", F.struct(text_col, model_col)).drop(text_col)
+    return add_columns(both, "_both", T.StructType([T.StructField("distances", T.ArrayType(T.DoubleType()))]), make, drop_source=True)
+
 
-    return add_columns(df, text_col, T.StructType([T.StructField("distances", T.ArrayType(T.DoubleType()))]), make, drop_source=True)
+def untrained(ordinary: bytes, toxic: bytes) -> Model:
+    return Model(ordinary, toxic, np.zeros(WIDTH + 1), np.zeros(WIDTH), np.ones(WIDTH))
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> Model:
-    sample = labelled_sample(docs, labels)
-    texts: list[tuple[bytes, int]] = []
-    held = 0
+    sample = labelled_sample(docs, labels).withColumn("half", F.pmod("key", F.lit(2)).cast("int"))
+    held = {(c, h): [] for c in (0, 1) for h in (0, 1)}
+    size = 0
     for row in sample.orderBy("key", "text").toLocalIterator():
         body = (row.text or "").encode()
-        held += len(body)
-        if held > SAMPLE_BYTES:
+        size += len(body)
+        if size > SAMPLE_BYTES:
             break
-        texts.append((body, row.toxic))
-    ordinary, toxic = dictionaries(texts)
-    width = 4 + len(OVER) + len(UNDER)
-    model = Model(ordinary, toxic, np.zeros(width + 1), np.zeros(width), np.ones(width))
-    rows = measured(sample, model).select("distances", "toxic").toArrow().to_pydict()
+        held[row.toxic, row.half].append(body)
+    ordinary = dictionary(held[0, 0], ORDINARY)
+    unseen = [untrained(ordinary, dictionary(held[1, 1 - h], TOXIC)) for h in (0, 1)]
+    model = untrained(ordinary, dictionary(held[1, 0] + held[1, 1], TOXIC))
+    del held
+    turn = F.when(F.col("toxic") == 1, F.col("half")).otherwise(F.pmod(F.shiftright("key", 1), F.lit(2)).cast("int"))
+    tried = sample.where("toxic = 1 or half = 1").withColumn("model", turn)
+    rows = measured(tried.select("text", "toxic", "model"), unseen).select("distances", "toxic").toArrow().to_pydict()
     y = np.array(rows["toxic"], float)
     if len(set(y.tolist())) < 2:
         model.weights[-1] = 30 * (1 if len(y) and y[0] else -1)

@@ -30,6 +30,29 @@ def test_held_out_documents(spark):
     assert right >= 0.95 * len(held) and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in got.values())
 
 
+def area(labels, scores):
+    """The share of pairs of a toxic and an ordinary document in the right order, ties by half."""
+    yes, no = ([s for s, c in zip(scores, labels, strict=True) if c == k] for k in (1, 0))
+    return sum((a > b) + (a == b) / 2 for a in yes for b in no) / len(yes) / len(no)
+
+
+def test_held_out_rows_of_the_query(spark):
+    """Held-out quality at sf0.1, by labels that learning doesn't see."""
+    sf = SF.replace("sf0.001", "sf0.1")
+    toxic = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    rows = [r for r in toxicity.op8_toxicity(spark, sf).collect() if r.held_out and toxic.get(r.doc_id) is not None]
+    labels = [toxic[r.doc_id] for r in rows]
+    said = [c for r, c in zip(rows, labels, strict=True) if r.predicted]
+    assert len(rows) > 500 and area(labels, [r.score for r in rows]) > 0.9
+    assert sum(said) > 0.8 * len(said) and sum(said) > 0.6 * sum(labels)
+
+
+def test_dictionaries_see_one_class_each():
+    ordinary, toxic = ([w * 12 for w in ws] for ws in ([b"calm water ", b"green field "], [b"vile brute ", b"nasty creep "]))
+    made = [toxicity.dictionary(x, how) for x, how in ((ordinary, toxicity.ORDINARY), (toxic, toxicity.TOXIC))]
+    assert b"calm" in made[0] and b"vile" not in made[0] and b"vile" in made[1] and b"calm" not in made[1]
+
+
 def test_windows_cover_the_text():
     body = b"a bb\tccc\n\nd " * 100
     assert b" ".join(toxicity.windows(body)) == b" ".join(body.split()) and toxicity.windows(b" ") == [b""]
