@@ -6,7 +6,7 @@ toxic one followed by the ordinary one; the second is shorter where the window h
 not in ordinary text. (Against the toxic dictionary alone, chance matches of ordinary text drown the difference.) Both
 serve as plain content, without entropy tables. The differences of the lengths, as counts over thresholds, are
 calibrated by logistic regression on labelled documents that the dictionaries in use haven't seen: ordinary ones of
-the half that isn't trained on, toxic ones by a dictionary trained on the other half.
+the half that isn't trained on, toxic ones by a dictionary trained on the other FOLDS - 1 parts.
 
 Learning takes a bounded sample of labelled rows (SAMPLE per class, SAMPLE_BYTES of text); scores cover all
 windows. Defined results: null and empty texts are one empty window; texts of any length are scored whole; without
@@ -26,12 +26,17 @@ from pyspark.sql import types as T
 
 from .common import add_columns, materialise, read_table, utf8
 
-WINDOW = 12
+WINDOW = 16
 #: Labelled rows to learn from, at most, per class, and their bytes on the driver.
 SAMPLE = 6_000
 SAMPLE_BYTES = 96 << 20
-#: Sizes of the dictionaries, and the segment and string lengths of their training.
-ORDINARY, TOXIC = (400_000, 200, 8), (8_192, 20, 8)
+#: Of each dictionary: its size at most, the share of the text trained on that it may take, and the segment and string
+#: lengths of its training.
+ORDINARY, TOXIC = (800_000, 1 / 9, 200, 8), (16_384, 1 / 100, 20, 8)
+#: Odds of a toxic document that the scores assume, over those of the labelled rows, as a miss weighs more than an alarm.
+ODDS = 1 / 4
+#: Parts of the toxic sample, each measured by a dictionary of the others.
+FOLDS = 4
 #: Words of a training sample.
 PIECE = 60
 OVER, UNDER = (1, 2, 3, 4, 5, 7), (1, 2, 4)
@@ -66,7 +71,7 @@ class Model:
     def compressors(self) -> list:
         import zstandard as z
 
-        how = z.ZstdCompressionParameters(window_log=19, chain_log=18, hash_log=19, search_log=6, min_match=6, target_length=32, strategy=z.STRATEGY_LAZY2, write_content_size=False, write_checksum=False, write_dict_id=False)
+        how = z.ZstdCompressionParameters(window_log=20, chain_log=19, hash_log=20, search_log=6, min_match=5, target_length=32, strategy=z.STRATEGY_LAZY2, write_content_size=False, write_checksum=False, write_dict_id=False)
         made = [z.ZstdCompressionDict(b or b" " * 8, dict_type=z.DICT_TYPE_RAWCONTENT) for b in (self.ordinary, self.toxic + self.ordinary)]
         return [z.ZstdCompressor(dict_data=d, compression_params=how).compress for d in made]
 
@@ -82,8 +87,11 @@ def distances(body: bytes, ordinary: Callable, toxic: Callable) -> list[float]:
     return [d.mean(), d.max(), d.sum() / n**0.5, *((d >= q).mean() for q in OVER), *((d <= -q).mean() for q in UNDER), 1 / n]
 
 
-def dictionary(bodies: list[bytes], how: tuple[int, int, int]) -> bytes:
-    return train([p for body in bodies for p in windows(body, PIECE)], *how)
+def dictionary(bodies: list[bytes], how: tuple[int, float, int, int], whole: int | None = None) -> bytes:
+    """A dictionary of texts, of the size that ``whole`` bytes of text would have."""
+    most, share, k, d = how
+    size = max(2_048, min(most, int(share * (whole or sum(map(len, bodies))))))
+    return train([p for body in bodies for p in windows(body, PIECE)], size, k, d)
 
 
 def fit(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -125,27 +133,34 @@ def untrained(ordinary: bytes, toxic: bytes) -> Model:
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> Model:
-    sample = labelled_sample(docs, labels).withColumn("half", F.pmod("key", F.lit(2)).cast("int"))
-    held = {(c, h): [] for c in (0, 1) for h in (0, 1)}
+    sample = labelled_sample(docs, labels).withColumn("fold", F.pmod("key", F.lit(FOLDS)).cast("int"))
+    plain: list[bytes] = []
+    toxic: list[list[bytes]] = [[] for _ in range(FOLDS)]
     size = 0
     for row in sample.orderBy("key", "text").toLocalIterator():
         body = (row.text or "").encode()
         size += len(body)
         if size > SAMPLE_BYTES:
             break
-        held[row.toxic, row.half].append(body)
-    ordinary = dictionary(held[0, 0], ORDINARY)
-    unseen = [untrained(ordinary, dictionary(held[1, 1 - h], TOXIC)) for h in (0, 1)]
-    model = untrained(ordinary, dictionary(held[1, 0] + held[1, 1], TOXIC))
-    del held
-    turn = F.when(F.col("toxic") == 1, F.col("half")).otherwise(F.pmod(F.shiftright("key", 1), F.lit(2)).cast("int"))
-    tried = sample.where("toxic = 1 or half = 1").withColumn("model", turn)
+        if row.toxic:
+            toxic[row.fold].append(body)
+        elif row.fold % 2 == 0:
+            plain.append(body)
+    ordinary = dictionary(plain, ORDINARY)
+    whole = sum(len(b) for part in toxic for b in part)
+    trained = lambda parts: untrained(ordinary, dictionary([b for part in parts for b in part], TOXIC, whole))
+    unseen = [trained(toxic[:k] + toxic[k + 1 :]) for k in range(FOLDS)]
+    model = trained(toxic)
+    del plain, toxic
+    turn = F.when(F.col("toxic") == 1, F.col("fold")).otherwise(F.pmod(F.shiftright("key", 8), F.lit(FOLDS)).cast("int"))
+    tried = sample.where("toxic = 1 or fold % 2 = 1").withColumn("model", turn)
     rows = measured(tried.select("text", "toxic", "model"), unseen).select("distances", "toxic").toArrow().to_pydict()
     y = np.array(rows["toxic"], float)
     if len(set(y.tolist())) < 2:
         model.weights[-1] = 30 * (1 if len(y) and y[0] else -1)
         return model
     model.weights, model.centre, model.spread = fit(np.array(rows["distances"]), y)
+    model.weights[-1] += np.log(ODDS * (1 - y.mean()) / y.mean())
     return model
 
 
