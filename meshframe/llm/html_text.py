@@ -3,17 +3,23 @@
 The standard library's streaming parser turns a page into lines, one for each block element, with the
 characters, the linked characters and the tags of each. The text-to-tag ratios of the lines are smoothed by
 a Gaussian; lines at or above a threshold form clusters, and the heaviest cluster points out the region of
-the page that holds the article: the closest element around the cluster, or the article or main element
-around that. All lines of the region are the text, but for those in parts that are no article by their
-element, role, class or id.
+the page that holds the article: the closest element around the cluster's heavier lines, widened to an article or
+main element around it, or else to an element that adds little but a heading. All lines of the region are the text,
+but for those in parts that are no article by their element, role, class or id, and links outside paragraphs.
+
+Class and id words count on elements that group others, never on a paragraph or heading, and not on a wrapper that
+holds an article, a main element or the h1. Elements are numbered as they open, so that a region is a range of numbers and the
+element around some lines is the one around the first and the last: time and memory are linear in the page.
 
 Defined results: null, empty and text-free pages give an empty text; unclosed, stray and cut-off markup is
 read as far as it goes; character references are decoded; a line break inside a block is white space; blocks
-keep page order and repeat if the page repeats them; clashing columns are replaced."""
+keep page order and repeat if the page repeats them; pages of any length are read whole; repeated rows repeat their
+result; an empty table gives an empty table; clashing columns are replaced."""
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Callable
 from html.parser import HTMLParser
 
@@ -26,16 +32,28 @@ from pyspark.sql import types as T
 from .common import add_columns, read_table
 
 SIGMA, WIDTH = 1.0, 2
-#: A line belongs to a cluster if its smoothed ratio reaches this share of the mean over lines with text.
-SHARE = 0.5
+#: A line belongs to a cluster if its smoothed ratio reaches this share of the mean over lines with text, and is one of
+#: its heavier lines if its ratio reaches SHARE of the cluster's largest.
+THRESHOLD, SHARE = 1.0, 0.5
+#: What an element around the cluster's may add to the text for a heading's sake, and how many are tried.
+WIDEN, WIDENINGS = 0.25, 8
 
 # Elements of HTML by what they do to lines.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody tfoot thead tr ul".split())
 ENDS_P = BLOCK - {"html", "body", "li", "tr", "tbody", "thead", "tfoot", "caption", "dd", "dt"}
 UNSEEN = frozenset("head script style noscript template svg math iframe object canvas audio video select option datalist textarea button title label".split())
+IN_HEAD = frozenset("title meta link script style base noscript template".split())
+FOREIGN = frozenset("svg math".split())
+#: Unseen elements that end with the line if they are not closed.
+SHORT = frozenset("button label title".split())
 SIDE = frozenset("nav aside footer form menu dialog".split())
 WHOLE = frozenset("html body main article".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements that hold a piece of text rather than parts of a page.
+PIECES = HEADINGS | frozenset("p li pre blockquote b i a em strong span ul ol dl dd dt td th tr tbody table figcaption".split())
+#: Elements whose class and id are not looked at.
+TEXTUAL = HEADINGS | frozenset("p pre blockquote b i a em strong code abbr cite q mark small sub sup figcaption td th".split())
 SPACED = frozenset("br td th img input".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 #: Words of class and id names that mark parts which are no article.
@@ -46,101 +64,134 @@ MARKS = frozenset(
 )
 CUT_TAG = re.compile(r"<[/!a-zA-Z][^<>]*\Z")
 NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+NEVER, NAMED, FREE = 2, 1, 0
 
 
-def is_side(tag: str, attrs: list[tuple[str, str | None]], in_article: bool) -> bool:
-    """Whether an element is a part of the page that is no article."""
+def side(tag: str, attrs: list[tuple[str, str | None]], in_article: bool) -> int:
+    """NEVER: an element that is no article; NAMED: one whose class or id says so; else FREE."""
     if tag in WHOLE:
-        return False
+        return FREE
     if tag in SIDE or tag == "header" and not in_article:
-        return True
+        return NEVER
+    named = FREE
     for key, value in attrs:
-        if key in ("class", "id"):
-            words = [w.lower() for w in NAME.findall(value or "")]
+        value = value or ""
+        if key == "role" and value.strip().lower() in ROLES or key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and "display:none" in value.replace(" ", "").lower():
+            return NEVER
+        if key in ("class", "id") and tag not in TEXTUAL:
+            words = [w.lower() for w in NAME.findall(value)]
             if any(w in MARKS for w in words) or "header" in words and not in_article:
-                return True
-        elif key == "role" and (value or "").strip().lower() in ROLES:
-            return True
-        elif key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and "display:none" in (value or "").replace(" ", "").lower():
-            return True
-    return False
+                named = NAMED
+    return named
 
 
 class Lines(HTMLParser):
-    """Parser events as lines: (text, tags, linked characters, side, path of open elements)."""
+    """Parser events as elements, numbered as they open, and lines: (text, tags, linked characters, element, block)."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, bool, tuple[int, ...]]] = []
+        self.lines: list[tuple[str, int, int, int, str]] = []
         self.names: list[str] = []
-        self.open: list[tuple[int, str, bool]] = []  # number, tag, whether side
+        self.parent: list[int] = []
+        self.side: list[int] = []
+        self.open: list[int] = []
+        self.count: Counter[str] = Counter()  #: open elements by name
         self.unseen = 0
         self.parts: list[str] = []
-        self.tags = self.linked = self.links = self.articles = 0
+        self.tags = self.linked = 0
+        self.block = ""
 
     def end_line(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            self.lines.append((text, self.tags, self.linked, bool(self.open) and self.open[-1][2], tuple(n for n, _, _ in self.open)))
+            self.lines.append((text, self.tags, self.linked, self.open[-1] if self.open else -1, self.block))
             self.tags = 0
         self.parts, self.linked = [], 0
+        while self.open and self.names[self.open[-1]] in SHORT:
+            self.pop(len(self.open) - 1)
 
     def pop(self, at: int) -> None:
-        for _, tag, _ in self.open[at:]:
-            self.unseen -= tag in UNSEEN
-            self.links -= tag == "a"
-            self.articles -= tag in ("article", "main")
+        for n in self.open[at:]:
+            self.unseen -= self.names[n] in UNSEEN
+            self.count[self.names[n]] -= 1
         del self.open[at:]
 
     def last(self, tag: str, stops: frozenset = frozenset()) -> int:
-        for at in range(len(self.open) - 1, -1, -1):
-            if self.open[at][1] == tag:
-                return at
-            if self.open[at][1] in stops:
-                return -1
+        if self.count[tag]:
+            for at in range(len(self.open) - 1, -1, -1):
+                name = self.names[self.open[at]]
+                if name == tag:
+                    return at
+                if name in stops:
+                    return -1
         return -1
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        self.tags += 1
         if tag in SPACED:
             self.parts.append(" ")
         if tag in BLOCK:
             self.end_line()
+            self.block = tag
             if tag in ENDS_P and (at := self.last("p", BLOCK - {"p"})) >= 0:
                 self.pop(at)
             elif tag in ("li", "dd", "dt", "tr") and (at := self.last(tag, frozenset(("ul", "ol", "dl", "table", "menu")))) >= 0:
                 self.pop(at)
-        if tag == "body" and (at := self.last("head")) >= 0:
-            self.pop(at)
+        self.tags += 1
+        if self.count["head"] and tag not in IN_HEAD and (tag in BLOCK or tag == "body"):
+            self.pop(self.last("head"))
         if tag in VOID:
             return
-        side = bool(self.open and self.open[-1][2]) or is_side(tag, attrs, self.articles > 0)
-        self.open.append((len(self.names), tag, side))
+        self.parent.append(self.open[-1] if self.open else -1)
+        self.side.append(side(tag, attrs, self.count["article"] + self.count["main"] > 0))
+        self.open.append(len(self.names))
         self.names.append(tag)
+        self.count[tag] += 1
         self.unseen += tag in UNSEEN
-        self.links += tag == "a"
-        self.articles += tag in ("article", "main")
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
-        self.handle_starttag(tag, attrs)
+        if tag in FOREIGN or any(self.count[x] for x in FOREIGN):
+            self.tags += 1
+        else:
+            self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
         if tag in BLOCK:
             self.end_line()
+            self.block = ""
         if (at := self.last(tag, frozenset() if tag in BLOCK else BLOCK)) >= 0:
             self.pop(at)
 
     def handle_data(self, data: str) -> None:
         if not self.unseen:
             self.parts.append(data)
-            if self.links:
+            if self.count["a"]:
                 self.linked += len(data)
 
     def close(self) -> None:
         super().close()
         self.end_line()
 
+    def ends(self) -> list[int]:
+        """By element, the last one inside it."""
+        last = list(range(len(self.names)))
+        for n in range(len(last) - 1, -1, -1):
+            if (p := self.parent[n]) >= 0:
+                last[p] = max(last[p], last[n])
+        return last
+
+    def beside(self) -> list[bool]:
+        """By element, whether it is in a part of the page that is no article."""
+        wrapper = [False] * len(self.names)
+        for n in range(len(self.names) - 1, -1, -1):
+            wrapper[n] = wrapper[n] or self.names[n] in ("article", "main", "h1")
+            if wrapper[n] and (p := self.parent[n]) >= 0:
+                wrapper[p] = True
+        out: list[bool] = []
+        for n, p in enumerate(self.parent):
+            out.append(p >= 0 and out[p] or self.side[n] == NEVER or self.side[n] == NAMED and not wrapper[n])
+        return out
+
 
 KERNEL = np.exp(-0.5 * (np.arange(-WIDTH, WIDTH + 1) / SIGMA) ** 2)
 KERNEL /= KERNEL.sum()
@@ -152,37 +203,62 @@ def smoothed(ratios: np.ndarray) -> np.ndarray:
 
 def clusters(ratios: np.ndarray) -> list[tuple[int, int]]:
     """Runs of lines whose smoothed ratio reaches the threshold."""
-    high = smoothed(ratios) >= SHARE * ratios.mean()
+    high = smoothed(ratios) >= THRESHOLD * ratios.mean() * (1 - 1e-9)
     edge = np.flatnonzero(np.diff(np.concatenate([[0], high.astype(np.int8), [0]])))
     return list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
 
 
+def around(page: Lines, heavy: list[int], sizes: np.ndarray) -> int:
+    """The element that holds the article, from the heavier lines of its cluster; -1 is the whole page. sizes: the
+    characters of each line that is not beside the article."""
+    at = [page.lines[i][3] for i in heavy]
+    low, high, ends = min(at), max(at), page.ends()
+    while low >= 0 and ends[low] < high:
+        low = page.parent[low]
+    while low >= 0 and page.names[low] in PIECES:
+        low = page.parent[low]
+    found = low
+    place = np.array([x[3] for x in page.lines])
+    held = lambda n: (place >= n) & (place <= ends[n])
+    up = low
+    while up >= 0 and page.names[up] not in ("body", "html"):
+        if page.names[up] in ("article", "main"):
+            return up
+        up = page.parent[up]
+    headed = [n for n, name in enumerate(page.names) if name in ("h1", "h2")]
+    up = page.parent[found] if found >= 0 else -1
+    own = int(sizes[held(found)].sum()) if found >= 0 else 0
+    for _ in range(WIDENINGS):
+        if up < 0 or page.names[up] in ("body", "html"):
+            break
+        inside = held(up)
+        if sizes[inside].sum() > (1 + WIDEN) * own:
+            break
+        if any(up < n < found for n in headed):
+            return up
+        up = page.parent[up]
+    return found
+
+
 def main_text(html: str) -> str:
     """The article of a page, its blocks separated by an empty line."""
-    parser = Lines()
-    parser.feed(CUT_TAG.sub("", html))
-    parser.close()
-    lines = parser.lines
-    usable = [i for i, x in enumerate(lines) if not x[3]]
-    if not usable:
+    page = Lines()
+    page.feed(CUT_TAG.sub("", html))
+    page.close()
+    lines, beside = page.lines, page.beside()
+    free = [at < 0 or not beside[at] for _, _, _, at, _ in lines]
+    if not any(free):
         return ""
-    ratios = np.array([0.0 if side else max(0, len(text) - linked) / (1 + tags) for text, tags, linked, side, _ in lines])
+    ratios = np.array([max(0, len(text) - linked) / (1 + tags) if ok else 0.0 for (text, tags, linked, _, _), ok in zip(lines, free, strict=True)])
     best = max(clusters(ratios) or [(0, len(lines))], key=lambda r: ratios[r[0] : r[1]].sum())
-    inside = [i for i in range(*best) if not lines[i][3]] or usable
+    inside = [i for i in range(*best) if free[i]] or [i for i, ok in enumerate(free) if ok]
     # the heavier lines of the cluster decide, so that a stray line at its edge doesn't widen the region
     floor = SHARE * max(ratios[i] for i in inside)
-    paths = [lines[i][4] for i in inside if ratios[i] >= floor]
-    shared = paths[0]
-    for p in paths[1:]:
-        shared = shared[: next((k for k, (a, b) in enumerate(zip(shared, p, strict=False)) if a != b), min(len(shared), len(p)))]
-    while shared and parser.names[shared[-1]] in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "pre", "blockquote", "b", "i", "a", "em", "strong", "span", "ul", "ol"):
-        shared = shared[:-1]
-    outer = next((k for k, n in enumerate(shared) if parser.names[n] in ("article", "main")), None)
-    articles = [k for k, n in enumerate(shared) if parser.names[n] == "article"]
-    if articles or outer is not None:
-        shared = shared[: (articles[0] if articles else outer) + 1]
-    region = [i for i in usable if lines[i][4][: len(shared)] == shared]
-    return "\n\n".join(lines[i][0] for i in region if not lines[i][2] or lines[i][2] < len(lines[i][0]) * 0.9 or len(shared) and parser.names[shared[-1]] in ("article", "main"))
+    region = around(page, [i for i in inside if ratios[i] >= floor], np.array([len(x[0]) * ok for x, ok in zip(lines, free, strict=True)]))
+    last = page.ends()[region] if region >= 0 else len(page.names)
+    named = region >= 0 and page.names[region] in ("article", "main")
+    kept = [x for x, ok in zip(lines, free, strict=True) if ok and (region < 0 or region <= x[3] <= last)]
+    return "\n\n".join(text for text, _, linked, _, block in kept if named or linked < 0.9 * len(text) or block in HEADINGS or block in ("p", "blockquote"))
 
 
 def extract(df: DataFrame, html_col: str = "html", out_col: str = "text") -> DataFrame:

@@ -26,6 +26,50 @@ def test_odd_markup():
     h.main_text("<" * 500 + "<p>" * 3000 + "</div>" * 50 + "<!-- x")
 
 
+LONG = "These words are the running text of the page and go on for a while, so that the line is a long one."
+TEASER = "<div class='t'><a href=x>Read</a><p>Another story of ours.</p><a href=y>More</a></div>"
+PARTS = f"<body><div id=a>{TEASER}</div><div id=b><div class=x><h1>Title</h1></div><div class=x><div class=s><p>{LONG} 1</p><p>{LONG} 2</p></div><h2>A</h2><h3>B</h3><div class=s><p>{LONG} 3</p><p>{LONG} 4</p></div></div></div><div id=c>{TEASER * 6}<p>{LONG} of others</p></div></body>"
+PARTS_WANT = ["Title", f"{LONG} 1", f"{LONG} 2", "A", "B", f"{LONG} 3", f"{LONG} 4"]
+
+
+def test_clusters_find_the_article_without_names():
+    assert h.main_text(PARTS).split("\n\n") == PARTS_WANT
+
+
+def test_without_clusters_or_smoothing_the_article_is_missed(monkeypatch):
+    with monkeypatch.context() as m:
+        m.setattr(h, "clusters", lambda ratios: [(0, len(ratios))])
+        assert h.main_text(PARTS).split("\n\n") != PARTS_WANT
+    with monkeypatch.context() as m:
+        m.setattr(h, "smoothed", lambda ratios: ratios)
+        assert h.main_text(PARTS).split("\n\n") != PARTS_WANT
+
+
+def test_nothing_of_the_article_is_lost():
+    page = f"<body><article><h1>T</h1><p>{LONG}</p><svg viewBox=x /><p>after svg</p><svg><g/><text>no</text></svg><p><label>no</p><p>after label</p><p class='related'>a paragraph</p><p class='search-results-intro'>another</p><p><a href=x>one link only</a></p></article></body>"
+    want = ["T", LONG, "after svg", "after label", "a paragraph", "another", "one link only"]
+    assert h.main_text(page).split("\n\n") == want
+    assert h.main_text(page.replace("article>", "div>")).split("\n\n") == want
+    wrapped = f"<body><div class='page with-sidebar comments-on'><div class='sidebar'><p>{LONG} side</p></div><div><h1>T</h1><p>{LONG}</p><p>{LONG}</p></div></div></body>"
+    assert h.main_text(wrapped).split("\n\n") == ["T", LONG, LONG]
+    assert h.main_text(f"<head><title>x<p>{LONG}") == LONG
+
+
+def test_deep_pages_take_linear_time_and_memory():
+    import time
+    import tracemalloc
+
+    spent = []
+    for n in (4_000, 16_000):
+        page = "<div>word and more words " * n
+        tracemalloc.start()
+        began = time.process_time()
+        assert len(h.main_text(page).split("\n\n")) == n
+        spent.append((time.process_time() - began, tracemalloc.get_traced_memory()[1]))
+        tracemalloc.stop()
+    assert spent[1][0] < 8 * spent[0][0] + 1 and spent[1][1] < 6 * spent[0][1]
+
+
 def plain(page):
     """What the synthetic pages are built from: the blocks of their article, by pattern."""
     body = re.search(r"<article>(.*?)(?:</article>|$)", page or "", re.S)
