@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meshframe.storage import settle
+from meshframe.storage import forget, settle, settled
+
+#: Rounds whose frontiers stand beside the labels before they are merged into them.
+MERGE = 4
 
 
 def nearest(labels: DataFrame) -> DataFrame:
@@ -17,17 +20,36 @@ def nearest(labels: DataFrame) -> DataFrame:
 def relax(labels: DataFrame, edges: DataFrame, frontier: DataFrame, locked: DataFrame | None = None, rounds: int | None = None) -> DataFrame:
     """Multi-source shortest paths with labels: (vid, coarse_id, dist), by relaxing edges (src, dst, len) from
     the vertices that changed until none does; ties go to the smaller label. ``locked`` (vid) never change."""
-    state, front, done = settle(labels, "labels"), frontier, 0
+    spark = labels.sparkSession
+    state, held = settled(labels, "labels")
+    front, last = frontier, None
+    news: list[str] = []  # frontiers that are not merged into the state
+    done = 0
     while not front.isEmpty() and (rounds is None or done < rounds):
         moves = front.join(edges, front["vid"] == edges["src"]).select(F.col("dst").alias("vid"), F.struct((F.col("dist") + F.col("len")).alias("dist"), "coarse_id").alias("hit"))
         if locked is not None:
             moves = moves.join(locked, "vid", "left_anti")
         best = moves.groupBy("vid").agg(F.min("hit").alias("hit"))
-        old = state.select("vid", F.struct("dist", "coarse_id").alias("old"))
+        old = nearest(merged(state, news)).select("vid", F.struct("dist", "coarse_id").alias("old"))
         better = best.join(old, "vid", "left").where(F.col("old").isNull() | (F.col("hit") < F.col("old"))).select("vid", "hit.coarse_id", "hit.dist")
-        front = settle(better, "frontier")
-        state = settle(nearest(state.unionByName(front)), "labels")
+        front, last = settled(better, "frontier")
+        news.append(last)
+        if len(news) == MERGE:
+            whole, path = settled(nearest(merged(state, news)), "labels")
+            forget(spark, held, *news[:-1])
+            state, held, news = whole, path, [last]
         done += 1
+    if news:
+        whole, path = settled(nearest(merged(state, news)), "labels")
+        forget(spark, held, *news)
+        state = whole
+    return state
+
+
+def merged(state: DataFrame, paths: list[str]) -> DataFrame:
+    """The labels with the frontiers found since."""
+    for path in paths:
+        state = state.unionByName(state.sparkSession.read.schema(state.schema).parquet(path).select(*state.columns))
     return state
 
 

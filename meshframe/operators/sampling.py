@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meshframe.operators.exterior import ranked
-from meshframe.storage import settle
+from meshframe.storage import forget, settle, settled
 
 #: Vertices that the driver takes on at most; above, every round is distributed.
 LOCAL = 50_000
@@ -43,13 +43,17 @@ def pick_local(priority: DataFrame, near: DataFrame) -> DataFrame:
 def pick_rounds(priority: DataFrame, near: DataFrame) -> DataFrame:
     """The same by rounds over the whole cluster; each is written to the shared folder."""
     key = F.struct("rank", "vid").alias("key")
-    open_, chosen = settle(priority.select("vid", key), "open"), None
+    spark = priority.sparkSession
+    open_, held = settled(priority.select("vid", key), "open")
+    chosen = None
     while not open_.isEmpty():
         rival = near.join(open_.select(F.col("vid").alias("dst"), F.col("key").alias("other")), "dst").groupBy(F.col("src").alias("vid")).agg(F.min("other").alias("other"))
         won = settle(open_.join(rival, "vid", "left").where(F.col("other").isNull() | (F.col("key") < F.col("other"))).select("vid"), "won")
         chosen = won if chosen is None else chosen.unionByName(won)
         lost = near.join(won.withColumnRenamed("vid", "src"), "src", "left_semi").select(F.col("dst").alias("vid"))
-        open_ = settle(open_.join(won.unionByName(lost).distinct(), "vid", "left_anti"), "open")
+        left, path = settled(open_.join(won.unionByName(lost).distinct(), "vid", "left_anti"), "open")
+        forget(spark, held)
+        open_, held = left, path
     return chosen if chosen is not None else priority.select("vid")
 
 

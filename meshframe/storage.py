@@ -1,24 +1,103 @@
-"""Where iterations cut their lineage: Parquet in the folder that the cluster shares."""
+"""Where iterations cut their lineage: Parquet in the folder that the cluster shares.
+
+Intermediate results belong to a scope. ``with scope(spark) as own:`` gathers those made inside, and ``own.close()``
+deletes them once the results that read them are written; no scope touches what another made. What is made outside of
+any scope lasts as long as the application and is deleted at its end."""
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a local one is made only where that is unset."""
+    """The folder named by ``spark.checkpoint.dir``. Where that is unset a local folder is made, which only a session
+    whose executors are threads of this process can share; on a cluster the setting is required."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="meshframe-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
+class Scope:
+    """The intermediate files and tables of one run."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.made: list[tuple[str, str]] = []
+
+    def add(self, kind: str, name: str) -> str:
+        self.made.append((kind, name))
+        return name
+
+    def drop(self, name: str) -> None:
+        """Delete one of them now; names of other scopes are left alone."""
+        for kind, own in [x for x in self.made if x[1] == name]:
+            self.made.remove((kind, own))
+            if kind == "table":
+                self.spark.sql(f"DROP TABLE IF EXISTS {own}")
+            else:
+                path = self.spark._jvm.org.apache.hadoop.fs.Path(own)
+                path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    def close(self) -> None:
+        for _, name in list(self.made):
+            self.drop(name)
+
+
+ACTIVE: ContextVar[Scope | None] = ContextVar("meshframe scope", default=None)
+#: The scope of what is made outside of any other, by application.
+LASTING: dict[str, Scope] = {}
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[Scope]:
+    own = Scope(spark)
+    before = ACTIVE.set(own)
+    try:
+        yield own
+    finally:
+        ACTIVE.reset(before)
+
+
+def current(spark: SparkSession) -> Scope:
+    if (own := ACTIVE.get()) is not None and own.spark.sparkContext is spark.sparkContext:
+        return own
+    return LASTING.setdefault(spark.sparkContext.applicationId, Scope(spark))
+
+
+@atexit.register
+def at_the_end() -> None:
+    for own in LASTING.values():
+        try:
+            own.close()
+        except Exception:  # noqa: BLE001 - the session may be gone
+            pass
+
+
 def settle(df: DataFrame, label: str = "step") -> DataFrame:
     """``df`` computed once, written to the shared folder and read back; survives lost executors."""
-    path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    return settled(df, label)[0]
+
+
+def settled(df: DataFrame, label: str = "step") -> tuple[DataFrame, str]:
+    """``settle`` and the path, by which ``forget`` deletes it before its scope ends."""
+    spark = df.sparkSession
+    path = current(spark).add("path", f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def forget(spark: SparkSession, *paths: str) -> None:
+    """Delete settled results that nothing reads any more."""
+    for path in paths:
+        current(spark).drop(path)
