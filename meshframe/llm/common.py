@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -12,48 +11,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from meshframe.storage import Scope, current, scope, settle, shared_folder
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a local one is made only where that is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="meshframe-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+__all__ = ["Scope", "add_columns", "current", "materialise", "read_table", "scope", "settle", "shared_folder", "slices", "temporary", "texts", "trim", "utf8", "without"]
 
 
-#: Paths and tables that hold intermediate results, by the application that made them.
-TEMPORARY: dict[str, list[tuple[str, str]]] = {}
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def temporary(spark: SparkSession, kind: str, name: str) -> str:
-    TEMPORARY.setdefault(spark.sparkContext.applicationId, []).append((kind, name))
-    return name
-
-
-def release(spark: SparkSession) -> None:
-    """Delete the intermediate results made so far; only for a caller whose results are all written."""
-    for kind, name in TEMPORARY.pop(spark.sparkContext.applicationId, []):
-        if kind == "table":
-            spark.sql(f"DROP TABLE IF EXISTS {name}")
-        else:
-            path = spark._jvm.org.apache.hadoop.fs.Path(name)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    """Enter a path or table into the scope of the run that makes it."""
+    return current(spark).add(kind, name)
 
 
 def materialise(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
-    """Write ``df`` once as Parquet in the shared folder and read it back, which cuts the lineage and
-    lets later stages restart from files any executor can reach. ``release`` deletes it unless kept."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    """Write ``df`` once as Parquet in the shared folder and read it back, which cuts the lineage and lets later stages
+    restart from files any executor can reach. The run's scope deletes it unless kept."""
     if not keep:
-        temporary(spark, "path", path)
+        return settle(df, label)
+    path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def trim() -> None:

@@ -1,7 +1,9 @@
 """Near-duplicates by five-word shingles at a Jaccard similarity of 0.8 or more.
 
-``signatures`` adds a digest of each text's words and BANDS keys, each a hash of ROWS minima of the shingles'
-hashes. Texts of similarity s share a key with probability 1 - (1 - s^ROWS)^BANDS, all but 4 in a million at 0.8.
+``signatures`` adds a digest of each text's words and its bucket keys: those of the SimHash's covering tables, over the
+five-word shingles, and BANDS more, each a hash of ROWS minima of the shingles' hashes. The tables meet every pair
+within two bits; most pairs of similarity 0.8 are 3 to 11 bits apart, and for them covering tables would be thousands.
+Texts of similarity s share a band with probability 1 - (1 - s^ROWS)^BANDS, all but 4 in a million at 0.8.
 ``edges`` compares the distinct texts that share a key on their whole shingle sets, so no pair under 0.8 is
 linked. Members of a bucket are put one after another to the components of those before them: one that fits a
 component's first member takes one comparison, and what leaves a task is a link a member, never the pairs.
@@ -20,8 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import add_columns, materialise, shared_folder, utf8
-from .simhash import LOWER, SEED, components
+from .common import add_columns, materialise, utf8
+from .simhash import LOWER, MASKS, MULTIPLIER, SEED, components, covering_keys, folded
 
 SHINGLE = 5
 BANDS = 24
@@ -30,7 +32,6 @@ ROWS = 4
 CHUNK = 4_096
 FIELDS = T.StructType([T.StructField("_key", T.LongType()), T.StructField("_bands", T.ArrayType(T.LongType()))])
 MIX = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * ROWS), np.uint64)
-MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
 def shingles(text: bytes) -> np.ndarray:
@@ -61,8 +62,9 @@ def signatures(df: DataFrame, text_col: str = "text") -> DataFrame:
     def kernel(column: pa.Array) -> list:
         cells = utf8(column)
         keys = [xxhash.xxh3_64_intdigest(b" ".join(b.translate(LOWER).split()), SEED) for b in cells]
-        flat = np.concatenate([bands(shingles(b)) for b in cells]) if cells else np.empty(0, np.int64)
-        offsets = pa.array(np.arange(len(cells) + 1, dtype=np.int32) * BANDS)
+        sets = [shingles(b) for b in cells]
+        flat = np.concatenate([x for held in sets for x in (bands(held), covering_keys(folded(held)))]) if cells else np.empty(0, np.int64)
+        offsets = pa.array(np.arange(len(cells) + 1, dtype=np.int32) * (BANDS + len(MASKS)))
         return [pa.array(np.array(keys, np.uint64).view(np.int64)), pa.ListArray.from_arrays(offsets, pa.array(flat))]
 
     make: Callable = lambda: kernel
@@ -113,7 +115,4 @@ def edges(marked: DataFrame) -> DataFrame:
 
 def link(marked: DataFrame) -> DataFrame:
     """``marked`` (_key, _bands, _row, text) with ``_root``, the smallest digest of its component."""
-    spark = marked.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return marked.join(components(edges(marked)).withColumnRenamed("node", "_key"), "_key", "left").withColumn("_root", F.coalesce("root", "_key")).drop("root")

@@ -3,12 +3,14 @@
 A text's words are scored by their log frequency in each language. A word that no language's vocabulary
 holds falls back to character n-grams, from ORDERS[0] down: the longest order of which the word has a known
 n-gram decides, by the mean log frequency of its known n-grams. Vocabularies are the most frequent words of a
-language, VOCABULARY at most; a word in any of them has its counts in all languages; n-gram counts go into BUCKETS hashed counters per order and language, so the
-model has a fixed size; the counts themselves cover all learning rows.
+language, VOCABULARY at most; a word in any of them has its counts in all languages, and is known to the model by its
+hash; n-gram counts go into BUCKETS hashed counters per order and language. The model so takes about two MB a language,
+whatever the corpus, and every language of the learning rows is in it; the counts themselves cover all learning rows.
 
 Defined results: null text and text without letters are ``und`` with score 0; rows without a language are
 never learnt from; without any learning row every text is ``und``; ties go to the first language by name;
-a text of any length is scored whole; repeated rows repeat their result; clashing columns are replaced."""
+a text of any length is scored whole; repeated rows repeat their result; an empty table gives an empty table;
+clashing columns are replaced."""
 
 from __future__ import annotations
 
@@ -23,18 +25,20 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import add_columns, materialise, read_table, slices, texts
+from .common import add_columns, materialise, read_table, slices, texts, trim
 
 VOCABULARY = 50_000
 ORDERS = (5, 4, 3, 2, 1)
 BUCKETS = 1 << 16
 #: Words of one count are told apart by so many leading bits of their hash before they are ranked.
 PART_BITS = 12
-#: Languages a model may hold, the most frequent first; it bounds what is sent to executors.
-LANGUAGES = 64
-#: Words a task remembers the scores of, at most.
-MEMORY = 200_000
+#: Words a task counts, or remembers the scores of, before it hands them on or forgets them; characters it scores at once.
+MEMORY, BLOCK = 200_000, 500_000
+#: The shortest n-grams that are evidence of a language.
+EVIDENCE = 2
 SMOOTH = 0.5
+#: The seed of Spark's xxhash64 (fixed value).
+HASH_SEED = 42
 UNKNOWN = "und"
 WORD = re.compile(r"[^\W\d_]+")
 FIELDS = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
@@ -71,18 +75,18 @@ def word_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, Counter] = {}
 
-        def flush() -> pa.RecordBatch:
-            rows = [(lang, w, n) for lang, c in held.items() for w, n in c.items()]
-            held.clear()
-            lang, word, n = zip(*rows, strict=True) if rows else ((), (), ())
-            return pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(word, pa.string()), pa.array(n, pa.int64())], names=["lang", "word", "n"])
+        def flush() -> Iterator[pa.RecordBatch]:
+            while held:
+                lang, c = held.popitem()
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(c), pa.string()), pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], names=["lang", "word", "n"])
 
         for batch in (part for b in batches for part in slices(b)):
             for text, lang in zip(texts(batch.column(0)), batch.column(1).to_pylist(), strict=True):
                 held.setdefault(lang, Counter()).update(words_of(text))
                 if sum(map(len, held.values())) > MEMORY:
-                    yield flush()
-        yield flush()
+                    yield from flush()
+        yield from flush()
+        trim()
 
     rows = docs.where(F.col(lang_col).isNotNull()).select(text_col, lang_col).mapInArrow(run, "lang string, word string, n long")
     return rows.groupBy("lang", "word").agg(F.sum("n").alias("n"))
@@ -138,31 +142,34 @@ def frequent(counts: DataFrame) -> DataFrame:
 @dataclass
 class Model:
     languages: list[str]
-    words: dict[str, int]  #: word: row of word_logs
-    word_logs: np.ndarray
+    words: np.ndarray  #: ascending hashes of the vocabulary
+    word_logs: np.ndarray  #: (word, language), in that order
     gram_logs: dict[int, np.ndarray]  #: by order, (bucket, language)
     gram_known: dict[int, np.ndarray]
 
+    def places(self, words: list[str]) -> np.ndarray:
+        """The row of each word, or -1."""
+        import xxhash
+
+        key = np.array([xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), HASH_SEED) for w in words], np.uint64)
+        if not len(self.words):
+            return np.full(len(words), -1)
+        at = np.minimum(np.searchsorted(self.words, key), len(self.words) - 1)
+        return np.where(self.words[at] == key, at, -1)
+
 
 def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Model:
-    """A model of all rows of ``docs`` with a language. What reaches the driver is bounded by LANGUAGES,
-    VOCABULARY and BUCKETS."""
+    """A model of all rows of ``docs`` with a language. What reaches the driver is bounded by VOCABULARY and BUCKETS
+    for each language."""
     counts = materialise(word_counts(docs, text_col, lang_col), "words")
-    total = counts.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
-    sizes = {r.lang: float(r.n) for r in total.collect()}
+    sizes = {r.lang: float(r.n) for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     langs = sorted(sizes)
     at = {x: i for i, x in enumerate(langs)}
-    counts = counts.where(F.col("lang").isin(langs))
-    top = counts.join(frequent(counts).select("word").distinct(), "word", "left_semi").select("lang", "word", "n")
-    vocabulary: dict[str, int] = {}
-    seen = []
-    for lang, word, n in zip(*top.toArrow().to_pydict().values(), strict=True):
-        seen.append((vocabulary.setdefault(word, len(vocabulary)), at[lang], n))
+    top = counts.join(frequent(counts).select("word").distinct(), "word", "left_semi").select("lang", F.xxhash64("word").alias("key"), "n").toArrow()
     size = np.array([sizes[x] for x in langs])
-    word_n = np.zeros((len(vocabulary), len(langs)))
-    if seen:
-        i, j, n = (np.array(x) for x in zip(*seen, strict=True))
-        word_n[i, j] = n
+    words, row = np.unique(top.column("key").to_numpy().view(np.uint64), return_inverse=True)
+    word_n = np.zeros((len(words), len(langs)))
+    np.add.at(word_n, (row, np.array([at[x] for x in top.column("lang").to_pylist()], int)), top.column("n").to_numpy())
     smooth = lambda n, whole, kinds: np.log((n + SMOOTH) / (whole + SMOOTH * kinds)).astype(np.float32)
     gram_logs, gram_known = {}, {}
     grams = gram_counts(counts).toArrow()
@@ -175,14 +182,16 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Mo
         held[bucket[mine], column[mine]] = n[mine]
         gram_logs[o] = smooth(held, held.sum(axis=0), BUCKETS)
         gram_known[o] = held.any(axis=1)
-    return Model(langs, vocabulary, smooth(word_n, size, max(1, len(vocabulary))), gram_logs, gram_known)
+    return Model(langs, words, smooth(word_n, size, max(1, len(words))), gram_logs, gram_known)
 
 
 def word_scores(model: Model, words: list[str]) -> np.ndarray:
-    """(word, language) log scores: the vocabulary first, then the longest order with a known n-gram."""
-    out = np.zeros((len(words), len(model.languages)), np.float32)
-    rows = np.array([model.words.get(w, -1) for w in words])
-    out[rows >= 0] = model.word_logs[rows[rows >= 0]]
+    """(word, language) log scores: the vocabulary first, then the longest order with a known n-gram. One more column
+    tells whether there was evidence of EVIDENCE characters or more."""
+    out = np.zeros((len(words), len(model.languages) + 1), np.float32)
+    rows = model.places(words)
+    out[rows >= 0, :-1] = model.word_logs[rows[rows >= 0]]
+    out[rows >= 0, -1] = 1
     left = np.flatnonzero(rows < 0)
     for order in ORDERS:
         if not len(left):
@@ -195,53 +204,67 @@ def word_scores(model: Model, words: list[str]) -> np.ndarray:
         for j in range(len(model.languages)):
             total = np.bincount(owner, logs[:, j], len(left))
             out[left[found > 0], j] = total[found > 0] / found[found > 0]
+        out[left[found > 0], -1] = order >= EVIDENCE
         left = left[found == 0]
     return out
 
 
 class Scorer:
-    """Predicts batches of texts; remembers the scores of the words met, up to MEMORY."""
+    """Predicts batches of texts; remembers the scores of the words met, up to MEMORY and those of a block."""
 
     def __init__(self, model: Model):
         self.model = model
+        self.forget()
+
+    def forget(self) -> None:
         self.row: dict[str, int] = {}
-        self.logs = np.zeros((0, len(model.languages)), np.float32)
-
-    def __call__(self, batch: list[str]) -> list[tuple[str, float]]:
-        out: list[tuple[str, float]] = []
-        for at in range(0, len(batch), 500):
-            cut = [words_of(t) for t in batch[at : at + 500]]
-            if len(self.row) > MEMORY:
-                self.row, self.logs = {}, self.logs[:0]
-            new = list({w for ws in cut for w in ws} - self.row.keys())
-            if new:
-                self.row.update(zip(new, range(len(self.row), len(self.row) + len(new)), strict=True))
-                self.logs = np.concatenate([self.logs, word_scores(self.model, new)])
-            out.extend(map(self.one, cut))
+        self.logs = np.zeros((0, len(self.model.languages) + 1), np.float32)
+
+    def __call__(self, batch: list[str]) -> list[tuple[str, float, float]]:
+        out: list[tuple[str, float, float]] = []
+        at = size = 0
+        for end, text in enumerate(batch, 1):
+            size += len(text)
+            if size >= BLOCK or end == len(batch):
+                out.extend(self.block(batch[at:end]))
+                at, size = end, 0
         return out
 
-    def one(self, words: list[str]) -> tuple[str, float]:
+    def block(self, batch: list[str]) -> list[tuple[str, float, float]]:
+        cut = [words_of(t) for t in batch]
+        if len(self.row) > MEMORY:
+            self.forget()
+        new = list({w for ws in cut for w in ws} - self.row.keys())
+        if new:
+            self.row.update(zip(new, range(len(self.row), len(self.row) + len(new)), strict=True))
+            self.logs = np.concatenate([self.logs, word_scores(self.model, new)])
+        return [self.one(ws) for ws in cut]
+
+    def one(self, words: list[str]) -> tuple[str, float, float]:
+        """(language, score, share of the words with evidence)"""
         if not words or not self.model.languages:
-            return UNKNOWN, 0.0
-        total = self.logs[list(map(self.row.__getitem__, words))].sum(axis=0, dtype=float)
-        best = int(total.argmax())
-        return self.model.languages[best], float(1 / np.exp(np.minimum(total - total[best], 0)).sum())
+            return UNKNOWN, 0.0, 0.0
+        total = self.logs[np.fromiter(map(self.row.__getitem__, words), np.int64, len(words))].sum(axis=0, dtype=float)
+        best = int(total[:-1].argmax())
+        return self.model.languages[best], float(1 / np.exp(np.minimum(total[:-1] - total[best], 0)).sum()), float(total[-1] / len(words))
 
 
-def predict(df: DataFrame, model: Model, text_col: str = "text", drop_text: bool = False) -> DataFrame:
-    """``df`` with ``lang_pred`` and ``score``, the posterior share of the predicted language."""
+def predict(df: DataFrame, model: Model, text_col: str = "text", drop_text: bool = False, evidence: bool = False) -> DataFrame:
+    """``df`` with ``lang_pred`` and ``score``, the posterior share of the predicted language; with ``evidence``
+    also the share of the text's words that the model knows or that hold an n-gram it knows."""
     shared = df.sparkSession.sparkContext.broadcast(model)
+    fields = T.StructType([*FIELDS.fields, *([T.StructField("evidence", T.DoubleType())] if evidence else [])])
 
     def make() -> Callable:
         scorer = Scorer(shared.value)
 
         def kernel(column: pa.Array) -> list:
             made = scorer(texts(column))
-            return [pa.array([x for x, _ in made], pa.string()), pa.array([s for _, s in made], pa.float64())]
+            return [pa.array([r[k] for r in made], t) for k, t in enumerate((pa.string(), pa.float64(), pa.float64())[: len(fields)])]
 
         return kernel
 
-    return add_columns(df, text_col, FIELDS, make, drop_source=drop_text)
+    return add_columns(df, text_col, fields, make, drop_source=drop_text)
 
 
 def held_out(docs: DataFrame) -> DataFrame:

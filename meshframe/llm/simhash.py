@@ -9,8 +9,9 @@ if they share a one-bit neighbour (or are one themselves), so a bucket is linked
 rows grow with members, never with their pairs, and a neighbour has 29 members at most.
 
 Defined results: null, empty and wordless texts have fingerprint zero and link like any other; a text of
-one or two words is one shingle; equal texts have equal fingerprints; a component carries its smallest
-non-null doc_id; repeated rows repeat their result."""
+one or two words is one shingle; a text of any length is read whole; equal texts have equal fingerprints; a component
+carries its smallest non-null doc_id; repeated rows repeat their result; an empty table gives an empty table; columns
+that clash with the added ones are replaced."""
 
 from __future__ import annotations
 
@@ -22,12 +23,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import add_columns, materialise, read_table, shared_folder, utf8
+from meshframe.storage import forget, settled
+
+from .common import add_columns, materialise, read_table, utf8, without
 
 RADIUS = 2
 BITS = 64
 SHINGLE = 3
 SEED = 42
+#: Hashes whose bits are counted at once.
+CHUNK = 1 << 14
+MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
@@ -37,6 +43,9 @@ def covering_masks() -> list[int]:
     return [sum(1 << i for i, m in enumerate(vectors) if (m & v).bit_count() % 2) for v in range(1, 1 << RADIUS + 1)]
 
 
+MASKS = covering_masks()
+
+
 def signed(n: int) -> int:
     return n - (1 << 64) if n >> 63 else n
 
@@ -54,10 +63,22 @@ def simhash(text: bytes, size: int = SHINGLE) -> int:
         return int.from_bytes(hashed(plain, SEED), "big")
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = [0, *(ends[: len(words) - size] + 1).tolist()]
-    digests = b"".join([hashed(plain[a:b], SEED) for a, b in zip(starts, ends[size - 1 :].tolist(), strict=True)])
-    bits = np.unpackbits(np.frombuffer(digests, np.uint8).reshape(-1, 8), axis=1)
-    ones = bits.sum(axis=0, dtype=np.int32)
-    return int.from_bytes(np.packbits(ones * 2 > len(bits)).tobytes(), "big")
+    return folded(np.frombuffer(b"".join([hashed(plain[a:b], SEED) for a, b in zip(starts, ends[size - 1 :].tolist(), strict=True)]), ">u8"))
+
+
+def folded(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of 64-bit hashes."""
+    ones = np.zeros(BITS, np.int64)
+    for at in range(0, len(hashes), CHUNK):
+        ones += np.unpackbits(hashes[at : at + CHUNK].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(ones * 2 > len(hashes)).tobytes(), "big")
+
+
+def covering_keys(fp: int) -> np.ndarray:
+    """What a fingerprint's tables see of it, told apart by table: two within RADIUS bits share a key."""
+    seen = np.array([fp & m for m in MASKS], np.uint64)
+    mixed = (seen ^ np.arange(1, len(MASKS) + 1, dtype=np.uint64) * MULTIPLIER) * MULTIPLIER
+    return (mixed ^ (mixed >> np.uint64(31))).view(np.int64)
 
 
 def fingerprints(df: DataFrame, text_col: str = "text", out_col: str = "fp", keep_text: bool = False) -> DataFrame:
@@ -69,7 +90,7 @@ def fingerprints(df: DataFrame, text_col: str = "text", out_col: str = "fp", kee
 def links(distinct: DataFrame) -> DataFrame:
     """Edges (a, b), a < b, that connect the fingerprints ``fp`` of ``distinct`` (each once) as all pairs
     within two bits would."""
-    masks = covering_masks()
+    masks = MASKS
     tables = F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("key")) for t, m in enumerate(masks)])
     cells = distinct.select("fp", F.inline(tables))
     crowded = cells.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1").drop("n")
@@ -97,14 +118,16 @@ def star(edges: DataFrame, large: bool) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges`` (a < b), root its component's smallest node: large and
-    small stars alternate until nothing moves; each round is checkpointed. Rounds grow with the logarithm
-    of the nodes."""
+    small stars alternate until nothing moves; each round is written and replaces the one before. Rounds grow with
+    the logarithm of the nodes."""
+    spark = edges.sparkSession
     mark = lambda e: tuple(e.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))")).first())
-    edges = edges.checkpoint()
+    edges, held = settled(edges, "links")
     before = mark(edges)
     while before[0]:
-        edges = star(star(edges, True), False).checkpoint()
-        after = mark(edges)
+        edges, path = settled(star(star(edges, True), False), "stars")
+        forget(spark, held)
+        held, after = path, mark(edges)
         if after == before:
             break
         before = after
@@ -113,10 +136,8 @@ def components(edges: DataFrame) -> DataFrame:
 
 def link(marked: DataFrame) -> DataFrame:
     """``marked`` (doc_id, fp) with ``component_id``, the smallest doc_id reachable over links, and
-    ``_root``, the component's smallest fingerprint."""
-    spark = marked.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+    ``_root``, the component's smallest fingerprint; columns of those names are replaced."""
+    marked = without(marked, ["component_id", "_root"])
     distinct = marked.groupBy("fp").agg(F.min("doc_id").alias("low"))
     joined = components(links(distinct.select("fp")))
     rooted = distinct.join(joined, distinct["fp"] == joined["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))

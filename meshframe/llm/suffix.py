@@ -17,7 +17,9 @@ offsets, and about one position in 130 is an anchor. The steps:
 5. gram groups of over ``hot`` members never meet in a task: their windows are counted by 128-bit digests.
 
 Defined results: null counts as empty; texts under MATCH bytes lose nothing; a text that occurs twice
-loses everything if it has MATCH bytes; overlapping repeats inside one text count; rows are never lost."""
+loses everything if it has MATCH bytes; overlapping repeats inside one text count; texts of any length are read whole;
+rows are never lost; an empty table gives an empty table; a caller's columns stay as they are but for those named
+like an added one."""
 
 from __future__ import annotations
 
@@ -27,7 +29,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -49,10 +51,14 @@ KEYS = ("k1", "k2")
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 
 
-def with_keys(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """``df`` with the 128-bit key of each text (null as empty)."""
+def key_columns(text_col: str = "text") -> dict[str, Column]:
+    """The 128-bit key of a text (null as empty)."""
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    return df.withColumns({"k1": F.xxhash64(text), "k2": F.xxhash64(F.lit(2), text)})
+    return {"k1": F.xxhash64(text), "k2": F.xxhash64(F.lit(2), text)}
+
+
+def with_keys(df: DataFrame, text_col: str = "text") -> DataFrame:
+    return df.withColumns(key_columns(text_col))
 
 
 def distinct_texts(df: DataFrame, text_col: str = "text") -> DataFrame:
@@ -389,7 +395,10 @@ def as_text(df: DataFrame, bytes_col: str, out_col: str) -> DataFrame:
 def remove_repeats(df: DataFrame, text_col: str = "text", hot: int = HOT) -> DataFrame:
     """``df`` with ``kept`` and ``removed`` for each row's text; columns of those names are replaced."""
     results = cut(distinct_texts(df, text_col), hot)
-    return with_keys(without(df, ["kept", "removed", *KEYS]), text_col).join(results, list(KEYS)).drop(*KEYS)
+    rows = without(df, ["kept", "removed"])
+    keys = {k: f"_{k}_of_text" for k in KEYS}
+    keyed = rows.join(results.withColumnsRenamed(keys), [digest_of == F.col(keys[k]) for k, digest_of in key_columns(text_col).items()])
+    return keyed.select(*[F.col(f"`{c}`") for c in rows.columns], "kept", "removed")
 
 
 def digest(docs: DataFrame, hot: int = HOT) -> DataFrame:

@@ -20,6 +20,20 @@ def test_a_word_below_the_bar_keeps_its_count(spark, monkeypatch):
     monkeypatch.setattr(language, "VOCABULARY", 2)
     rows = [("top top top mid mid mid seen", "aa"), ("seen seen", "bb")]
     model = language.learn(spark.createDataFrame(rows, "text string, lang string"))
-    assert sorted(model.words) == ["mid", "seen", "top"]
-    logs = model.word_logs[model.words["seen"]]
+    assert len(model.words) == 3 and sorted(model.places(["mid", "seen", "top", "other"]))[:2] == [-1, 0]
+    logs = model.word_logs[model.places(["seen"])[0]]
     assert abs(logs[0] - math.log((1 + language.SMOOTH) / (7 + 3 * language.SMOOTH))) < 1e-5
+
+
+def test_every_language_can_be_predicted(spark):
+    rows = [(f"word{chr(97 + i // 26)}{chr(97 + i % 26)} common", f"l{i:03d}") for i in range(90)]
+    model = language.learn(spark.createDataFrame(rows, "text string, lang string"))
+    assert len(model.languages) == 90
+    got = language.predict(spark.createDataFrame(rows, "text string, lang string"), model, evidence=True).collect()
+    assert all(r.lang_pred == r.lang and r.evidence == 1 for r in got)
+
+
+def test_text_of_no_learnt_script_has_no_evidence(spark):
+    model = language.learn(spark.createDataFrame([("the cat sat on the mat", "en"), ("le chat est sur le tapis", "fr")], "text string, lang string"))
+    got = language.predict(spark.createDataFrame([("漢字仮名 文章 言語",), ("the tapis",)], "text string"), model, evidence=True).collect()
+    assert got[0].evidence < 0.5 and got[1].evidence == 1

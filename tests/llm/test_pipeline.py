@@ -1,10 +1,11 @@
 import hashlib
+import os
 from collections import Counter
 
 import corpus_pipeline
 from tests.conftest import SF
 from tests.llm.test_bpe import LIBRARY, RANKS
-from tests.llm.test_simhash import classes, slow
+from tests.llm.test_jaccard import classes
 
 MATCH = 400
 
@@ -26,7 +27,7 @@ def cut(texts):
 def test_run_against_brute_force(spark):
     rows = spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").collect()
     rows = [r for r in rows if any(c.isalpha() for c in r.text or "")]
-    rows = [r for i, (r, c) in enumerate(zip(rows, classes([slow(r.text) for r in rows]), strict=True)) if i == c]
+    rows = [r for i, (r, c) in enumerate(zip(rows, classes([r.text for r in rows]), strict=True)) if i == c]
     texts = cut([r.text.encode() for r in rows])
     got = {r.doc_id: r for r in corpus_pipeline.run(spark, SF).collect()}
     assert set(got) == {r.doc_id for r in rows}
@@ -49,3 +50,23 @@ def test_stages_with_odd_rows(spark):
                 docs = corpus_pipeline.common.materialise(docs, name, keep=True)
         got = sorted((r.doc_id or 0, r.n_tokens > 0) for r in docs.collect())
         assert got in ([(0, True), (2, True), (3, False)], [])
+
+
+def test_a_run_deletes_its_own_intermediates_and_no_others(spark):
+    folder = corpus_pipeline.storage.shared_folder(spark).removeprefix("file://")
+    mine, other = corpus_pipeline.suffix.op2_suffix_array(spark, SF), corpus_pipeline.common.materialise(spark.range(9), "mine")
+    near = corpus_pipeline.near_duplicate_stage(spark, spark.read.parquet(f"{SF}/documents.parquet"), SF)
+    before, tables = set(os.listdir(folder)), {t.name for t in spark.catalog.listTables()}
+    made = corpus_pipeline.run(spark, SF)
+    rows = made.count()
+    left = {x for x in set(os.listdir(folder)) - before if not x.startswith("mixing-")}
+    assert rows and not left and {t.name for t in spark.catalog.listTables()} <= tables
+    assert mine.count() == spark.read.parquet(f"{SF}/documents.parquet").count() and other.count() == 9 and near.count() >= rows
+
+
+def test_language_stage_drops_only_text_of_no_learnt_language(spark):
+    clean = [(i, f"{a} {b} and the other words of {a}", "en", "x", 1) for i, (a, b) in enumerate((a, b) for a in ("house", "river", "garden") for b in ("green", "old", "quiet"))]
+    odd = [(50, "漢字 仮名 文章 言語 処理", "en", "x", 1), (51, "12 34 !!", None, "x", 1), (52, None, None, "x", 1)]
+    docs = spark.createDataFrame(clean + [(i, t, None, s, n) for i, t, _, s, n in odd], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id for r in corpus_pipeline.language_stage(spark, docs, "nowhere").collect()}
+    assert got == {r[0] for r in clean}
