@@ -119,6 +119,15 @@ def with_tet_coordinates(df: DataFrame, p: str, corners: list[str]) -> DataFrame
     return steps.withColumn("metric", metric).drop("_b", "_c", "_d", "_r", "_nb", "_nc", "_nd", "_whole")
 
 
+def in_box(p: Column, *corners: Column, margin: float = 1e-9) -> Column:
+    """Whether p lies in the bounding box of the corners, give or take the margin; no point of their hull lies outside."""
+    inside = F.lit(True)
+    for a in AXES:
+        held = [c[a] for c in corners]
+        inside = inside & (p[a] >= F.least(*held) - margin) & (p[a] <= F.greatest(*held) + margin)
+    return inside
+
+
 def edge_weight(p: Column, a: Column, b: Column) -> Column:
     """The weight of b when p is projected on edge a-b and clamped to it; 0 on an edge without length."""
     e = sub(b, a)

@@ -33,6 +33,7 @@ def rotated(cliques: DataFrame, corners: list[str]) -> DataFrame:
 def tet_candidates(points: DataFrame, tets: DataFrame, coarse: DataFrame) -> DataFrame:
     """For fine points (f, c, p) the cliques at their centre that contain them: metric, corners, weights."""
     spread = placed(points.join(rotated(tets, list("abcd")), "c"), coarse, ["c", "r1", "r2", "r3"])
+    spread = spread.where(G.in_box(F.col("p"), *[F.col(f"q_{k}") for k in ("c", "r1", "r2", "r3")], margin=1e-4))
     return G.with_tet_coordinates(spread, "p", ["q_c", "q_r1", "q_r2", "q_r3"]).where(F.col("metric") > -1e-5)
 
 

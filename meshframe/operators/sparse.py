@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meshframe.functions import geometry as G
+from meshframe.storage import settle
 
 
 def reduce_entries(entries: DataFrame) -> DataFrame:
@@ -72,8 +73,7 @@ def relative_norm(x: DataFrame, y: DataFrame) -> DataFrame:
 
 def jacobi_sweep(a: DataFrame, b: DataFrame, x: DataFrame, d_inverse: DataFrame, omega: float) -> DataFrame:
     """x + omega D^-1 (b - A x)."""
-    step = add(b, spmv(a, x), 1.0, -1.0).join(d_inverse.select("i", F.col("v").alias("_d")), "i").select("i", (F.col("v") * F.col("_d")).alias("v"))
-    return add(x, step, 1.0, omega)
+    return add(x, scaled(add(b, spmv(a, x), 1.0, -1.0), d_inverse), 1.0, omega)
 
 
 def row_sums(p: DataFrame) -> DataFrame:
@@ -96,3 +96,17 @@ def check_prolongation(p: DataFrame, n_fine: int, n_coarse: int, tolerance: floa
     box = p.agg(F.max("i").alias("i"), F.max("j").alias("j"), F.count_distinct("i").alias("rows")).first()
     unity, low = partition_of_unity(p, tolerance).first(), negative_entries(p).first()
     return {"shape": (box.i or 0) < n_fine and (box.j or 0) < n_coarse, "rows": box.rows == n_fine, "unity": not unity.n_off, "positive": not low.n_negative, "constants": (unity.worst or 0.0) <= tolerance}
+
+
+def power_growth(a: DataFrame, x: DataFrame, steps: int = 2) -> DataFrame:
+    """One row: the growth of the norm in the last of ``steps`` power steps x <- D^-1 A x."""
+    d = settle(inverse_diagonal(a, x), "diagonal")
+    before = x
+    for _ in range(steps):
+        before, x = x, settle(scaled(spmv(a, x), d), "power")
+    return norm(x).withColumnRenamed("norm", "top").crossJoin(norm(before)).select(F.try_divide("top", "norm").alias("growth"))
+
+
+def scaled(x: DataFrame, d: DataFrame) -> DataFrame:
+    """(i, v): a vector times a diagonal."""
+    return x.join(d.select("i", F.col("v").alias("_d")), "i").select("i", (F.col("v") * F.col("_d")).alias("v"))

@@ -60,6 +60,16 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return edges.select(F.inline(F.array(F.struct(F.col("a").alias("src"), F.col("b").alias("dst")), F.struct(F.col("b").alias("src"), F.col("a").alias("dst")))))
 
 
+def graph_union(left: DataFrame, right: DataFrame) -> DataFrame:
+    """The edges of two graphs, each once."""
+    return left.unionByName(right).distinct()
+
+
+def graph_difference(left: DataFrame, right: DataFrame) -> DataFrame:
+    """The edges of the first graph that the second lacks."""
+    return left.join(right, left.columns, "left_anti")
+
+
 def adjacency(tets: DataFrame) -> DataFrame:
     return both_ways(undirected_edges(tets))
 

@@ -39,9 +39,8 @@ def order_edges(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame,
     return v, t, topology.adjacency(t)
 
 
-def sparse_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A thinner graph for clique queries: the order complex's edges of even key sum."""
-    return topology.both_ways(topology.undirected_edges(orders.order_tets(spark, sf_dir)).where("(a + b) % 2 = 0"))
+def whole_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return settle(topology.adjacency(orders.order_tets(spark, sf_dir)), "edges")
 
 
 def seeds(spark: SparkSession, sf_dir: str, step: int = 40) -> DataFrame:
@@ -191,27 +190,11 @@ def manufactured_solution(spark, sf_dir):
 
 @query
 def triangles(spark, sf_dir):
-    return cliques.triangles(sparse_graph(spark, sf_dir))
-
-
-@query
-def four_cliques(spark, sf_dir):
-    return cliques.four_cliques(sparse_graph(spark, sf_dir))
-
-
-def whole_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return settle(topology.adjacency(orders.order_tets(spark, sf_dir)), "edges")
-
-
-@query
-def all_triangles(spark, sf_dir):
-    """Those of all edges; ``triangles`` is bound by its SQL to edges of even key sum."""
     return cliques.triangles(whole_graph(spark, sf_dir))
 
 
 @query
-def all_four_cliques(spark, sf_dir):
-    """Those of all edges; ``four_cliques`` is bound by its SQL to edges of even key sum."""
+def four_cliques(spark, sf_dir):
     return cliques.four_cliques(whole_graph(spark, sf_dir))
 
 
@@ -229,13 +212,13 @@ def split_graphs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
 @query
 def graph_union(spark, sf_dir):
     left, right = split_graphs(spark, sf_dir)
-    return left.unionByName(right).distinct()
+    return topology.graph_union(left, right)
 
 
 @query
 def graph_difference(spark, sf_dir):
     left, right = split_graphs(spark, sf_dir)
-    return left.join(right, ["a", "b"], "left_anti")
+    return topology.graph_difference(left, right)
 
 
 @query
@@ -247,14 +230,6 @@ def edges_without_inner(spark, sf_dir):
 
 @query
 def complex_surface(spark, sf_dir):
-    tets = orders.order_tets(spark, sf_dir)
-    tris = topology.tet_faces(tets.where("tid % 5 = 0")).select("a", "b", "c").distinct()
-    return topology.complex_surface(topology.boundary_faces(tets), tris)
-
-
-@query
-def all_complex_surface(spark, sf_dir):
-    """With the faces of all tets; ``complex_surface`` is bound by its SQL to those of every fifth."""
     tets = orders.order_tets(spark, sf_dir)
     return topology.complex_surface(topology.boundary_faces(tets), topology.tet_faces(tets).select("a", "b", "c").distinct())
 
@@ -269,7 +244,7 @@ def surface_depth(spark, sf_dir):
 def nearest_coarse_vertex(spark, sf_dir):
     v = orders.order_vertices(spark, sf_dir)
     centres = v.where("vid % 40 = 0").withColumnRenamed("vid", "coarse_id")
-    return rounded(topology.nearest_centre(v, centres).select("vid", "dist"), "dist")
+    return rounded(topology.nearest_centre(v, centres).select("vid", "coarse_id", "dist"), "dist")
 
 
 @query
@@ -360,8 +335,9 @@ def relative_error(spark, sf_dir):
 
 @query
 def jacobi_sweeps(spark, sf_dir):
-    a, b, x = laplacian(spark, sf_dir), right_side(spark, sf_dir), ramp(spark, sf_dir).select("i", F.lit(0.0).alias("v"))
-    d = sparse.inverse_diagonal(a, x)
+    a, x = settle(laplacian(spark, sf_dir), "matrix"), ramp(spark, sf_dir)
+    b, x = settle(sparse.spmv(a, x), "right"), x.select("i", F.lit(0.0).alias("v"))
+    d = settle(sparse.inverse_diagonal(a, x), "diagonal")
     for omega in G.chebyshev_omegas(2.0):
         x = sparse.jacobi_sweep(a, b, x, d, omega)
     return rounded(x, "v")
@@ -370,20 +346,14 @@ def jacobi_sweeps(spark, sf_dir):
 @query
 def power_iteration(spark, sf_dir):
     """Two steps of x <- D^-1 A x, and the growth of the norm."""
-    a, x = laplacian(spark, sf_dir), ramp(spark, sf_dir)
-    d = sparse.inverse_diagonal(a, x)
-    step = lambda v: sparse.spmv(a, v).join(d.select("i", F.col("v").alias("d")), "i").select("i", (F.col("v") * F.col("d")).alias("v"))
-    one = settle(step(x), "power")
-    return sparse.norm(step(one)).withColumnRenamed("norm", "top").crossJoin(sparse.norm(one)).select(r6(F.col("top") / F.col("norm")).alias("growth"))
+    return rounded(sparse.power_growth(laplacian(spark, sf_dir), ramp(spark, sf_dir)), "growth")
 
 
 @query
 def chebyshev_coefficients(spark, sf_dir):
-    largest = vertex_degree(spark, sf_dir).agg(F.max("degree").cast("double").alias("m"))
-    k = F.col("k")
-    low, high = F.col("m") / 10, F.col("m")
-    omega = 2 / (high + low - (high - low) * F.cos(F.lit(3.141592653589793) * (2 * k + 1) / 4))
-    return largest.select("m", F.explode(F.array(F.lit(0), F.lit(1))).alias("k")).select("k", r6(omega).alias("omega"))
+    """The relaxation weights for a largest eigenvalue that is the largest degree."""
+    largest = vertex_degree(spark, sf_dir).agg(F.max("degree").cast("double").alias("m")).first().m
+    return rounded(spark.createDataFrame(list(enumerate(G.chebyshev_omegas(largest))), "k int, omega double"), "omega")
 
 
 @query
@@ -399,10 +369,10 @@ def negative_entries(spark, sf_dir):
 
 @query
 def cluster_k_hops(spark, sf_dir):
-    """Distances to the nearest seed over at most two edges."""
+    """The nearest seed of each part over at most two edges, and its distance."""
     v, _, edges = order_edges(spark, sf_dir)
     made = coarsen.cluster(seeds(spark, sf_dir), settle(topology.with_length(edges, v), "edges"), rounds=2)
-    return rounded(made.select("vid", "dist"), "dist")
+    return rounded(made.select("vid", "coarse_id", "dist"), "dist")
 
 
 @query
@@ -415,15 +385,7 @@ def cluster_all_hops(spark, sf_dir):
 
 @query
 def two_hop_reach(spark, sf_dir):
-    """Shortest paths of up to two edges from the seeds, under a length of 0.4."""
-    v, _, edges = order_edges(spark, sf_dir)
-    from_seed = seeds(spark, sf_dir).select(F.col("fine_vid").alias("src"))
-    return rounded(sampling.reach(topology.with_length(edges, v), 0.4).join(from_seed, "src", "left_semi"), "dist")
-
-
-@query
-def all_two_hop_reach(spark, sf_dir):
-    """The same from every part; ``two_hop_reach`` is bound by its SQL to the seeds."""
+    """Shortest paths of up to two edges between parts, under a length of 0.4."""
     v, _, edges = order_edges(spark, sf_dir)
     return rounded(sampling.reach(settle(topology.with_length(edges, v), "edges"), 0.4), "dist")
 
@@ -434,7 +396,8 @@ def best_tet_per_point(spark, sf_dir):
     v, t = orders.order_mesh(spark, sf_dir)
     corners = topology.tet_points(t, v).withColumn("g", F.floor(F.col("v0") / 40))
     points = labels(spark, sf_dir).join(v, "vid").select("vid", F.col("coarse_id").alias("g"), G.point(F.col("x"), F.col("y"), F.col("z")).alias("p"))
-    hits = G.with_tet_coordinates(points.join(corners, "g"), "p", [f"p{i}" for i in range(4)]).select("vid", "tid", r6("metric").alias("metric")).where("metric > -0.5")
+    near = points.join(corners, (points["g"] == corners["g"]) & G.in_box(F.col("p"), *[F.col(f"p{i}") for i in range(4)]))
+    hits = G.with_tet_coordinates(near, "p", [f"p{i}" for i in range(4)]).select("vid", "tid", r6("metric").alias("metric")).where("metric > -0.5")
     return hits.groupBy("vid").agg(F.min(F.struct("metric", "tid")).alias("top")).select("vid", "top.tid", "top.metric")
 
 
@@ -478,14 +441,7 @@ def order_history(o: DataFrame) -> DataFrame:
 
 @query
 def residual_curve(spark, sf_dir):
-    """Orders as the cycles of their customer: prices as residuals, lines as times. Its SQL binds it to 50 customers."""
-    o = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_custkey <= 50")
-    return rounded(report.residual_curve(order_history(o)), "seconds", "relative")
-
-
-@query
-def all_residual_curves(spark, sf_dir):
-    """The curves of all customers."""
+    """Orders as the cycles of their customer: prices as residuals, lines as times."""
     return rounded(report.residual_curve(order_history(spark.read.parquet(f"{sf_dir}/orders.parquet"))), "seconds", "relative")
 
 

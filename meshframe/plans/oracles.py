@@ -108,13 +108,28 @@ def stiffness() -> str:
     return f"grad AS (SELECT v0, v1, v2, v3, abs({volume6('p0', 'p1', 'p2', 'p3')}) / 6 AS vol, {grads} FROM tp), stiff AS (SELECT i, j, sum(v) AS v FROM ({rows}) GROUP BY 1, 2)"
 
 
-THIN = [TETS, UND, "g AS (SELECT a, b FROM und WHERE (a + b) % 2 = 0)"]
+WHOLE = [TETS, UND, "g AS (SELECT a, b FROM und)"]
 LINEAR = [TETS, UND, LAP, RAMP, RHS]
 BRANDS = "p AS (SELECT p_partkey AS i, p_partkey // 40 AS j, 1.0::DOUBLE AS v FROM part)"
 LENGTHS = f"el AS (SELECT src, dst, {norm(sub('p.', 'q.'))} AS len FROM adj JOIN pts p ON p.vid = src JOIN pts q ON q.vid = dst)"
 SEEDS = "seed AS (SELECT p_partkey AS vid FROM part WHERE p_partkey % 40 = 0)"
 SPOTS = "spot AS (SELECT vid, x AS qx, y AS qy, z AS qz, vid // 40 AS g FROM pts), corner AS (SELECT *, v0 // 40 AS g FROM tp)"
 
+#: Labelled shortest paths from the seeds: rows of one key replace each other until none gets better.
+SHORTEST = """best(vid, dist, coarse_id) USING KEY (vid) AS (SELECT vid, 0.0::DOUBLE, vid // 40 FROM seed UNION
+SELECT n.vid, n.hit.d, n.hit.c FROM (SELECT e.dst AS vid, min({'d': b.dist + e.len, 'c': b.coarse_id}) AS hit FROM best b JOIN el e ON e.src = b.vid GROUP BY 1) n
+LEFT JOIN recurring.best o ON o.vid = n.vid WHERE o.vid IS NULL OR n.hit.d < o.dist OR n.hit.d = o.dist AND n.hit.c < o.coarse_id)"""
+#: Going through a cube's vertices in order, exterior ones first: a vertex not yet seen is taken, and all that it reaches are seen.
+WALK = f"""el AS (SELECT src, dst, {norm(sub('p.', 'q.'))} AS len FROM adj JOIN pts p ON p.vid = src JOIN pts q ON q.vid = dst),
+radius AS (SELECT pow(2.0, 1.0 / 3) * avg(len) AS r FROM el WHERE src < dst AND len > 0),
+pair AS (SELECT src, dst FROM el, radius WHERE len < r UNION SELECT e.src, f.dst FROM el e JOIN el f ON f.src = e.dst, radius WHERE e.src <> f.dst AND e.len < r AND f.len < r AND e.len + f.len < r),
+around AS (SELECT src, list(dst) AS ds FROM pair GROUP BY 1),
+turn AS (SELECT row_number() OVER (ORDER BY NOT outer_one, vid) AS i, vid, outer_one FROM (SELECT vid, vid IN (SELECT vid FROM ext) AS outer_one FROM pts)),
+walk(i, seen, taken) AS (SELECT 0::BIGINT, []::BIGINT[], []::BIGINT[] UNION ALL
+SELECT t.i, CASE WHEN list_contains(w.seen, t.vid) THEN w.seen ELSE list_concat(w.seen, list_concat([t.vid], coalesce(a.ds, []))) END, CASE WHEN list_contains(w.seen, t.vid) THEN w.taken ELSE list_append(w.taken, t.vid) END
+FROM walk w JOIN turn t ON t.i = w.i + 1 LEFT JOIN around a ON a.src = t.vid),
+taken AS (SELECT unnest(taken) AS vid FROM walk WHERE i = (SELECT max(i) FROM turn))"""
+
 
 def inside() -> str:
     e, r = [sub(f"p{i}", "p0") for i in (1, 2, 3)], sub("q", "p0")
@@ -165,15 +180,15 @@ ORACLES: dict[str, str] = {
     "lumped_mass": sql([*ORDER, POINTS, MASS], f"SELECT i, {r6('v')} AS v FROM mass"),
     "stiffness_coo": sql([cube(10), POINTS, stiffness()], f"SELECT i, j, {r6('v')} AS v FROM stiff"),
     "manufactured_solution": sql([PARTS, BOX], f"SELECT vid AS i, {r6(f'({WAVE}) / 3')} AS v FROM pts, scaled"),
-    "triangles": sql(THIN, "SELECT e.a, e.b, f.b AS c FROM g e JOIN g f ON f.a = e.b JOIN g h ON h.a = e.a AND h.b = f.b"),
-    "four_cliques": sql([*THIN, "t AS (SELECT e.a, e.b, f.b AS c FROM g e JOIN g f ON f.a = e.b JOIN g h ON h.a = e.a AND h.b = f.b)"], "SELECT t.a, t.b, t.c, x.b AS d FROM t JOIN g x ON x.a = t.c JOIN g y ON y.a = t.a AND y.b = x.b JOIN g z ON z.a = t.b AND z.b = x.b"),
+    "triangles": sql(WHOLE, "SELECT e.a, e.b, f.b AS c FROM g e JOIN g f ON f.a = e.b JOIN g h ON h.a = e.a AND h.b = f.b"),
+    "four_cliques": sql([*WHOLE, "t AS (SELECT e.a, e.b, f.b AS c FROM g e JOIN g f ON f.a = e.b JOIN g h ON h.a = e.a AND h.b = f.b)"], "SELECT t.a, t.b, t.c, x.b AS d FROM t JOIN g x ON x.a = t.c JOIN g y ON y.a = t.a AND y.b = x.b JOIN g z ON z.a = t.b AND z.b = x.b"),
     "quotient_graph": sql([*GRAPH, GROUPS], "SELECT DISTINCT s.c AS src, d.c AS dst FROM adj JOIN lab s ON s.vid = src JOIN lab d ON d.vid = dst WHERE s.c <> d.c"),
     "graph_union": sql(GRAPH, "SELECT a, b FROM und WHERE (a + b) % 2 = 0 OR a % 3 = 0"),
     "graph_difference": sql(GRAPH, "SELECT a, b FROM und WHERE (a + b) % 2 = 0 AND a % 3 <> 0"),
     "edges_without_inner": sql(GRAPH, "SELECT a AS src, b AS dst FROM und WHERE a % 2 <> 0 OR b % 2 <> 0"),
-    "complex_surface": sql([TETS, FACES], "SELECT f0, f1, f2 FROM (SELECT 0 AS o, a, b, c, f0, f1, f2 FROM bfaces UNION ALL SELECT DISTINCT 1, a, b, c, a, b, c FROM keyed WHERE tid % 5 = 0) QUALIFY row_number() OVER (PARTITION BY a, b, c ORDER BY o, f0, f1, f2) = 1"),
+    "complex_surface": sql([TETS, FACES], "SELECT f0, f1, f2 FROM (SELECT 0 AS o, a, b, c, f0, f1, f2 FROM bfaces UNION ALL SELECT DISTINCT 1, a, b, c, a, b, c FROM keyed) QUALIFY row_number() OVER (PARTITION BY a, b, c ORDER BY o, f0, f1, f2) = 1"),
     "surface_depth": sql([cube(10), FACES], "SELECT vid, CASE WHEN vid IN (SELECT unnest([a, b, c]) FROM bfaces) THEN 0 ELSE 1 END AS depth FROM pts"),
-    "nearest_coarse_vertex": sql([PARTS], f"SELECT p.vid, {r6(f'min({norm(sub("p.", "q."))})')} AS dist FROM pts p, pts q WHERE q.vid % 40 = 0 GROUP BY 1"),
+    "nearest_coarse_vertex": sql([PARTS], f"SELECT vid, coarse_id, {r6('dist')} AS dist FROM (SELECT p.vid, q.vid AS coarse_id, {norm(sub('p.', 'q.'))} AS dist FROM pts p, pts q WHERE q.vid % 40 = 0) QUALIFY row_number() OVER (PARTITION BY vid ORDER BY dist, coarse_id) = 1"),
     "surface_remap": sql([TETS, FACES, "m AS (SELECT a // 25 AS x, b // 25 AS y, c // 25 AS z FROM bfaces)"], "SELECT DISTINCT least(x, y, z) AS a, x + y + z - least(x, y, z) - greatest(x, y, z) AS b, greatest(x, y, z) AS c FROM m WHERE x <> y AND y <> z AND x <> z"),
     "spmv": sql(LINEAR, f"SELECT i, {r6('v')} AS v FROM rhs"),
     "spmv_transposed": sql([RAMP, BRANDS], f"SELECT p.j AS i, {r6('sum(p.v * x.v)')} AS v FROM p JOIN ramp x ON x.i = p.i GROUP BY 1"),
@@ -193,15 +208,17 @@ ORACLES: dict[str, str] = {
     "chebyshev_coefficients": sql([*GRAPH, "m AS (SELECT max(n)::DOUBLE AS m FROM (SELECT count(*) AS n FROM adj GROUP BY src))"], f"SELECT k::INTEGER AS k, {r6(f'2 / (m + m / 10 - (m - m / 10) * cos({PI} * (2 * k + 1) / 4))')} AS omega FROM m, range(2) r(k)"),
     "partition_of_unity": "SELECT round(max(off), 6) + 0.0 AS worst, arg_max(vid, {'o': off, 'v': -vid}) AS row, count(*) FILTER (off > 1e-10) AS n_off FROM (SELECT p_partkey AS vid, CASE WHEN p_partkey % 100 = 7 THEN 0.25 ELSE 0.0 END::DOUBLE AS off FROM part)",
     "negative_entries": sql([TETS, UND, LAP], f"SELECT count(*) FILTER (v < -1e-12) AS n_negative, {r6('min(v)')} AS least, (SELECT i FROM lap ORDER BY v, i, j LIMIT 1) AS i, (SELECT j FROM lap ORDER BY v, i, j LIMIT 1) AS j FROM lap"),
-    "cluster_k_hops": sql([PARTS, TETS, UND, LENGTHS, SEEDS], f"SELECT vid, {r6('min(dist)')} AS dist FROM (SELECT vid, 0.0::DOUBLE AS dist FROM seed UNION ALL SELECT dst, len FROM el JOIN seed ON vid = src UNION ALL SELECT f.dst, e.len + f.len FROM el e JOIN seed ON vid = e.src JOIN el f ON f.src = e.dst) GROUP BY 1"),
-    "two_hop_reach": sql([PARTS, TETS, UND, LENGTHS, SEEDS], f"SELECT src, dst, {r6('min(dist)')} AS dist FROM (SELECT src, dst, len AS dist FROM el JOIN seed ON vid = src UNION ALL SELECT e.src, f.dst, e.len + f.len FROM el e JOIN seed ON vid = e.src JOIN el f ON f.src = e.dst WHERE e.src <> f.dst) WHERE dist < 0.4 GROUP BY 1, 2"),
+    "cluster_k_hops": sql([PARTS, TETS, UND, LENGTHS, SEEDS], f"SELECT vid, coarse_id, {r6('dist')} AS dist FROM (SELECT vid, vid // 40 AS coarse_id, 0.0::DOUBLE AS dist FROM seed UNION ALL SELECT dst, vid // 40, len FROM el JOIN seed ON vid = src UNION ALL SELECT f.dst, vid // 40, e.len + f.len FROM el e JOIN seed ON vid = e.src JOIN el f ON f.src = e.dst) QUALIFY row_number() OVER (PARTITION BY vid ORDER BY dist, coarse_id) = 1"),
+    "cluster_all_hops": f"WITH RECURSIVE {', '.join([PARTS, TETS, UND, LENGTHS, SEEDS])}, {SHORTEST}\nSELECT vid, coarse_id, {r6('dist')} AS dist FROM best",
+    "two_hop_reach": sql([PARTS, TETS, UND, LENGTHS], f"SELECT src, dst, {r6('min(dist)')} AS dist FROM (SELECT src, dst, len AS dist FROM el UNION ALL SELECT e.src, f.dst, e.len + f.len FROM el e JOIN el f ON f.src = e.dst WHERE e.src <> f.dst AND e.len < 0.4 AND f.len < 0.4) WHERE dist < 0.4 GROUP BY 1, 2"),
     "best_tet_per_point": sql([*ORDER, POINTS, SPOTS, inside(), "scored AS (SELECT vid, tid, round(CASE WHEN flat OR least(w0, w1, w2, 1 - w0 - w1 - w2) < 0 THEN -1.0 ELSE least(w0, w1, w2, 1 - w0 - w1 - w2) END, 6) + 0.0 AS metric FROM hit)"], "SELECT vid, tid, metric FROM scored WHERE metric > -0.5 QUALIFY row_number() OVER (PARTITION BY vid ORDER BY metric, tid) = 1"),
     "best_triangle_per_point": sql([*ORDER, POINTS, SPOTS, projected(), "scored AS (SELECT vid, tid, round(height, 6) + 0.0 AS height FROM weighed WHERE abs(d) >= 1e-12 AND least(1 - v - w, v, w) >= -1e-5)"], "SELECT vid, tid, height FROM scored QUALIFY row_number() OVER (PARTITION BY vid ORDER BY height, tid) = 1"),
     "edge_projection_weights": sql([*ORDER, POINTS, EDGE], f"SELECT tid, {r6('w')} AS w, {r6(AWAY)} AS away FROM ew"),
     "inverse_distance_weights": sql([*ORDER, POINTS, INVERSE], f"SELECT f, \"to\", {r6('CASE WHEN h IS NOT NULL THEN CASE WHEN h = r THEN 1.0 ELSE 0.0 END ELSE 1 / d / total END')} AS v FROM iw JOIN hit USING (f)"),
     "case_histogram": f"SELECT (p_partkey * 7 % 5)::INTEGER AS kind, count(*) AS n, {r6('100.0 * count(*) / sum(count(*)) OVER ()')} AS percent FROM part GROUP BY 1",
-    "residual_curve": f"SELECT o_custkey::VARCHAR AS problem, (row_number() OVER w - 1)::INTEGER AS cycle, {r6('sum((o_orderkey % 10)::DOUBLE) OVER w / 1000')} AS seconds, {r6('CASE WHEN o_totalprice / first_value(o_totalprice) OVER w > 0 THEN o_totalprice / first_value(o_totalprice) OVER w ELSE 1e-16 END')} AS relative FROM orders WHERE o_custkey <= 50 WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING)",
+    "residual_curve": f"SELECT o_custkey::VARCHAR AS problem, (row_number() OVER w - 1)::INTEGER AS cycle, {r6('sum((o_orderkey % 10)::DOUBLE) OVER w / 1000')} AS seconds, {r6('CASE WHEN o_totalprice / first_value(o_totalprice) OVER w > 0 THEN o_totalprice / first_value(o_totalprice) OVER w ELSE 1e-16 END')} AS relative FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING)",
     "stage_totals": "SELECT o_orderpriority AS stage, sum((o_orderkey % 100)::DOUBLE) AS ms, count(*) AS levels FROM orders GROUP BY 1",
     "count_labels": "SELECT o_orderkey, CASE WHEN (o_orderkey * 1700 + 13) >= 1000000 THEN printf('%.1fM', (o_orderkey * 1700 + 13) / 1e6) WHEN (o_orderkey * 1700 + 13) >= 1000 THEN printf('%.0fk', (o_orderkey * 1700 + 13) / 1e3) ELSE (o_orderkey * 1700 + 13)::VARCHAR END AS label FROM orders",
+    "cube_disk_sample": f"WITH RECURSIVE {', '.join([cube(6), POINTS, UND, corner_angles(), EXTERIOR, WALK])}\nSELECT row_number() OVER (ORDER BY i) - 1 AS coarse_id, vid AS fine_vid, outer_one AS is_exterior FROM taken JOIN turn USING (vid)",
     "ply_round_trip": sql([cube(10)], "SELECT tid, v0, v1, v2, v3 FROM tets"),
 }

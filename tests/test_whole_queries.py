@@ -35,9 +35,9 @@ def rows(spark, name):
 def test_cliques_of_all_edges(spark, near):
     three = [(a, b, c) for a in near for b in near[a] if a < b for c in near[a] & near[b] if b < c]
     four = [(a, b, c, d) for a, b, c in three for d in near[a] & near[b] & near[c] if c < d]
-    got = rows(spark, "all_triangles")
+    got = rows(spark, "triangles")
     assert sorted(got) == sorted(three) and any((a + b) % 2 for a, b, _ in got)
-    assert sorted(rows(spark, "all_four_cliques")) == sorted(four)
+    assert sorted(rows(spark, "four_cliques")) == sorted(four)
 
 
 def test_residual_curves_of_all_customers(spark):
@@ -48,7 +48,7 @@ def test_residual_curves_of_all_customers(spark):
     for c, held in by.items():
         for k, (_, price) in enumerate(held):
             want[str(c), k] = (sum(ms for ms, _ in held[: k + 1]) / 1000, price / held[0][1])
-    got = {(p, c): (s, r) for p, c, s, r in rows(spark, "all_residual_curves")}
+    got = {(p, c): (s, r) for p, c, s, r in rows(spark, "residual_curve")}
     assert set(got) == set(want) and max(int(p) for p, _ in got) > 50
     assert all(got[k] == pytest.approx(want[k], abs=2e-6) for k in want)
 
@@ -61,13 +61,13 @@ def test_reach_of_all_parts(spark, near):
         for b in near[m] - {a}:
             if d + length[m, b] < 0.4:
                 want[a, b] = min(want.get((a, b), 1.0), d + length[m, b])
-    got = {(a, b): d for a, b, d in rows(spark, "all_two_hop_reach")}
+    got = {(a, b): d for a, b, d in rows(spark, "two_hop_reach")}
     assert set(got) == set(want) and any(a % 40 for a, _ in got)
     assert all(got[k] == pytest.approx(want[k], abs=2e-6) for k in want)
 
 
 def test_surface_with_the_faces_of_all_tets(spark, tets):
-    got = rows(spark, "all_complex_surface")
+    got = rows(spark, "complex_surface")
     assert {tuple(sorted(f)) for f in got} == {f for t in tets.values() for f in itertools.combinations(t, 3)}
     assert len(got) == len({frozenset(f) for f in got})
     outer = set(rows(spark, "oriented_boundary"))
