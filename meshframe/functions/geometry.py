@@ -1,4 +1,4 @@
-"""Geometry as Column expressions over points; all of it stays in generated code.
+"""Geometry as Column expressions over points.
 
 A point is a struct column with x, y and z, or a ``Vec`` of three columns. What is computed stays a ``Vec``, so
 that taking a coordinate doesn't repeat the expressions of the other two."""
@@ -6,6 +6,7 @@ that taking a coordinate doesn't repeat the expressions of the other two."""
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -102,21 +103,28 @@ def gradients(a: Column, b: Column, c: Column, d: Column) -> list[Vec]:
     return [scale(f, inverse) for f in faces]
 
 
+def staged(value: Column, *steps: Callable[[Column], Column]) -> Column:
+    """A value through steps, each of which sees the last one's result as a bound variable: the expression grows with
+    the sum of the steps, where columns of their own would be merged again into one that grows with their product."""
+    held = F.array(value)
+    for step in steps:
+        held = F.transform(held, step)
+    return F.element_at(held, 1)
+
+
 def with_tet_coordinates(df: DataFrame, p: str, corners: list[str]) -> DataFrame:
     """``df`` with ``w0``..``w3``, the barycentric coordinates of point column ``p`` in the tet of ``corners``
-    (the first by complement), and ``metric``: the smallest of them, or -1 when p is outside or the tet is
-    flat. The steps are columns of their own, so that no part is worked out twice."""
-    a, b, c, d = (F.col(k) for k in corners)
-    col = F.col
-    steps = df.withColumns({"_b": sub(b, a).struct(), "_c": sub(c, a).struct(), "_d": sub(d, a).struct(), "_r": sub(col(p), a).struct()})
-    steps = steps.withColumns({"_nb": cross(col("_c"), col("_d")).struct(), "_nc": cross(col("_d"), col("_b")).struct(), "_nd": cross(col("_b"), col("_c")).struct()})
-    steps = steps.withColumn("_whole", dot(col("_b"), col("_nb")))
-    steps = steps.withColumns({f"w{i}": F.try_divide(dot(col("_r"), col(n)), col("_whole")) for i, n in ((1, "_nb"), (2, "_nc"), (3, "_nd"))})
-    steps = steps.withColumn("w0", 1 - col("w1") - col("w2") - col("w3"))
-    flat = F.least(*[dot(col(n), col(n)) for n in ("_nb", "_nc", "_nd")]) < 1e-20
-    least = F.least("w0", "w1", "w2", "w3")
-    metric = F.when(flat | (col("_whole") == 0) | (least < 0), F.lit(-1.0)).otherwise(least)
-    return steps.withColumn("metric", metric).drop("_b", "_c", "_d", "_r", "_nb", "_nc", "_nd", "_whole")
+    (the first by complement), and ``metric``: the smallest of them, or -1 when p is outside or the tet is flat."""
+    a = F.col(corners[0])
+    sides = F.struct(*[sub(F.col(c), a).alias(n) for c, n in zip([*corners[1:], p], "bcdr", strict=True)])
+    normals = lambda s: F.struct(s["r"].alias("r"), s["b"].alias("b"), cross(s["c"], s["d"]).alias("nb"), cross(s["d"], s["b"]).alias("nc"), cross(s["b"], s["c"]).alias("nd"))
+    flat = lambda s: F.least(*[dot(s[n], s[n]) for n in ("nb", "nc", "nd")]) < 1e-20
+    heights = lambda s: F.struct(dot(s["b"], s["nb"]).alias("whole"), flat(s).alias("flat"), *[dot(s["r"], s[n]).alias(n) for n in ("nb", "nc", "nd")])
+    three = lambda s: F.struct((s["flat"] | (s["whole"] == 0)).alias("flat"), *[F.try_divide(s[n], s["whole"]).alias(f"w{i}") for i, n in ((1, "nb"), (2, "nc"), (3, "nd"))])
+    four = lambda s: F.struct(s["flat"].alias("flat"), (1 - s["w1"] - s["w2"] - s["w3"]).alias("w0"), *[s[f"w{i}"].alias(f"w{i}") for i in (1, 2, 3)])
+    least = lambda s: F.struct(s["flat"].alias("flat"), F.least(*[s[f"w{i}"] for i in range(4)]).alias("least"), *[s[f"w{i}"].alias(f"w{i}") for i in range(4)])
+    last = lambda s: F.struct(*[s[f"w{i}"].alias(f"w{i}") for i in range(4)], F.when(s["flat"] | (s["least"] < 0), F.lit(-1.0)).otherwise(s["least"]).alias("metric"))
+    return df.withColumn("_tet", staged(sides, normals, heights, three, four, least, last)).select("*", "_tet.*").drop("_tet")
 
 
 def in_box(p: Column, *corners: Column, margin: float = 1e-9) -> Column:
@@ -139,17 +147,17 @@ def edge_distance(p: Column, a: Column, b: Column) -> Column:
     return norm(sub(sub(p, a), scale(sub(b, a), edge_weight(p, a, b))))
 
 
-def triangle_projection(p: Column, a: Column, b: Column, c: Column) -> tuple[Column, Column, list[Column]]:
-    """(degenerate, distance to the plane or null when the projection is outside, coordinates)."""
-    s, t, r = sub(b, a), sub(c, a), sub(p, a)
-    ss, st, tt, rs, rt = dot(s, s), dot(s, t), dot(t, t), dot(r, s), dot(r, t)
-    denominator = ss * tt - st * st
-    v, w = F.try_divide(tt * rs - st * rt, denominator), F.try_divide(ss * rt - st * rs, denominator)
-    weights = [1 - v - w, v, w]
-    degenerate = F.abs(denominator) < 1e-12
-    normal = cross(s, t)
-    inside = ~degenerate & (F.least(*weights) >= -1e-5)
-    return degenerate, F.when(inside, F.try_divide(F.abs(dot(normal, r)), norm(normal))), weights
+def with_triangle_projection(df: DataFrame, p: str, corners: list[str]) -> DataFrame:
+    """``df`` with ``flat``, whether the triangle of ``corners`` is degenerate, ``height``, the distance of point column
+    ``p`` to its plane or null when the projection is outside, and ``w0``..``w2``, the coordinates of the projection."""
+    a = F.col(corners[0])
+    sides = F.struct(*[sub(F.col(c), a).alias(n) for c, n in zip([*corners[1:], p], "str", strict=True)])
+    products = lambda x: F.struct(*[dot(x[i], x[j]).alias(i + j) for i, j in ("ss", "st", "tt", "rs", "rt")], x["r"].alias("r"), cross(x["s"], x["t"]).alias("n"))
+    whole = lambda x: F.struct((x["ss"] * x["tt"] - x["st"] * x["st"]).alias("whole"), (x["tt"] * x["rs"] - x["st"] * x["rt"]).alias("v"), (x["ss"] * x["rt"] - x["st"] * x["rs"]).alias("w"), dot(x["n"], x["r"]).alias("nr"), norm(x["n"]).alias("size"))
+    shares = lambda x: F.struct((F.abs(x["whole"]) < 1e-12).alias("flat"), F.try_divide(x["v"], x["whole"]).alias("w1"), F.try_divide(x["w"], x["whole"]).alias("w2"), F.try_divide(F.abs(x["nr"]), x["size"]).alias("height"))
+    three = lambda x: F.struct(x["flat"].alias("flat"), x["height"].alias("height"), (1 - x["w1"] - x["w2"]).alias("w0"), x["w1"].alias("w1"), x["w2"].alias("w2"))
+    last = lambda x: F.struct(x["flat"].alias("flat"), F.when(~x["flat"] & (F.least(x["w0"], x["w1"], x["w2"]) >= -1e-5), x["height"]).alias("height"), *[x[f"w{i}"].alias(f"w{i}") for i in range(3)])
+    return df.withColumn("_triangle", staged(sides, products, whole, shares, three, last)).select("*", "_triangle.*").drop("_triangle")
 
 
 def safe_inverse(c: Column, epsilon: float) -> Column:

@@ -65,8 +65,7 @@ def interpolation(vertices: DataFrame, samples: DataFrame, clusters: DataFrame,
     out.append(weight(found3, 3, *zip([F.col(k) for k in ("c", "r1", "r2", "r3")], [F.col(f"w{i}") for i in range(4)], strict=True)).where(F.col("v") > TINY))
     rest = settle(rest.join(found3.select("f"), "f", "left_anti"), "rest4")
     spread = placed(rest.join(rotated(triangles, list("abc")), "c"), coarse, ["c", "r1", "r2"])
-    flat, height, bary = G.triangle_projection(F.col("p"), *[F.col(f"q_{k}") for k in ("c", "r1", "r2")])
-    tried = settle(spread.withColumns({"flat": flat, "height": height, **{f"w{i}": b for i, b in enumerate(bary)}}), "triangles")
+    tried = settle(G.with_triangle_projection(spread, "p", ["q_c", "q_r1", "q_r2"]), "triangles")
     found4 = settle(best(tried.where("height is not null"), ["height", "o_a", "o_b", "o_c"], ["c", "r1", "r2", "w0", "w1", "w2"]), "case4")
     out.append(weight(found4, 4, *zip([F.col(k) for k in ("c", "r1", "r2")], [F.col(f"w{i}") for i in range(3)], strict=True)).where(F.col("v") > TINY))
     rest = rest.join(found4.select("f"), "f", "left_anti")

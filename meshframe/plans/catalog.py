@@ -390,12 +390,19 @@ def two_hop_reach(spark, sf_dir):
     return rounded(sampling.reach(settle(topology.with_length(edges, v), "edges"), 0.4), "dist")
 
 
+def grouped_points(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Parts (vid, g, p) and tets with corner positions, by group. A group's tets go to many partitions, as each row
+    meets many points: their number, not their size, is the work."""
+    v, t = orders.order_mesh(spark, sf_dir)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    corners = topology.tet_points(t, v).withColumn("g", F.floor(F.col("v0") / 40)).repartition(parts, "g", F.pmod("tid", F.lit(16)))
+    return labels(spark, sf_dir).join(v, "vid").select("vid", F.col("coarse_id").alias("g"), G.point(F.col("x"), F.col("y"), F.col("z")).alias("p")), corners
+
+
 @query
 def best_tet_per_point(spark, sf_dir):
     """For each part the tet of the orders of its group that contains it with the least margin."""
-    v, t = orders.order_mesh(spark, sf_dir)
-    corners = topology.tet_points(t, v).withColumn("g", F.floor(F.col("v0") / 40))
-    points = labels(spark, sf_dir).join(v, "vid").select("vid", F.col("coarse_id").alias("g"), G.point(F.col("x"), F.col("y"), F.col("z")).alias("p"))
+    points, corners = grouped_points(spark, sf_dir)
     near = points.join(corners, (points["g"] == corners["g"]) & G.in_box(F.col("p"), *[F.col(f"p{i}") for i in range(4)]))
     hits = G.with_tet_coordinates(near, "p", [f"p{i}" for i in range(4)]).select("vid", "tid", r6("metric").alias("metric")).where("metric > -0.5")
     return hits.groupBy("vid").agg(F.min(F.struct("metric", "tid")).alias("top")).select("vid", "top.tid", "top.metric")
@@ -404,11 +411,8 @@ def best_tet_per_point(spark, sf_dir):
 @query
 def best_triangle_per_point(spark, sf_dir):
     """For each part the triangle v0 v1 v2 of its group's tets whose plane is nearest, if it projects inside."""
-    v, t = orders.order_mesh(spark, sf_dir)
-    corners = topology.tet_points(t, v).withColumn("g", F.floor(F.col("v0") / 40))
-    points = labels(spark, sf_dir).join(v, "vid").select("vid", F.col("coarse_id").alias("g"), G.point(F.col("x"), F.col("y"), F.col("z")).alias("p"))
-    _, height, _ = G.triangle_projection(F.col("p"), F.col("p0"), F.col("p1"), F.col("p2"))
-    hits = points.join(corners, "g").select("vid", "tid", r6(height).alias("height")).where("height is not null")
+    points, corners = grouped_points(spark, sf_dir)
+    hits = G.with_triangle_projection(points.join(corners, "g"), "p", ["p0", "p1", "p2"]).select("vid", "tid", r6("height").alias("height")).where("height is not null")
     return hits.groupBy("vid").agg(F.min(F.struct("height", "tid")).alias("top")).select("vid", "top.tid", "top.height")
 
 
