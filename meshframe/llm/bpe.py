@@ -29,7 +29,7 @@ from .common import add_columns, read_table, texts
 #: overhead; so they are bounded by this and what one block adds.
 HELD, ENTRY = 80 << 20, 200
 #: Characters of a block of texts, whose new words go through one replay; bytes of a kernel's slice of rows.
-SLICE = 6_000_000
+SLICE = 8_000_000
 #: The pattern under which texts may be cut at blanks (fixed value, as the tokenizer publishes it).
 BLANK_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: A blank that cannot open a piece of its own: white space or the end follows it.

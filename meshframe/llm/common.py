@@ -13,10 +13,22 @@ from pyspark.sql import types as T
 
 from meshframe.storage import Scope, current, scope, settle, shared_folder
 
-__all__ = ["Scope", "add_columns", "current", "materialise", "read_table", "scope", "settle", "shared_folder", "slices", "temporary", "texts", "trim", "utf8", "without"]
+__all__ = ["Scope", "add_columns", "current", "materialise", "read_table", "scope", "settle", "shared_folder", "slices", "small_batches", "temporary", "texts", "trim", "utf8", "without"]
+
+
+#: Bytes of rows that go to Python at once. The session's setting is lowered to this where nobody has changed it, since
+#: Arrow buffers of whole batches stand in the JVM and in the worker at the same time.
+BATCH_BYTES = 6 << 20
+BATCH_SETTING, BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", ("67108864b", "64MB", None)
+
+
+def small_batches(spark: SparkSession) -> None:
+    if spark.conf.get(BATCH_SETTING, None) in BATCH_DEFAULT:
+        spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
@@ -55,6 +67,7 @@ def add_columns(df: DataFrame, source: str, fields: T.StructType, make: Callable
 
     ``make`` runs once per task and returns a function from the source's Arrow array to one Arrow array
     per field. Columns of ``df`` that clash with a new name are replaced."""
+    small_batches(df.sparkSession)
     names = fields.fieldNames()
     kept = [c for c in df.columns if c.lower() not in {n.lower() for n in names} and not (drop_source and c == source)]
     hidden = "__source"
