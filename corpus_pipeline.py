@@ -36,6 +36,7 @@ LAST: dict[tuple[str, str], storage.Scope] = {}
 
 @contextmanager
 def stage_scope(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Iterator[None]:
+    common.small_batches(spark)
     key = (spark.sparkContext.applicationId, sf_dir)
     before = LAST.pop(key, None)
     with storage.scope(spark) as own:
