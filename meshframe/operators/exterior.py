@@ -73,6 +73,16 @@ def sharpness(vertices: DataFrame, exterior: DataFrame, ext_edges: DataFrame, ed
     return exterior.select("vid").join(sums, "vid", "left").select("vid", F.coalesce("feature", F.lit(0.0)).alias("feature"))
 
 
+def by_solid_angle(sums: DataFrame) -> DataFrame:
+    """(vid, omega, rank): vertices by the solid angle around them, the most exposed first, ties by id."""
+    return ranked(sums, [F.col("omega"), F.col("vid")])
+
+
+def sharpest(features: DataFrame, n: int = 10) -> DataFrame:
+    """The ``n`` sharpest vertices, for a look at the order."""
+    return features.orderBy(F.desc("feature"), "vid").limit(n)
+
+
 def by_feature(features: DataFrame) -> DataFrame:
     """(vid, feature, rank): exterior vertices, sharpest first, ties (to six digits, since angles near zero are
     only so exact) by id; the surface's order in sampling.

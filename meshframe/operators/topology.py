@@ -21,6 +21,23 @@ def located(df: DataFrame, vertices: DataFrame, ids: list[str], names: list[str]
     return df
 
 
+def check_mesh(vertices: DataFrame, tets: DataFrame) -> None:
+    """Raise if a tet names a vertex that isn't there or one twice, or if ids repeat. Inner joins would drop the first
+    kind of rows in silence."""
+    corners = tets.select("tid", F.explode(F.array(*[f"v{i}" for i in range(4)])).alias("vid"))
+    strange = corners.join(vertices.select("vid"), "vid", "left_anti")
+    twice = tets.where(F.size(F.array_distinct(F.array(*[f"v{i}" for i in range(4)]))) < 4)
+    repeated = vertices.groupBy("vid").agg(F.count("*").alias("n")).where("n > 1")
+    for rows, what in ((strange, "vertices that are missing"), (twice, "a vertex twice"), (repeated, "ids that repeat")):
+        if found := first_rows(rows):
+            raise ValueError(f"the mesh has {what}: {', '.join(str(r.asDict()) for r in found)}")
+
+
+def first_rows(rows: DataFrame, n: int = 5) -> list:
+    """The first rows of a diagnosis, in their order; all others only count."""
+    return rows.orderBy(*rows.columns).limit(n).collect()
+
+
 def tet_points(tets: DataFrame, vertices: DataFrame) -> DataFrame:
     """``tets`` with corner positions p0..p3."""
     return located(tets, vertices, [f"v{i}" for i in range(4)], [f"p{i}" for i in range(4)])

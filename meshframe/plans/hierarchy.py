@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import time
 from contextlib import contextmanager
 from dataclasses import dataclass, field
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +26,11 @@ class Settings:
     search_radius_factor: float = 2.0
     local: int = sampling.LOCAL
     corrected: bool = False
+    #: Whether sharp exterior vertices come first at the finest level; by id otherwise.
+    feature_preserve: bool = True
+    #: Whether the coarsest operator is factorised; conjugate gradients otherwise.
+    dense_coarse: bool = True
+    verbose: bool = False
 
 
 def demo_settings() -> Settings:
@@ -74,12 +81,18 @@ def stage(h: Hierarchy, level: int, name: str):
         h.timings.append((level, name, (time.perf_counter() - began) * 1e3))
 
 
-def finest(vertices: DataFrame, tets: DataFrame) -> Level:
+def finest(vertices: DataFrame, tets: DataFrame, settings: Settings | None = None) -> Level:
     edges = settle(topology.with_length(topology.adjacency(tets), vertices), "edges")
     ext = settle(exterior.exterior_vertices(vertices, tets).select("vid"), "exterior")
     ext_edges = settle(exterior.exterior_edges(vertices, tets, ext, edges), "ext-edges")
-    features = exterior.sharpness(vertices, ext, ext_edges, edges)
-    order = settle(exterior.by_feature(features), "order")
+    settings = settings or Settings()
+    if settings.feature_preserve:
+        features = settle(exterior.sharpness(vertices, ext, ext_edges, edges), "features")
+        order = settle(exterior.by_feature(features), "order")
+        if settings.verbose:
+            print("sharpest:", ", ".join(f"{r.vid} ({r.feature:.3f})" for r in exterior.sharpest(features).collect()))
+    else:
+        order = ext.select("vid", F.col("vid").alias("rank"))
     both = topology.both_ways(ext_edges).join(edges, ["src", "dst"]).select("src", "dst", "len")
     return Level(vertices, edges, order.select("vid", "rank"), settle(both, "ext-both"), vertices.count(), tets=tets)
 
@@ -101,7 +114,7 @@ def coarser(h: Hierarchy, settings: Settings) -> Level:
         edges = settle(topology.with_length(coarse, vertices), "edges")
         outer = settle(at.where("is_exterior").select("vid", F.col("vid").alias("rank")), "exterior")
         ext_edges = settle(coarsen.within(ext_coarse, outer.select("vid")).join(edges, ["src", "dst"]).select("src", "dst", "len"), "ext-edges")
-    with stage(h, k, "cliques"):
+    with stage(h, k, "simplicial complex"):
         tris, tets = settle(cliques.triangles(coarse), "cliques3"), settle(cliques.four_cliques(coarse), "cliques4")
     with stage(h, k, "interpolation"):
         p, cases = prolong.interpolation(low.vertices, samples, clusters, coarse, tris, tets, settings.corrected)
@@ -110,20 +123,44 @@ def coarser(h: Hierarchy, settings: Settings) -> Level:
     return Level(vertices, edges, outer, ext_edges, samples.count(), named, tris, samples, clusters, p, cases)
 
 
-def build(vertices: DataFrame, tets: DataFrame, settings: Settings | None = None) -> Hierarchy:
+def build(vertices: DataFrame, tets: DataFrame, settings: Settings | None = None, timing_path: str | None = None) -> Hierarchy:
     """Levels until one has at most ``min_verts`` vertices; stops early, and says so, at a level that shrinks
-    by less than a hundredth."""
+    by less than a hundredth. The timing document goes to ``timing_path`` if it is given, also when a level fails."""
     settings = settings or Settings()
     h = Hierarchy([])
+    try:
+        grow(h, vertices, tets, settings)
+    finally:  # also on an early exit
+        if timing_path:
+            Path(timing_path).write_text(json.dumps(timing_document(h), indent=2) + "\n")
+    return h
+
+
+#: The stages of a level in the timing document; those without work of their own here stay 0.
+STAGES = ("sampling", "sampling priority", "exterior detect", "sort feature", "coarse graph", "smooth interior", "simplicial complex", "interpolation")
+
+
+def timing_document(h: Hierarchy) -> dict:
+    """Milliseconds by stage, an entry for each coarse level, and in total."""
+    done = {(k, name): ms for k, name, ms in h.timings}
+    levels = sorted({k for k, _ in done if k})
+    arrays = {f"level_{s.replace(' ', '_')}_ms": [done.get((k, s), 0.0) for k in levels] for s in STAGES}
+    totals = [sum(done.get((k, s), 0.0) for s in STAGES) for k in levels]
+    start = {"num_vertices_start": h.levels[0].n if h.levels else 0, "init_ms": done.get((0, "init"), 0.0), "init_exterior_extraction_ms": done.get((0, "finest"), 0.0)}
+    return {**start, **arrays, "level_total_ms": totals, "final_exterior_graph_ms": 0.0, "total_hierarchy_ms": h.total_ms}
+
+
+def grow(h: Hierarchy, vertices: DataFrame, tets: DataFrame, settings: Settings) -> None:
     with stage(h, 0, "finest"):
-        h.levels.append(finest(vertices, tets))
+        h.levels.append(finest(vertices, tets, settings))
     while h.levels[-1].n > settings.min_verts and len(h.levels) - 1 < settings.max_levels:
         level = coarser(h, settings)
         h.levels.append(level)
+        if settings.verbose:
+            print(f"level {len(h.levels) - 1}: {level.n} vertices, {h.timings[-1][2]:.0f} ms for its interpolation")
         if level.n > 0.99 * h.levels[-2].n:
             h.stopped = f"level {len(h.levels) - 1} kept {level.n} of {h.levels[-2].n} vertices"
             break
-    return h
 
 
 def surface(h: Hierarchy, level: int) -> DataFrame:

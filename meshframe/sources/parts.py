@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import argparse
 import hashlib
 import json
 import os
 import shutil
+import sys
 from pathlib import Path
 
 PART_BYTES = 90_000_000
@@ -71,3 +73,25 @@ def ensure(path: str, folder: str) -> None:
     for name, entry in read_manifest(folder).items():
         if entry["filename"] == os.path.basename(path):
             assemble(folder, name, path)
+
+
+def main(argv: list[str] | None = None) -> int:
+    """``python -m meshframe.sources.parts --parts DIR --target DIR [--force] [NAME ...]``: all names by default."""
+    parser = argparse.ArgumentParser(description="Put meshes together from their parts.")
+    parser.add_argument("names", nargs="*")
+    parser.add_argument("--parts", default="data_chunks")
+    parser.add_argument("--target", default="data")
+    parser.add_argument("--force", action="store_true")
+    args = parser.parse_args(argv)
+    manifest = read_manifest(args.parts)
+    if unknown := [n for n in args.names if n not in manifest]:
+        parser.error(f"unknown meshes {', '.join(unknown)}; known: {', '.join(sorted(manifest))}")
+    os.makedirs(args.target, exist_ok=True)
+    for name in args.names or manifest:
+        made = assemble(args.parts, name, str(Path(args.target, manifest[name]["filename"])), args.force)
+        print(f"{name}: {'assembled' if made else 'there already'}")
+    return 0
+
+
+if __name__ == "__main__":
+    sys.exit(main())

@@ -5,9 +5,12 @@ Text files have the same values as lines. Ids are positions."""
 
 from __future__ import annotations
 
+import argparse
 import os
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -16,11 +19,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from meshframe import schema
+from meshframe.sources import parts as assembly
 
 VERTEX = np.dtype([("x", "<f4"), ("y", "<f4"), ("z", "<f4")])
 TET = np.dtype([("n", "u1"), ("v", "<i4", 4)])
 #: Rows of one partition.
 ROWS = 1_000_000
+#: Rows that are packed at once when a file is written.
+BLOCK = 65_536
 
 
 @dataclass
@@ -140,7 +146,10 @@ def read_tets(spark: SparkSession, path: str) -> DataFrame:
     return read_element(spark, path, "tets")
 
 
-def read_mesh(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+def read_mesh(spark: SparkSession, path: str, parts: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(vertices, tets) of a file; a missing one is put together first if folder ``parts`` has its parts."""
+    if parts and not os.path.exists(path):
+        assembly.ensure(path, parts)
     return read_vertices(spark, path), read_tets(spark, path)
 
 
@@ -148,19 +157,53 @@ def import_tetgen(spark: SparkSession, source: str, target: str) -> bool:
     """A text mesh checked and rewritten as binary; False where the source is missing."""
     if not os.path.exists(source):
         return False
-    write_tet_ply(target, *read_mesh(spark, source))
+    v, t = read_mesh(spark, source)
+    header = read_header(source)
+    if (bad := v.where(F.col("x").isNull() | F.col("y").isNull() | F.col("z").isNull()).count()) or v.count() != header.vertices:
+        raise ValueError(f"{source}: {bad} vertices without three coordinates, {header.vertices} expected in all")
+    if t.where(" or ".join(f"v{i} is null or v{i} < 0 or v{i} >= {header.vertices}" for i in range(4))).count() or t.count() != header.tets:
+        raise ValueError(f"{source}: tetrahedra that don't name four vertices, or not {header.tets} of them")
+    write_tet_ply(target, v, t)
     return True
 
 
+def import_all(spark: SparkSession, source: str, target: str, names: dict[str, str]) -> dict[str, bool]:
+    """Import each file of ``names`` (source name: target name) that is there; which were."""
+    os.makedirs(target, exist_ok=True)
+    return {old: import_tetgen(spark, os.path.join(source, old), os.path.join(target, new)) for old, new in names.items()}
+
+
+def main(argv: list[str] | None = None) -> int:
+    """``python -m meshframe.sources.ply --source DIR --target DIR old.ply=new.ply ...``; the source folder may come from
+    MESHFRAME_SOURCE."""
+    parser = argparse.ArgumentParser(description="Import text meshes as binary files.")
+    parser.add_argument("names", nargs="+", help="old.ply=new.ply")
+    parser.add_argument("--source", default=os.environ.get("MESHFRAME_SOURCE"))
+    parser.add_argument("--target", default=".")
+    args = parser.parse_args(argv)
+    if not args.source:
+        parser.error("--source or MESHFRAME_SOURCE is needed")
+    done = import_all(SparkSession.builder.appName("import").getOrCreate(), args.source, args.target, dict(n.split("=", 1) for n in args.names))
+    for name, was_there in done.items():
+        print(f"{name}: {'imported' if was_there else 'skipped, missing'}")
+    return 0 if any(done.values()) else 1
+
+
+def batched(rows: Iterator, n: int) -> Iterator[list]:
+    rows = iter(rows)
+    while block := list(islice(rows, n)):
+        yield block
+
+
 def write_tet_ply(path: str, vertices: DataFrame, tets: DataFrame) -> None:
     """One binary file, in the order of the ids, which must count from 0. Rows stream through the driver."""
     n, m = vertices.count(), tets.count()
     with open(f"{path}.tmp", "wb") as f:
         f.write(f"ply\nformat binary_little_endian 1.0\nelement vertex {n}\nproperty float x\nproperty float y\nproperty float z\nelement face {m}\nproperty list uchar int vertex_indices\nend_header\n".encode())
-        for r in vertices.orderBy("vid").select("x", "y", "z").toLocalIterator():
-            f.write(np.array([tuple(r)], VERTEX).tobytes())
-        for r in tets.orderBy("tid").select("v0", "v1", "v2", "v3").toLocalIterator():
-            f.write(np.array([(4, tuple(r))], TET).tobytes())
+        for rows in batched(map(tuple, vertices.orderBy("vid").select("x", "y", "z").toLocalIterator()), BLOCK):
+            f.write(np.array(rows, VERTEX).tobytes())
+        for rows in batched(((4, tuple(r)) for r in tets.orderBy("tid").select("v0", "v1", "v2", "v3").toLocalIterator()), BLOCK):
+            f.write(np.array(rows, TET).tobytes())
     os.replace(f"{path}.tmp", path)
 
 
@@ -177,3 +220,7 @@ def write_surface_ply(path: str, vertices: DataFrame, faces: DataFrame, depth: D
         f.write("end_header\n")
         f.writelines("%.6g %.6g %.6g %d\n" % p[1:] for p in points)
         f.writelines("3 %d %d %d\n" % t for t in tris)
+
+
+if __name__ == "__main__":
+    sys.exit(main())

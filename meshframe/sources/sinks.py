@@ -41,16 +41,9 @@ def save_levels(h: H.Hierarchy, folder: str) -> list[Path]:
     return out
 
 
-def timing_document(h: H.Hierarchy) -> dict:
-    stages: dict[str, list[float]] = {}
-    for _, name, ms in h.timings:
-        stages.setdefault(f"level_{name.replace(' ', '_')}_ms", []).append(ms)
-    return {"num_vertices_start": h.levels[0].n if h.levels else 0, **stages, "total_hierarchy_ms": h.total_ms}
-
-
 def save_timing(h: H.Hierarchy, path: str) -> None:
     if path:
-        Path(path).write_text(json.dumps(timing_document(h), indent=2) + "\n")
+        Path(path).write_text(json.dumps(H.timing_document(h), indent=2) + "\n")
 
 
 def summary(spark: SparkSession, label: str, h: H.Hierarchy, results: list[Result]) -> dict:
