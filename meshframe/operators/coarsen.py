@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from meshframe.storage import forget, settle, settled
+from meshframe.storage import bucketed, forget, settle, settled
 
 #: Rounds whose frontiers stand beside the labels before they are merged into them.
 MERGE = 4
@@ -19,38 +20,48 @@ def nearest(labels: DataFrame) -> DataFrame:
 
 def relax(labels: DataFrame, edges: DataFrame, frontier: DataFrame, locked: DataFrame | None = None, rounds: int | None = None) -> DataFrame:
     """Multi-source shortest paths with labels: (vid, coarse_id, dist), by relaxing edges (src, dst, len) from
-    the vertices that changed until none does; ties go to the smaller label. ``locked`` (vid) never change."""
+    the vertices that changed until none does; ties go to the smaller label. ``locked`` (vid) never change.
+
+    Edges lie in buckets of their start and labels in buckets of their vertex, so that a round moves only the frontier's
+    labels. What has changed since the labels were written stands beside them and is joined in every MERGE rounds."""
     spark = labels.sparkSession
-    state, held = settled(labels, "labels")
-    front, last = frontier, None
-    news: list[str] = []  # frontiers that are not merged into the state
+    if locked is not None:
+        edges = edges.join(locked.select(F.col("vid").alias("dst")), "dst", "left_anti")
+    edges, by_start = bucketed(edges.select("src", "dst", "len"), "src", "edges")
+    state, held = bucketed(labels.select("vid", "coarse_id", "dist"), "vid", "labels")
+    front = frontier.select("vid", "coarse_id", "dist")
+    news: list[str] = []  # frontiers that are not joined into the state
     done = 0
     while not front.isEmpty() and (rounds is None or done < rounds):
         moves = front.join(edges, front["vid"] == edges["src"]).select(F.col("dst").alias("vid"), F.struct((F.col("dist") + F.col("len")).alias("dist"), "coarse_id").alias("hit"))
-        if locked is not None:
-            moves = moves.join(locked, "vid", "left_anti")
         best = moves.groupBy("vid").agg(F.min("hit").alias("hit"))
-        old = nearest(merged(state, news)).select("vid", F.struct("dist", "coarse_id").alias("old"))
-        better = best.join(old, "vid", "left").where(F.col("old").isNull() | (F.col("hit") < F.col("old"))).select("vid", "hit.coarse_id", "hit.dist")
-        front, last = settled(better, "frontier")
-        news.append(last)
+        old = best.join(state.select("vid", F.struct("dist", "coarse_id").alias("old")), "vid", "left")
+        if news:
+            old = old.join(nearest(gathered(spark, news, state.schema)).select("vid", F.struct("dist", "coarse_id").alias("fresh")), "vid", "left").withColumn("old", F.coalesce("fresh", "old"))
+        better = old.where(F.col("old").isNull() | (F.col("hit") < F.col("old"))).select("vid", "hit.coarse_id", "hit.dist")
+        front, path = settled(better, "frontier")
+        news.append(path)
         if len(news) == MERGE:
-            whole, path = settled(nearest(merged(state, news)), "labels")
-            forget(spark, held, *news[:-1])
-            state, held, news = whole, path, [last]
+            state, held, news = merged(state, held, news, path)
         done += 1
-    if news:
-        whole, path = settled(nearest(merged(state, news)), "labels")
-        forget(spark, held, *news)
-        state = whole
-    return state
-
-
-def merged(state: DataFrame, paths: list[str]) -> DataFrame:
-    """The labels with the frontiers found since."""
-    for path in paths:
-        state = state.unionByName(state.sparkSession.read.schema(state.schema).parquet(path).select(*state.columns))
-    return state
+    whole = settle(state if not news else merged(state, held, news)[0], "labels")
+    forget(spark, *by_start, *held)
+    return whole
+
+
+def gathered(spark: SparkSession, paths: list[str], schema: T.StructType) -> DataFrame:
+    """The frontiers at ``paths``; of a vertex's labels the last one is the least."""
+    return spark.read.schema(schema).parquet(*paths)
+
+
+def merged(state: DataFrame, held: tuple[str, str], news: list[str], keep: str | None = None) -> tuple[DataFrame, tuple[str, str], list[str]]:
+    """The labels with the frontiers found since, which are better where both have one; ``keep`` isn't deleted yet."""
+    spark = state.sparkSession
+    fresh = nearest(gathered(spark, news, state.schema)).select("vid", F.struct("coarse_id", "dist").alias("fresh"))
+    both = state.select("vid", F.struct("coarse_id", "dist").alias("old")).join(fresh, "vid", "full").withColumn("now", F.coalesce("fresh", "old"))
+    whole, names = bucketed(both.select("vid", "now.coarse_id", "now.dist"), "vid", "labels")
+    forget(spark, *held, *[n for n in news if n != keep])
+    return whole, names, [keep] if keep else []
 
 
 def sources(samples: DataFrame) -> DataFrame:

@@ -9,6 +9,8 @@ from meshframe.functions import geometry as G
 from meshframe.storage import settle
 
 TINY = 1e-12
+#: Points and list rows of one centre that meet in one block.
+BLOCK = 1_024
 
 
 def placed(df: DataFrame, points: DataFrame, keys: list[str]) -> DataFrame:
@@ -30,9 +32,23 @@ def rotated(cliques: DataFrame, corners: list[str]) -> DataFrame:
     return cliques.select(F.inline(rows)).withColumnRenamed("r0", "c")
 
 
+def met(points: DataFrame, lists: DataFrame) -> DataFrame:
+    """Fine points (f, c, ...) with the rows of ``lists`` (c, ...) at their centre: a join on c whose heavy centres are
+    cut into blocks of up to about BLOCK points and BLOCK rows. The counts of both sides say into how many; each row then
+    goes to the blocks of one row of that grid, each point to those of one column, so that every pair meets once."""
+    parts = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+    count = lambda df, n: df.groupBy("c").agg(F.count("*").alias(n))
+    grid = settle(count(points, "np").join(count(lists, "nl"), "c").select("c", parts("np").alias("bp"), parts("nl").alias("bl")), "blocks")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = points.join(grid, "c").withColumn("_p", F.pmod(F.xxhash64("f"), F.col("bp")).cast("int")).withColumn("_l", each("bl"))
+    own = [F.col(k) for k in lists.columns if k != "c"]
+    right = lists.join(grid, "c").withColumn("_l", F.pmod(F.xxhash64(*own), F.col("bl")).cast("int")).withColumn("_p", each("bp"))
+    return left.drop("bp", "bl").join(right.drop("bp", "bl"), ["c", "_p", "_l"]).drop("_p", "_l")
+
+
 def tet_candidates(points: DataFrame, tets: DataFrame, coarse: DataFrame) -> DataFrame:
     """For fine points (f, c, p) the cliques at their centre that contain them: metric, corners, weights."""
-    spread = placed(points.join(rotated(tets, list("abcd")), "c"), coarse, ["c", "r1", "r2", "r3"])
+    spread = placed(met(points, rotated(tets, list("abcd"))), coarse, ["c", "r1", "r2", "r3"])
     spread = spread.where(G.in_box(F.col("p"), *[F.col(f"q_{k}") for k in ("c", "r1", "r2", "r3")], margin=1e-4))
     return G.with_tet_coordinates(spread, "p", ["q_c", "q_r1", "q_r2", "q_r3"]).where(F.col("metric") > -1e-5)
 
@@ -64,7 +80,7 @@ def interpolation(vertices: DataFrame, samples: DataFrame, clusters: DataFrame,
     found3 = settle(best(tet_candidates(rest, tets, coarse), ["metric", "o_a", "o_b", "o_c", "o_d"], ["c", "r1", "r2", "r3", "w0", "w1", "w2", "w3"]), "case3")
     out.append(weight(found3, 3, *zip([F.col(k) for k in ("c", "r1", "r2", "r3")], [F.col(f"w{i}") for i in range(4)], strict=True)).where(F.col("v") > TINY))
     rest = settle(rest.join(found3.select("f"), "f", "left_anti"), "rest4")
-    spread = placed(rest.join(rotated(triangles, list("abc")), "c"), coarse, ["c", "r1", "r2"])
+    spread = placed(met(rest, rotated(triangles, list("abc"))), coarse, ["c", "r1", "r2"])
     tried = settle(G.with_triangle_projection(spread, "p", ["q_c", "q_r1", "q_r2"]), "triangles")
     found4 = settle(best(tried.where("height is not null"), ["height", "o_a", "o_b", "o_c"], ["c", "r1", "r2", "w0", "w1", "w2"]), "case4")
     out.append(weight(found4, 4, *zip([F.col(k) for k in ("c", "r1", "r2")], [F.col(f"w{i}") for i in range(3)], strict=True)).where(F.col("v") > TINY))
@@ -79,7 +95,7 @@ def interpolation(vertices: DataFrame, samples: DataFrame, clusters: DataFrame,
     found5 = settle(best(last, ["away", "to"], ["c", "p", "to"]), "case5")
     out.append(on_edge(found5, 5))
     rest = rest.join(found5.select("f"), "f", "left_anti")
-    near = placed(rest.join(coarse_edges.select(F.col("src").alias("c"), F.col("dst").alias("to")), "c"), coarse, ["to"]).withColumn("d", G.distance(F.col("p"), F.col("q_to")))
+    near = placed(met(rest, coarse_edges.select(F.col("src").alias("c"), F.col("dst").alias("to"))), coarse, ["to"]).withColumn("d", G.distance(F.col("p"), F.col("q_to")))
     third = near.withColumn("r", F.row_number().over(Window.partitionBy("f").orderBy("d", "to"))).where("r <= 3").select("f", "to", "d", "r")
     centre = placed(rest, coarse, ["c"]).select("f", F.col("c").alias("to"), G.distance(F.col("p"), F.col("q_c")).alias("d"), F.lit(0).alias("r"))
     out.append(inverse_distance(centre.unionByName(third)).select("f", F.lit(6).alias("kind"), F.col("to").alias("j"), "v").where(F.col("v") > TINY))

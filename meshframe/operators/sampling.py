@@ -3,18 +3,20 @@ a path of at most two edges shorter than a radius.
 
 A vertex whose priority beats those of all undecided vertices in conflict with it is taken, those in conflict
 with it are settled, and so on: the result is that of going through the vertices one by one. Graphs of up to
-``LOCAL`` vertices do just that on the driver."""
+``LOCAL`` vertices and ``CONFLICTS`` times as many conflicts do just that on the driver."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meshframe.operators.exterior import ranked
 from meshframe.storage import forget, settle, settled
 
-#: Vertices that the driver takes on at most; above, every round is distributed.
-LOCAL = 50_000
+#: Vertices, and conflicts a vertex, that the driver takes on at most; above, every round is distributed.
+LOCAL, CONFLICTS = 20_000, 64
 
 
 def reach(edges: DataFrame, radius: float) -> DataFrame:
@@ -41,20 +43,51 @@ def pick_local(priority: DataFrame, near: DataFrame) -> DataFrame:
 
 
 def pick_rounds(priority: DataFrame, near: DataFrame) -> DataFrame:
-    """The same by rounds over the whole cluster; each is written to the shared folder."""
-    key = F.struct("rank", "vid").alias("key")
+    """The same by rounds over the whole cluster; each is written to the shared folder.
+
+    A vertex is held back by the rivals before it in the order. In a round those without any are taken, those held back
+    by a taken one are out, and the conflicts of all decided ones go, so the conflict graph shrinks. Where only one rival
+    is left, a vertex is taken exactly if that rival is out: such chains are followed to their ends by pointer jumping,
+    so a chain of any length takes a number of joins that grows with its logarithm."""
     spark = priority.sparkSession
-    open_, held = settled(priority.select("vid", key), "open")
-    chosen = None
+    key = lambda end, name: priority.select(F.col("vid").alias(end), F.struct("rank", "vid").alias(name))
+    held = near.join(key("src", "own"), "src").join(key("dst", "other"), "dst").where("other < own").select(F.col("src").alias("vid"), F.col("dst").alias("rival"))
+    open_, before = settled(priority.select("vid"), "open")
+    held, links = settled(held, "conflicts")
+    chosen: list[DataFrame] = []
     while not open_.isEmpty():
-        rival = near.join(open_.select(F.col("vid").alias("dst"), F.col("key").alias("other")), "dst").groupBy(F.col("src").alias("vid")).agg(F.min("other").alias("other"))
-        won = settle(open_.join(rival, "vid", "left").where(F.col("other").isNull() | (F.col("key") < F.col("other"))).select("vid"), "won")
-        chosen = won if chosen is None else chosen.unionByName(won)
-        lost = near.join(won.withColumnRenamed("vid", "src"), "src", "left_semi").select(F.col("dst").alias("vid"))
-        left, path = settled(open_.join(won.unionByName(lost).distinct(), "vid", "left_anti"), "open")
-        forget(spark, held)
-        open_, held = left, path
-    return chosen if chosen is not None else priority.select("vid")
+        blocked = held.groupBy("vid").agg(F.count("*").alias("n"), F.min("rival").alias("rival"))
+        free = open_.join(blocked, "vid", "left_anti").select("vid")
+        ends, paths = chain_ends(blocked.where("n = 1").select("vid", "rival", F.lit(True).alias("odd")))
+        followed = ends.join(free.select(F.col("vid").alias("rival")), "rival", "left_semi")
+        won = settle(free.unionByName(followed.where("not odd").select("vid")), "won")
+        lost = held.join(won.select(F.col("vid").alias("rival")), "rival", "left_semi").select("vid").unionByName(followed.where("odd").select("vid"))
+        lost, out = settled(lost.distinct(), "lost")
+        chosen.append(won)
+        gone = won.unionByName(lost)
+        left, after = settled(open_.join(gone, "vid", "left_anti"), "open")
+        rest, more = settled(held.join(gone, "vid", "left_anti").join(lost.select(F.col("vid").alias("rival")), "rival", "left_anti").select("vid", "rival"), "conflicts")
+        forget(spark, before, links, out, *paths)
+        open_, before, held, links = left, after, rest, more
+    if not chosen:
+        return priority.select("vid")
+    return reduce(DataFrame.unionByName, chosen)
+
+
+def chain_ends(single: DataFrame) -> tuple[DataFrame, list[str]]:
+    """(vid, rival, odd) with each pointer followed as far as pointers go, ``odd`` if the steps are; a round of jumps
+    doubles the length that is covered. Also the files to delete once it is read. Rivals come earlier in an order, so there
+    are no cycles."""
+    spark = single.sparkSession
+    now, path = settled(single, "pointers")
+    while True:
+        ahead = now.select(F.col("vid").alias("rival"), F.col("rival").alias("next"), F.col("odd").alias("more"))
+        moved = now.join(ahead, "rival", "left").select("vid", F.coalesce("next", "rival").alias("rival"), F.when(F.col("next").isNull(), F.col("odd")).otherwise(F.col("odd") != F.col("more")).alias("odd"), F.col("next").isNotNull().alias("moved"))
+        after, new = settled(moved, "pointers")
+        forget(spark, path)
+        now, path = after.drop("moved"), new
+        if after.where("moved").isEmpty():
+            return now, [path]
 
 
 def numbered(chosen: DataFrame) -> DataFrame:
@@ -70,7 +103,7 @@ def disk_sample(priority: DataFrame, edges: DataFrame, radius: float, local: int
     Samples are (coarse_id, fine_vid, is_exterior), exterior ones first, then by rank. Clusters (vid,
     coarse_id, dist) hold, for the vertices that a sample's marking reached, the nearest one."""
     near = settle(reach(edges, radius), "reach")
-    small = priority.limit(local + 1).count() <= local
+    small = priority.limit(local + 1).count() <= local and near.limit(local * CONFLICTS + 1).count() <= local * CONFLICTS
     chosen = pick_local(priority, near) if small else pick_rounds(priority, near)
     samples = settle(numbered(priority.join(chosen, "vid", "left_semi")), "samples")
     marks = near.join(samples.select(F.col("fine_vid").alias("src"), "coarse_id"), "src").select(F.col("dst").alias("vid"), F.struct("dist", "coarse_id").alias("hit"))

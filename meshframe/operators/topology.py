@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from meshframe.functions import geometry as G
+from meshframe.operators import nearest
 
 # The faces of a tetrahedron with outward winding, and its edges, by corner.
 FACES = ((1, 2, 3), (0, 3, 2), (0, 1, 3), (0, 2, 1))
@@ -120,35 +121,9 @@ def complex_surface(boundary: DataFrame, triangles: DataFrame) -> DataFrame:
     return marked.groupBy("a", "b", "c").agg(F.min(F.struct("source", "f0", "f1", "f2")).alias("own")).select("own.f0", "own.f1", "own.f2")
 
 
-def nearest_by_cells(points: DataFrame, centres: DataFrame, cell: float) -> DataFrame:
-    """(vid, coarse_id, dist): the nearest centre of each point, ties to the smaller id, where the best lies
-    in the 27 grid cells around the point and within one cell width; an equi-join on the cells."""
-    at = lambda a: F.floor(F.col(a) / cell)
-    around = F.array(*[F.struct(*[F.lit(d).cast("long").alias(f"d{a}") for d, a in zip((i, j, k), G.AXES, strict=True)]) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)])
-    spread = points.select("vid", "x", "y", "z", F.inline(around)).select("vid", "x", "y", "z", *[(at(a) + F.col(f"d{a}")).alias(f"c{a}") for a in G.AXES])
-    held = centres.select("coarse_id", *[F.col(a).alias(f"q{a}") for a in G.AXES], *[at(a).alias(f"c{a}") for a in G.AXES])
-    apart = F.sqrt(sum((F.col(a) - F.col(f"q{a}")) ** 2 for a in G.AXES))
-    near = spread.join(held, ["cx", "cy", "cz"]).select("vid", F.struct(apart.alias("dist"), "coarse_id").alias("hit")).where(F.col("hit.dist") <= cell)
-    return near.groupBy("vid").agg(F.min("hit").alias("hit")).select("vid", "hit.coarse_id", "hit.dist")
-
-
-def nearest_centre(points: DataFrame, centres: DataFrame, cell: float | None = None) -> DataFrame:
-    """(vid, coarse_id, dist): nearest centre of every point, ties to the smaller id. Cells widen until all
-    points have found theirs, so each round joins only on cells and only what is left."""
-    box = centres.agg(F.count("*").alias("n"), *[(F.max(a) - F.min(a)).alias(a) for a in G.AXES]).first()
-    reach = points.unionByName(centres.select(F.col("coarse_id").alias("vid"), "x", "y", "z")).agg(*[(F.max(a) - F.min(a)).alias(a) for a in G.AXES]).first()
-    if not box.n:
-        return points.select("vid", F.lit(None).cast("long").alias("coarse_id"), F.lit(None).cast("double").alias("dist")).limit(0)
-    most = max([reach[a] or 0.0 for a in G.AXES]) or 1.0
-    cell = cell or most / max(1.0, box.n ** (1 / 3))
-    found, left = None, points
-    while True:
-        step = nearest_by_cells(left, centres, cell)
-        found = step if found is None else found.unionByName(step)
-        if cell > most * 2:  # one cell width spans everything: nothing can be left
-            return found
-        left = left.join(step, "vid", "left_anti")
-        cell *= 4
+def nearest_centre(points: DataFrame, centres: DataFrame) -> DataFrame:
+    """(vid, coarse_id, dist): nearest centre of every point, ties to the smaller id."""
+    return nearest.nearest_centres(points, centres).select("vid", "coarse_id", "dist")
 
 
 def remapped_surface(faces: DataFrame, mapping: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ any scope lasts as long as the application and is deleted at its end."""
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -21,7 +22,7 @@ def shared_folder(spark: SparkSession) -> str:
     whose executors are threads of this process can share; on a cluster the setting is required."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not spark.sparkContext.master.startswith("local["):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="meshframe-")
         spark.conf.set("spark.checkpoint.dir", folder)
@@ -97,6 +98,18 @@ def settled(df: DataFrame, label: str = "step") -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def bucketed(df: DataFrame, key: str, label: str = "table") -> tuple[DataFrame, tuple[str, str]]:
+    """``df`` written as a table in the shared folder whose files are the shuffle partitions of ``key``, so that joins
+    on it need no exchange; with the names for ``forget``."""
+    spark = df.sparkSession
+    mark = uuid.uuid4().hex
+    own = current(spark)
+    name, path = own.add("table", f"meshframe_{label}_{mark}".replace("-", "_")), own.add("path", f"{shared_folder(spark)}/{label}-{mark}")
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(name)
+    return spark.table(name), (name, path)
+
+
 def forget(spark: SparkSession, *paths: str) -> None:
     """Delete settled results that nothing reads any more."""
     for path in paths:

@@ -4,7 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from meshframe.plans import catalog, oracles
+from meshframe.plans import catalog, levels, oracles, solving
 from tests.conftest import SF
 
 
@@ -21,10 +21,13 @@ def test_registered():
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
-@pytest.mark.parametrize("name", sorted(oracles.ORACLES))
+QUERIES, SQL = {**catalog.QUERIES, **levels.QUERIES, **solving.QUERIES}, {**oracles.ORACLES, **levels.ORACLES, **solving.ORACLES}
+
+
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_against_sql(spark, duck, name):
-    got = catalog.QUERIES[name](spark, SF).toPandas()
-    want = duck.sql(oracles.ORACLES[name]).df()
+    got = QUERIES[name](spark, SF).toPandas()
+    want = duck.sql(SQL[name]).df()
     columns = sorted(got.columns)
     assert columns == sorted(want.columns) and len(got) == len(want)
     sort = lambda d: d[columns].sort_values(columns).reset_index(drop=True)

@@ -1,4 +1,3 @@
-import numpy as np
 import pytest
 
 from meshframe.operators import pde, report, sparse
@@ -31,15 +30,6 @@ def test_smoke_acceptance(ten, spark, name):
     assert curve[0].relative == 1.0 and curve[-1].relative == pytest.approx(r.residual_history[-1] / r.residual_history[0])
 
 
-def test_blocked_products_equal_local_ones(spark, monkeypatch):
-    rng = np.random.default_rng(3)
-    m = np.where(rng.random((40, 25)) < 0.2, rng.standard_normal((40, 25)), 0)
-    entries = spark.createDataFrame([(int(i), int(j), float(m[i, j])) for i, j in zip(*np.nonzero(m), strict=True)], "i bigint, j bigint, v double")
-    monkeypatch.setattr(multigrid, "BLOCK_ROWS", 7)
-    blocked, x, y = multigrid.BlockedMatrix(entries, m.shape), rng.standard_normal(25), rng.standard_normal(40)
-    assert np.allclose(blocked.dot(x), m @ x) and np.allclose(blocked.transpose_dot(y), m.T @ y)
-
-
 def test_errors(spark):
     v, t = cube.cube_mesh(spark, 2)
     h = hierarchy.build(v, t, hierarchy.demo_settings())

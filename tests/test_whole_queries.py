@@ -90,3 +90,42 @@ def test_clusters_over_any_number_of_edges(spark, near):
     assert all(got[v][1] == best[v][1] for v in best)
     two = {r.vid: r.dist for r in catalog.cluster_k_hops(spark, SF).collect()}
     assert set(two) < set(got) or any(got[v][0] < d for v, d in two.items())
+
+
+def test_sampling_rounds_follow_chains(spark):
+    """A path in id order is settled by few rounds, and any graph like the sequence."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from meshframe.operators import sampling
+
+    n = 400
+    path = [(k, k + 1) for k in range(n - 1)]
+    rng = random.Random(6)
+    loose = sorted({tuple(sorted(rng.sample(range(n), 2))) for _ in range(500)})
+    for pairs in (path, loose, []):
+        near = spark.createDataFrame([(a, b) for x, y in pairs for a, b in ((x, y), (y, x))], "src long, dst long")
+        priority = spark.range(n).select(F.col("id").alias("vid"), (F.col("id") / 7).cast("long").alias("rank"))
+        around = {}
+        for x, y in pairs:
+            around.setdefault(x, set()).add(y)
+            around.setdefault(y, set()).add(x)
+        seen, want = set(), []
+        for v in range(n):
+            if v not in seen:
+                want.append(v)
+                seen |= {v, *around.get(v, ())}
+        assert sorted(r.vid for r in sampling.pick_rounds(priority, near).collect()) == want
+    ends, _ = sampling.chain_ends(spark.createDataFrame([(k + 1, k, True) for k in range(300)], "vid long, rival long, odd boolean"))
+    assert {(r.vid, r.rival, r.odd) for r in ends.collect()} == {(k, 0, k % 2 == 1) for k in range(1, 301)}
+
+
+def test_heavy_centres_meet_in_blocks(spark, monkeypatch):
+    from meshframe.operators import prolong
+
+    monkeypatch.setattr(prolong, "BLOCK", 5)
+    points = spark.createDataFrame([(f, f % 3 if f % 2 else 7) for f in range(60)], "f long, c long")
+    lists = spark.createDataFrame([(c, k) for c, n in ((7, 23), (1, 2), (9, 4)) for k in range(n)], "c long, k long")
+    got = sorted((r.f, r.c, r.k) for r in prolong.met(points, lists).collect())
+    assert got == sorted((p.f, p.c, q.k) for p in points.collect() for q in lists.collect() if p.c == q.c)
