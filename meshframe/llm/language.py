@@ -1,11 +1,14 @@
 """Language identification by word-first backoff (operator 7).
 
-A text's words are scored by their log frequency in each language. A word that no language's vocabulary
-holds falls back to character n-grams, from ORDERS[0] down: the longest order of which the word has a known
-n-gram decides, by the mean log frequency of its known n-grams. Vocabularies are the most frequent words of a
-language, VOCABULARY at most; a word in any of them has its counts in all languages, and is known to the model by its
-hash; n-gram counts go into BUCKETS hashed counters per order and language. The model so takes about two MB a language,
-whatever the corpus, and every language of the learning rows is in it; the counts themselves cover all learning rows.
+A text's words are scored by their log frequency in each language. A word that the model doesn't hold falls back to
+character n-grams, from ORDERS[0] down: the longest order of which the word has a known n-gram decides, by the mean log
+frequency of its known n-grams. Words and n-grams are known by 64-bit hashes of their own, so an unseen n-gram is not
+taken for a seen one, however large the corpus.
+
+Counts cover all learning rows. What the model keeps of them is bounded by language: the VOCABULARY most frequent words and
+the GRAMS most frequent n-grams of each order are known; a known word or n-gram has its count in every language that has
+it among the KEPT times as many most frequent known ones, and none elsewhere. These counts are kept sparsely, so the
+model has at most about three MB a language, of as many languages as the learning rows name.
 
 Defined results: null text and text without letters are ``und`` with score 0; rows without a language are
 never learnt from; without any learning row every text is ``und``; ties go to the first language by name;
@@ -21,15 +24,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import add_columns, materialise, read_table, slices, texts, trim
 
-VOCABULARY = 50_000
+VOCABULARY, GRAMS, KEPT = 50_000, 20_000, 2
 ORDERS = (5, 4, 3, 2, 1)
-BUCKETS = 1 << 16
+#: Counted n-grams that a task holds before it hands them on.
+HELD = 1 << 20
 #: Words of one count are told apart by so many leading bits of their hash before they are ranked.
 PART_BITS = 12
 #: Words a task counts, or remembers the scores of, before it hands them on or forgets them; characters it scores at once.
@@ -50,14 +54,14 @@ def words_of(text: str) -> list[str]:
     return words if any(c.isalpha() for w in words for c in w) else []
 
 
-def gram_buckets(words: list[str], order: int) -> tuple[np.ndarray, np.ndarray]:
-    """The buckets of the n-grams of words between marks, and how many each word has."""
+def gram_keys(words: list[str], order: int) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of the n-grams of words between marks, and how many each word has."""
     if not words:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
     code = np.frombuffer("".join([f"\x02{w}\x03" for w in words]).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
     sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
     if len(code) < order:
-        return np.empty(0, np.int64), np.zeros(len(words), np.int64)
+        return np.empty(0, np.uint64), np.zeros(len(words), np.int64)
     ends = np.cumsum(sizes)
     h = np.zeros(len(code) - order + 1, np.uint64)
     for i in range(order):
@@ -66,7 +70,7 @@ def gram_buckets(words: list[str], order: int) -> tuple[np.ndarray, np.ndarray]:
     inside = np.ones(len(code), bool)
     for i in range(1, order):
         inside[np.maximum(ends - i, ends - sizes)] = False
-    return (h[inside[: len(h)]] >> np.uint64(40)).astype(np.int64) % BUCKETS, np.maximum(sizes - order + 1, 0)
+    return h[inside[: len(h)]], np.maximum(sizes - order + 1, 0)
 
 
 def word_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -93,27 +97,40 @@ def word_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang")
 
 
 def gram_counts(counts: DataFrame) -> DataFrame:
-    """(lang, grams, bucket, n) from counted words: hashed counters, filled in each task, then summed."""
+    """(lang, grams, word, n) from counted words, ``word`` the n-gram's hash; summed in each task in runs of HELD."""
+    kinds = {"lang": pa.string(), "grams": pa.int32(), "word": pa.int64(), "n": pa.int64()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[str, int], np.ndarray] = {}
+        held: dict[tuple[str, int], list[tuple[np.ndarray, np.ndarray]]] = {}
+        size = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for (lang, order), parts in held.items():
+                keys, row = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+                n = np.bincount(row, np.concatenate([m for _, m in parts])).astype(np.int64)
+                columns = ([lang] * len(keys), [order] * len(keys), keys.view(np.int64), n)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds.values(), strict=True)], names=list(kinds))
+            held.clear()
+
         for batch in batches:
             lang, word, n = (batch.column(c).to_pylist() for c in range(3))
             by: dict[str, list[int]] = {}
             for i, x in enumerate(lang):
                 by.setdefault(x, []).append(i)
             for x, rows in by.items():
-                weight = np.array([n[i] for i in rows], float)
-                mine = [word[i] for i in rows]
+                weight, mine = np.array([n[i] for i in rows], float), [word[i] for i in rows]
                 for order in ORDERS:
-                    at, many = gram_buckets(mine, order)
-                    made = np.bincount(at, np.repeat(weight, many), BUCKETS)
-                    held[x, order] = held[x, order] + made if (x, order) in held else made
-        for (x, order), total in held.items():
-            some = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array([x] * len(some), pa.string()), pa.array([order] * len(some), pa.int32()), pa.array(some.astype(np.int32)), pa.array(total[some].astype(np.int64))], names=["lang", "grams", "bucket", "n"])
+                    keys, many = gram_keys(mine, order)
+                    held.setdefault((x, order), []).append((keys, np.repeat(weight, many)))
+                    size += len(keys)
+            if size > HELD:
+                yield from flush()
+                size = 0
+        yield from flush()
+        trim()
 
-    return counts.select("lang", "word", "n").mapInArrow(run, "lang string, grams int, bucket int, n long").groupBy("lang", "grams", "bucket").agg(F.sum("n").alias("n"))
+    made = counts.select("lang", "word", "n").mapInArrow(run, "lang string, grams int, word long, n long")
+    return made.groupBy("lang", "grams", "word").agg(F.sum("n").alias("n"))
 
 
 def rising(counts: DataFrame, order: list, by: str) -> DataFrame:
@@ -122,13 +139,14 @@ def rising(counts: DataFrame, order: list, by: str) -> DataFrame:
     return counts.groupBy("lang", by).agg(F.count("*").alias("words")).withColumn("before", F.coalesce(F.sum("words").over(prior), F.lit(0)))
 
 
-def frequent(counts: DataFrame) -> DataFrame:
-    """(lang, word, n): the VOCABULARY most frequent words of each language, those of one count in the order of a
+def frequent(counts: DataFrame, most: int | None = None) -> DataFrame:
+    """(lang, word, n): the ``most`` (VOCABULARY) most frequent words of each language, those of one count in the order of a
     hash. The bar comes from how many words have each count; among the words at the bar, it comes from how many
     have each leading part of the hash, so that no language's words meet in a task but those of one part."""
-    bar = rising(counts, [F.desc("n")], "n").where((F.col("before") < VOCABULARY) & (F.col("before") + F.col("words") > VOCABULARY))
-    bar = bar.select("lang", F.col("n").alias("bar"), (VOCABULARY - F.col("before")).alias("room"))
-    least = rising(counts, [F.desc("n")], "n").where(F.col("before") < VOCABULARY).groupBy("lang").agg(F.min("n").alias("least"))
+    most = VOCABULARY if most is None else most
+    ranked = rising(counts, [F.desc("n")], "n")
+    bar = ranked.where((F.col("before") < most) & (F.col("before") + F.col("words") > most)).select("lang", F.col("n").alias("bar"), (most - F.col("before")).alias("room"))
+    least = ranked.where(F.col("before") < most).groupBy("lang").agg(F.min("n").alias("least"))
     marked = counts.join(F.broadcast(least), "lang").where("n >= least").join(F.broadcast(bar), "lang", "left")
     hashed = F.xxhash64("word")
     split = marked.withColumns({"_tied": F.coalesce(F.col("n") == F.col("bar"), F.lit(False)), "_part": F.shiftrightunsigned(hashed, 64 - PART_BITS)})
@@ -139,50 +157,84 @@ def frequent(counts: DataFrame) -> DataFrame:
     return split.where("not _tied").select("lang", "word", "n").unionByName(filled.select("lang", "word", "n"))
 
 
+def known(counts: DataFrame, most: int) -> DataFrame:
+    """(lang, grams, word, n): the words among the ``most`` of any language and order ``grams``, with their counts in the
+    languages that have them among KEPT times as many of these. Languages and orders go together as one name."""
+    named = counts.select(F.concat(F.col("grams").cast("string"), F.lit(":"), F.col("lang")).alias("lang"), "word", "n")
+    order = F.substring_index("lang", ":", 1).cast("int").alias("grams")
+    chosen = materialise(frequent(named, most).select(order, "word").distinct(), "known")
+    kept = frequent(named.select("*", order).join(chosen, ["grams", "word"], "left_semi"), KEPT * most)
+    return kept.select(F.expr("substring(lang, instr(lang, ':') + 1)").alias("lang"), order, "word", "n")
+
+
+class Table:
+    """Log frequencies by key and language, where they differ from that of a key the language lacks."""
+
+    def __init__(self, key: np.ndarray, lang: np.ndarray, n: np.ndarray, sizes: np.ndarray):
+        """Entries (key, lang, n), and all occurrences by language."""
+        self.keys, row = np.unique(key, return_inverse=True)
+        order = np.lexsort((lang, row))
+        self.start = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(self.keys)))])
+        self.lang = lang[order].astype(np.uint16 if len(sizes) < 1 << 16 else np.int64)
+        whole = sizes + SMOOTH * max(1, len(self.keys))
+        self.none = np.log(SMOOTH / whole).astype(np.float32)
+        self.more = (np.log((n[order] + SMOOTH) / whole[self.lang]) - self.none[self.lang]).astype(np.float32)
+
+    def find(self, key: np.ndarray) -> np.ndarray:
+        """The row of each key, or -1."""
+        if not len(self.keys):
+            return np.full(len(key), -1)
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, at, -1)
+
+    def logs(self, rows: np.ndarray, owner: np.ndarray, owners: int) -> np.ndarray:
+        """(owner, language): the sums over the rows of each owner."""
+        sizes = self.start[rows + 1] - self.start[rows]
+        at = np.arange(sizes.sum()) + np.repeat(self.start[rows] - (np.cumsum(sizes) - sizes), sizes)
+        wide = len(self.none)
+        out = np.bincount(np.repeat(owner, sizes) * wide + self.lang[at], self.more[at], owners * wide).reshape(owners, wide)
+        return out + np.bincount(owner, minlength=owners)[:, None] * self.none
+
+    @property
+    def nbytes(self) -> int:
+        return sum(x.nbytes for x in (self.keys, self.start, self.lang, self.none, self.more))
+
+
 @dataclass
 class Model:
     languages: list[str]
-    words: np.ndarray  #: ascending hashes of the vocabulary
-    word_logs: np.ndarray  #: (word, language), in that order
-    gram_logs: dict[int, np.ndarray]  #: by order, (bucket, language)
-    gram_known: dict[int, np.ndarray]
+    words: Table
+    grams: dict[int, Table]
 
     def places(self, words: list[str]) -> np.ndarray:
-        """The row of each word, or -1."""
+        """The row of each word in the table of words, or -1."""
         import xxhash
 
-        key = np.array([xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), HASH_SEED) for w in words], np.uint64)
-        if not len(self.words):
-            return np.full(len(words), -1)
-        at = np.minimum(np.searchsorted(self.words, key), len(self.words) - 1)
-        return np.where(self.words[at] == key, at, -1)
+        return self.words.find(np.array([xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), HASH_SEED) for w in words], np.uint64))
 
 
 def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Model:
-    """A model of all rows of ``docs`` with a language. What reaches the driver is bounded by VOCABULARY and BUCKETS
-    for each language."""
+    """A model of all rows of ``docs`` with a language. What reaches the driver is bounded by KEPT times VOCABULARY words
+    and KEPT times GRAMS n-grams of each order for each language."""
     counts = materialise(word_counts(docs, text_col, lang_col), "words")
-    sizes = {r.lang: float(r.n) for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-    langs = sorted(sizes)
+    grams = materialise(gram_counts(counts), "grams")
+    total = F.sum("n").alias("n")
+    sizes = {(r.lang, r.grams): float(r.n) for r in counts.groupBy("lang", F.lit(0).alias("grams")).agg(total).unionByName(grams.groupBy("lang", "grams").agg(total)).collect()}
+    langs = sorted({x for x, _ in sizes})
+
     at = {x: i for i, x in enumerate(langs)}
-    top = counts.join(frequent(counts).select("word").distinct(), "word", "left_semi").select("lang", F.xxhash64("word").alias("key"), "n").toArrow()
-    size = np.array([sizes[x] for x in langs])
-    words, row = np.unique(top.column("key").to_numpy().view(np.uint64), return_inverse=True)
-    word_n = np.zeros((len(words), len(langs)))
-    np.add.at(word_n, (row, np.array([at[x] for x in top.column("lang").to_pylist()], int)), top.column("n").to_numpy())
-    smooth = lambda n, whole, kinds: np.log((n + SMOOTH) / (whole + SMOOTH * kinds)).astype(np.float32)
-    gram_logs, gram_known = {}, {}
-    grams = gram_counts(counts).toArrow()
-    lang, order, bucket, n = (grams.column(c) for c in ("lang", "grams", "bucket", "n"))
-    column = np.array([at[x] for x in lang.to_pylist()], int)
-    order, bucket, n = (c.to_numpy() for c in (order, bucket, n))
-    for o in ORDERS:
-        held = np.zeros((BUCKETS, len(langs)))
-        mine = order == o
-        held[bucket[mine], column[mine]] = n[mine]
-        gram_logs[o] = smooth(held, held.sum(axis=0), BUCKETS)
-        gram_known[o] = held.any(axis=1)
-    return Model(langs, words, smooth(word_n, size, max(1, len(words))), gram_logs, gram_known)
+
+    def entries(df: DataFrame, key: Column) -> list[np.ndarray]:
+        got = df.select("lang", "grams", key.alias("key"), "n").toArrow()
+        return [np.array([at[x] for x in got.column("lang").to_pylist()], np.int64), *(got.column(c).to_numpy() for c in ("grams", "key", "n"))]
+
+    def table(order: int, lang: np.ndarray, grams: np.ndarray, key: np.ndarray, n: np.ndarray) -> Table:
+        own = grams == order
+        return Table(key[own].view(np.uint64), lang[own], n[own], np.array([sizes.get((x, order), 0.0) for x in langs]))
+
+    words = table(0, *entries(known(counts.withColumn("grams", F.lit(0)), VOCABULARY), F.xxhash64("word")))
+    held = entries(known(grams, GRAMS), F.col("word"))
+    return Model(langs, words, {o: table(o, *held) for o in ORDERS})
 
 
 def word_scores(model: Model, words: list[str]) -> np.ndarray:
@@ -190,20 +242,19 @@ def word_scores(model: Model, words: list[str]) -> np.ndarray:
     tells whether there was evidence of EVIDENCE characters or more."""
     out = np.zeros((len(words), len(model.languages) + 1), np.float32)
     rows = model.places(words)
-    out[rows >= 0, :-1] = model.word_logs[rows[rows >= 0]]
-    out[rows >= 0, -1] = 1
+    held = np.flatnonzero(rows >= 0)
+    out[held, :-1] = model.words.logs(rows[held], np.arange(len(held)), len(held))
+    out[held, -1] = 1
     left = np.flatnonzero(rows < 0)
     for order in ORDERS:
         if not len(left):
             break
-        at, many = gram_buckets([words[i] for i in left], order)
-        known = model.gram_known[order][at]
-        owner = np.repeat(np.arange(len(left)), many)[known]
+        keys, many = gram_keys([words[i] for i in left], order)
+        at = model.grams[order].find(keys)
+        owner = np.repeat(np.arange(len(left)), many)[at >= 0]
         found = np.bincount(owner, minlength=len(left))
-        logs = model.gram_logs[order][at[known]]
-        for j in range(len(model.languages)):
-            total = np.bincount(owner, logs[:, j], len(left))
-            out[left[found > 0], j] = total[found > 0] / found[found > 0]
+        mean = model.grams[order].logs(at[at >= 0], owner, len(left)) / np.maximum(found, 1)[:, None]
+        out[left[found > 0], :-1] = mean[found > 0]
         out[left[found > 0], -1] = order >= EVIDENCE
         left = left[found == 0]
     return out

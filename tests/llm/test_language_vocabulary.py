@@ -20,8 +20,10 @@ def test_a_word_below_the_bar_keeps_its_count(spark, monkeypatch):
     monkeypatch.setattr(language, "VOCABULARY", 2)
     rows = [("top top top mid mid mid seen", "aa"), ("seen seen", "bb")]
     model = language.learn(spark.createDataFrame(rows, "text string, lang string"))
-    assert len(model.words) == 3 and sorted(model.places(["mid", "seen", "top", "other"]))[:2] == [-1, 0]
-    logs = model.word_logs[model.places(["seen"])[0]]
+    assert len(model.words.keys) == 3 and sorted(model.places(["mid", "seen", "top", "other"]))[:2] == [-1, 0]
+    import numpy as np
+
+    logs = model.words.logs(model.places(["seen"]), np.zeros(1, int), 1)[0]
     assert abs(logs[0] - math.log((1 + language.SMOOTH) / (7 + 3 * language.SMOOTH))) < 1e-5
 
 
