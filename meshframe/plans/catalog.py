@@ -5,7 +5,7 @@ digits, and ``+ 0.0`` turns a negative zero into zero."""
 from __future__ import annotations
 
 import os
-import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -15,7 +15,7 @@ from meshframe.functions import geometry as G
 from meshframe.operators import cliques, coarsen, exterior, pde, prolong, report, sampling, sparse, topology
 from meshframe.plans import hierarchy, multigrid
 from meshframe.sources import cube, orders, ply
-from meshframe.storage import settle, shared_folder
+from meshframe.storage import current, settle, shared_folder
 
 CUBE_N = 10
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -495,8 +495,10 @@ def cube_vcycle_residuals(spark, sf_dir):
 
 @query
 def ply_round_trip(spark, sf_dir):
-    """The cube written as a binary PLY file and read back by the data source."""
-    folder = shared_folder(spark).removeprefix("file://")
-    path = os.path.join(tempfile.mkdtemp(dir=folder if os.path.isdir(folder) else None), "cube.ply")
-    ply.write_tet_ply(path, *cube.cube_mesh(spark, CUBE_N))
-    return ply.read_tets(spark, path)
+    """The order complex, its tets numbered by order key, written as a binary PLY file in parts and read back."""
+    v, t = orders.order_mesh(spark, sf_dir)
+    numbered = exterior.ranked(t, [F.col("tid")]).select(F.col("rank").cast("bigint").alias("tid"), *[f"v{i}" for i in range(4)])
+    folder = current(spark).add("path", f"{shared_folder(spark)}/ply-{uuid.uuid4().hex}")
+    folder = folder if "://" in folder else os.path.abspath(folder)
+    ply.write_parts(folder, "orders", v, numbered)
+    return ply.read_parts(spark, folder, "orders")[1]

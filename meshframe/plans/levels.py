@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshframe.operators import cliques, coarsen, exterior, prolong, sampling, topology
+from meshframe.operators import cliques, coarsen, exterior, pde, prolong, sampling, topology
 from meshframe.plans import oracles as S
 from meshframe.sources import orders
 from meshframe.storage import settle
@@ -49,6 +49,28 @@ def order_exterior_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outside(*mesh(spark, sf_dir))[1]
 
 
+def order_sharpness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How sharply the exterior of the order complex bends at its vertices."""
+    v, t, edges = mesh(spark, sf_dir)
+    ext, ext_edges = outside(v, t, edges)
+    return exterior.sharpness(v, ext, ext_edges, edges).select("vid", *r6("feature"))
+
+
+def order_surface_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v, t = orders.order_mesh(spark, sf_dir)
+    return topology.surface_depth(v, topology.boundary_faces(t))
+
+
+def order_stiffness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stiffness of the order complex; its slivers make large entries, so three digits are given."""
+    return pde.stiffness(*orders.order_mesh(spark, sf_dir)).select("i", "j", (F.round("v", 3) + 0.0).alias("v"))
+
+
+def order_poisson_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v, t, _ = mesh(spark, sf_dir)
+    return pde.system_matrix("poisson", pde.stiffness(v, t), pde.lumped_mass(v, t)).select("i", "j", (F.round("v", 3) + 0.0).alias("v"))
+
+
 def disk_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts no two of which are within RADIUS over one or two edges, exterior ones first; all rounds on the cluster."""
     v, t, edges = mesh(spark, sf_dir)
@@ -163,10 +185,14 @@ UNION ALL SELECT * FROM (SELECT f, 6, "to" AS j, CASE WHEN h IS NOT NULL THEN CA
 
 
 WEIGHTS = f"WITH RECURSIVE {', '.join([S.PARTS, S.TETS, S.UND, S.LENGTHS, *weights_sql()])}\n"
-QUERIES = {f.__name__: f for f in (order_exterior_vertices, order_exterior_edges, disk_sample, exterior_clusters, interpolation, interpolation_cases)}
+QUERIES = {f.__name__: f for f in (order_exterior_vertices, order_exterior_edges, order_sharpness, order_surface_depth, order_stiffness, order_poisson_matrix, disk_sample, exterior_clusters, interpolation, interpolation_cases)}
 ORACLES = {
     "order_exterior_vertices": S.sql([*S.ORDER, S.POINTS, S.corner_angles(), S.EXTERIOR], f"SELECT vid, {S.r6('omega')} AS omega FROM ext"),
     "order_exterior_edges": S.sql(EXT, "SELECT a, b FROM xe"),
+    "order_sharpness": S.sql([*EXT, S.SURFACE], f"SELECT vid, {S.r6('feature')} AS feature FROM feature"),
+    "order_surface_depth": S.sql([*S.ORDER, S.FACES], "SELECT vid, CASE WHEN vid IN (SELECT unnest([a, b, c]) FROM bfaces) THEN 0 ELSE 1 END AS depth FROM pts"),
+    "order_stiffness": S.sql([*S.ORDER, S.POINTS, S.stiffness()], "SELECT i, j, round(v, 3) + 0.0 AS v FROM stiff"),
+    "order_poisson_matrix": S.sql([*S.ORDER, S.POINTS, S.stiffness(), S.MASS], "SELECT i, j, round(sum(v), 3) + 0.0 AS v FROM (SELECT * FROM stiff UNION ALL SELECT i, i, 1e-3 * v FROM mass) GROUP BY 1, 2"),
     "disk_sample": f"WITH RECURSIVE {', '.join([*S.ORDER, S.POINTS, S.UND, S.corner_angles(), S.EXTERIOR, S.LENGTHS, ROUNDS])}\nSELECT row_number() OVER (ORDER BY t.i) - 1 AS coarse_id, vid AS fine_vid, outer_one AS is_exterior FROM walk JOIN turn t USING (vid) WHERE taken",
     "exterior_clusters": f"WITH RECURSIVE {', '.join([*EXT, S.LENGTHS, MARKS, SURFACE])}\nSELECT vid, coalesce(c, 0) AS coarse_id, CASE WHEN dist < 'inf'::DOUBLE THEN {S.r6('dist')} END AS dist FROM pts LEFT JOIN best USING (vid)",
     "interpolation": WEIGHTS + f"SELECT f AS i, j, {S.r6('sum(v)')} AS v FROM weights GROUP BY 1, 2",

@@ -220,5 +220,5 @@ ORACLES: dict[str, str] = {
     "stage_totals": "SELECT o_orderpriority AS stage, sum((o_orderkey % 100)::DOUBLE) AS ms, count(*) AS levels FROM orders GROUP BY 1",
     "count_labels": "SELECT o_orderkey, CASE WHEN (o_orderkey * 1700 + 13) >= 1000000 THEN printf('%.1fM', (o_orderkey * 1700 + 13) / 1e6) WHEN (o_orderkey * 1700 + 13) >= 1000 THEN printf('%.0fk', (o_orderkey * 1700 + 13) / 1e3) ELSE (o_orderkey * 1700 + 13)::VARCHAR END AS label FROM orders",
     "cube_disk_sample": f"WITH RECURSIVE {', '.join([cube(6), POINTS, UND, corner_angles(), EXTERIOR, WALK])}\nSELECT row_number() OVER (ORDER BY i) - 1 AS coarse_id, vid AS fine_vid, outer_one AS is_exterior FROM taken JOIN turn USING (vid)",
-    "ply_round_trip": sql([cube(10)], "SELECT tid, v0, v1, v2, v3 FROM tets"),
+    "ply_round_trip": sql([TETS], "SELECT row_number() OVER (ORDER BY tid) - 1 AS tid, v0, v1, v2, v3 FROM tets"),
 }

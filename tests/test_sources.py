@@ -20,6 +20,37 @@ def test_binary_ply(spark, tmp_path):
     assert np.allclose(sorted(map(tuple, got_v.collect())), sorted(map(tuple, v.collect())), atol=1e-6)
 
 
+def test_parts_written_by_tasks(spark, tmp_path):
+    v, t = cube.cube_mesh(spark, 5)
+    folder, one = tmp_path / "parts", tmp_path / "one.ply"
+    entry = ply.write_parts(f"file://{folder}", "cube", v.repartition(7), t.repartition(5))
+    assert len(entry["parts"]) > 4
+    parts.write_manifest(str(folder), {"cube": entry})
+    assert parts.assemble(str(folder), "cube", str(tmp_path / "cube.ply"))
+    ply.write_tet_ply(str(one), v, t)
+    assert (tmp_path / "cube.ply").read_bytes() == one.read_bytes()
+    got_v, got_t = ply.read_parts(spark, f"file://{folder}", "cube")
+    assert got_v.count() == 125 and sorted(map(tuple, got_t.collect())) == sorted(map(tuple, t.collect()))
+    assert sorted(map(tuple, ply.read_tets(spark, f"file://{one}").collect())) == sorted(map(tuple, t.collect()))
+    with pytest.raises(Exception, match="count from 0|follow each other"):
+        ply.write_parts(str(tmp_path / "gap"), "x", v.where("vid <> 60"), t)
+    assert not (tmp_path / "gap" / "x.vertices.json").exists()
+
+
+def test_lines_of_a_text_file_over_many_partitions(spark, tmp_path):
+    path = tmp_path / "a.ply"
+    n = 2000
+    path.write_text(TEXT.split("element vertex")[0] + f"element vertex {n}\nproperty float x\nproperty float y\nproperty float z\nelement face {n}\nproperty list uchar int vertex_indices\nend_header\n" + "".join(f"{k} 0 0\n" for k in range(n)) + "".join(f"4 {k} 0 1 2\n" for k in range(n)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000b")
+    try:
+        assert spark.read.text(str(path)).rdd.getNumPartitions() > 5
+        v, t = ply.read_mesh(spark, str(path))
+        assert all(r.x == r.vid for r in v.collect()) and all(r.v0 == r.tid for r in t.collect()) and t.count() == n
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 TEXT = "ply\nformat ascii 1.0\nelement vertex 4\nproperty float x\nproperty float y\nproperty float z\nelement face 1\nproperty list uchar int vertex_indices\nend_header\n0 0 0\n1 0 0\n0 1 0\n0 0 1.5\n{n} 0 1 2 3\n"
 
 
