@@ -8,7 +8,9 @@ with a flag each. ``read_turns`` and ``read_loss`` invert it.
 
 Defined results: null roles and texts count as empty; null or empty conversations render to an empty
 string; JSON of an unknown layout, or none, gives null turns; turns with equal numbers are ordered by role
-and text; repeated rows are kept; a null turn number comes first."""
+and text; repeated rows are kept; a null turn number comes first; an empty table gives an empty table; columns named
+like those that are added (the turns column of ``canonical``, ``segments`` and ``formatted``) are replaced, and other columns
+are passed on."""
 
 from __future__ import annotations
 

@@ -19,6 +19,7 @@ result; an empty table gives an empty table; clashing columns are replaced."""
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Callable
 from html.parser import HTMLParser
@@ -35,8 +36,8 @@ SIGMA, WIDTH = 1.0, 2
 #: A line belongs to a cluster if its smoothed ratio reaches this share of the mean over lines with text, and is one of
 #: its heavier lines if its ratio reaches SHARE of the cluster's largest.
 THRESHOLD, SHARE = 1.0, 0.5
-#: What an element around the cluster's may add to the text for a heading's sake, and how many are tried.
-WIDEN, WIDENINGS = 0.25, 8
+#: What an element around the cluster's may add to the text for a heading's sake.
+WIDEN = 0.25
 
 # Elements of HTML by what they do to lines.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -219,7 +220,9 @@ def around(page: Lines, heavy: list[int], sizes: np.ndarray) -> int:
         low = page.parent[low]
     found = low
     place = np.array([x[3] for x in page.lines])
-    held = lambda n: (place >= n) & (place <= ends[n])
+    order = np.argsort(place, kind="stable")
+    place, before = place[order], np.concatenate([[0], np.cumsum(sizes[order])])
+    held = lambda n: int(before[np.searchsorted(place, ends[n], "right")] - before[np.searchsorted(place, n)])
     up = low
     while up >= 0 and page.names[up] not in ("body", "html"):
         if page.names[up] in ("article", "main"):
@@ -227,14 +230,9 @@ def around(page: Lines, heavy: list[int], sizes: np.ndarray) -> int:
         up = page.parent[up]
     headed = [n for n, name in enumerate(page.names) if name in ("h1", "h2")]
     up = page.parent[found] if found >= 0 else -1
-    own = int(sizes[held(found)].sum()) if found >= 0 else 0
-    for _ in range(WIDENINGS):
-        if up < 0 or page.names[up] in ("body", "html"):
-            break
-        inside = held(up)
-        if sizes[inside].sum() > (1 + WIDEN) * own:
-            break
-        if any(up < n < found for n in headed):
+    own = held(found) if found >= 0 else 0
+    while up >= 0 and page.names[up] not in ("body", "html") and held(up) <= (1 + WIDEN) * own:
+        if bisect_left(headed, found) > bisect_right(headed, up):
             return up
         up = page.parent[up]
     return found

@@ -7,7 +7,8 @@ SimpleBlocks and BlockGroups, the three lacings, and cues, into a packet table w
 byte ranges. ``read`` joins the packets' bytes and computes features of the samples.
 
 Defined results: null text counts as empty and stores one frame of blanks; equal texts give equal media;
-null media parse to an empty packet table; damaged media raise ValueError; clashing columns are replaced."""
+null media parse to an empty packet table; damaged media raise ValueError; repeated rows repeat their result; an empty
+table gives an empty table; clashing columns are replaced."""
 
 from __future__ import annotations
 

@@ -22,7 +22,6 @@ import heapq
 import math
 import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass
 from fractions import Fraction
 from itertools import islice
 
@@ -41,14 +40,6 @@ BUCKET = 2_000
 ADDED = ["block", "slot", "phase", "lag"]
 
 
-class Share(dict):
-    """Blocks by source, and the whole-number weights by which they are served."""
-
-    def __init__(self, blocks: dict[str, int], rates: dict[str, int]):
-        super().__init__(blocks)
-        self.rates = rates
-
-
 def allotments(weights: dict[str, float], least: int = 1) -> dict[str, int]:
     """The weights in exact proportion as whole numbers that add up to ``least`` or more."""
     exact = {s: Fraction(w) for s, w in weights.items()}
@@ -81,22 +72,6 @@ def earliest(rates: dict[str, int]) -> Iterator[str]:
         slot += 1
 
 
-def pattern(share: dict[str, int]) -> dict[str, list[int]]:
-    """The slots of each source's blocks in one period of ``share``."""
-    slots: dict[str, list[int]] = {s: [] for s in share}
-    for slot, s in enumerate(islice(earliest(getattr(share, "rates", share)), sum(share.values()))):
-        slots[s].append(slot)
-    return slots
-
-
-@dataclass
-class Phase:
-    start: int  #: its first slot
-    periods: int
-    share: dict[str, int]  #: slots a period by source
-    first: dict[str, int]  #: each source's first block in the phase
-
-
 def places(blocks: dict[str, int], share: dict[str, int]) -> Iterator[tuple[int, str, int, int, float]]:
     """(phase, source, block, slot, lag) of every block in the order of the slots; lag is the exact target less
     the served blocks of the phase."""
@@ -116,19 +91,6 @@ def places(blocks: dict[str, int], share: dict[str, int]) -> Iterator[tuple[int,
         phase += 1
 
 
-def phases(blocks: dict[str, int], share: dict[str, int]) -> list[Phase]:
-    out: list[Phase] = []
-    for phase, s, block, slot, _ in places(blocks, share):
-        if phase == len(out):
-            ended = [x for p in out for x, c in p.share.items() if p.first[x] + c == blocks[x]]
-            left = {x: share[x] for x, n in blocks.items() if n and x not in ended}
-            rates = {x: c for x, c in left.items() if c} or dict.fromkeys(left, 1)
-            out.append(Phase(slot, 1, Share({}, rates), {}))
-        out[-1].first.setdefault(s, block)
-        out[-1].share[s] = out[-1].share.get(s, 0) + 1
-    return out
-
-
 def ranked(docs: DataFrame, source_col: str = "source") -> tuple[DataFrame, dict[str, int]]:
     """``docs`` with ``_rank`` from 0 within each source, in the order of a hash, and the sources' counts."""
     keys = [c for c in docs.columns if c != "text" and docs.schema[c].dataType.typeName() in ("long", "integer", "string")]

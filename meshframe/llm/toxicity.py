@@ -9,9 +9,9 @@ calibrated by logistic regression on labelled documents that the dictionaries in
 the half that isn't trained on, toxic ones by a dictionary trained on the other FOLDS - 1 parts.
 
 Learning takes a bounded sample of labelled rows (SAMPLE per class, SAMPLE_BYTES of text); scores cover all
-windows. Defined results: null and empty texts are one empty window; texts of any length are scored whole; without
-rows of both classes every score is the share of toxic rows (0 without any); repeated rows repeat their score; an
-empty table gives an empty table; columns that clash with the output are replaced."""
+windows. Defined results: null and empty texts are one empty window; texts of any length are scored whole; where only
+one class is labelled every score is that class's, all but 1e-13 of 1 or 0, and 0 in the same way where none is; repeated
+rows repeat their score; an empty table gives an empty table; columns that clash with the output are replaced."""
 
 from __future__ import annotations
 

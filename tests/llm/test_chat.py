@@ -43,6 +43,19 @@ def test_layouts_become_turns(spark):
     assert [r.formatted for r in chat.render(chat.canonical(odd, "record")).collect()] == [""] * 4
 
 
+def test_clashing_columns_are_replaced(spark):
+    rows = [(7, "x", "old", 1, 2)]
+    df = spark.createDataFrame(rows, "conv_id long, turns string, keep string, segments int, formatted int").selectExpr("*", "struct('q' as prompt, 'a' as response) as record")
+    made = chat.render(chat.canonical(df, "record"))
+    r = made.first()
+    assert made.columns == ["conv_id", "turns", "keep", "segments", "formatted", "record"] and (r.conv_id, r.keep) == (7, "old")
+    assert [tuple(t) for t in r.turns] == [("user", "q"), ("assistant", "a")] and r.formatted == "### user: q</turn>\n### assistant: a</turn>\n"
+    assert "".join(s.text for s in r.segments) == r.formatted and [s.text for s in r.segments if s.loss] == ["a"]
+    assert chat.render(chat.canonical(df.limit(0), "record")).count() == 0
+    told = spark.createDataFrame([(1, 0, "user", "hi", "x", "y", "z")], "conv_id long, turn long, role string, text string, turns string, segments string, formatted string")
+    assert chat.summary(told).first().n_turns == 1
+
+
 def test_struct_columns(spark):
     df = spark.createDataFrame([(("sys", "q", "a"),)], "record struct<system:string,prompt:string,response:string>")
     assert [t.role for t in chat.canonical(df, "record").first().turns] == ["system", "user", "assistant"]

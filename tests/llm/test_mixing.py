@@ -1,4 +1,7 @@
+import math
 from collections import Counter
+from fractions import Fraction
+from itertools import islice
 
 import pytest
 from hypothesis import given, settings
@@ -9,34 +12,46 @@ from meshframe.llm import mixing
 SHARES = st.dictionaries(st.sampled_from("abcdefgh"), st.integers(1, 40), min_size=1)
 
 
+def slow(blocks, share):
+    """(phase, source, block, slot): in each slot all released blocks are looked at and the one due first is served; a
+    phase ends with the source that runs out."""
+    served, out, phase = dict.fromkeys(blocks, 0), [], 0
+    while left := [s for s in blocks if served[s] < blocks[s]]:
+        rates = {s: share[s] for s in left if share[s]} or dict.fromkeys(left, 1)
+        whole, first, slot = sum(rates.values()), dict(served), 0
+        while all(served[s] < blocks[s] for s in rates):
+            due = []
+            for s, rate in rates.items():
+                j = served[s] - first[s] + 1
+                if Fraction(j - 1) * whole / rate < slot + 1:  # released at its floor
+                    due.append((math.ceil(Fraction(j) * whole / rate), s))
+            when, s = min(due)
+            assert when > slot
+            out.append((phase, s, served[s], len(out)))
+            served[s] += 1
+            slot += 1
+        phase += 1
+    return out
+
+
 @settings(max_examples=150, deadline=None)
 @given(SHARES)
-def test_pattern_deviates_by_less_than_a_block(share):
-    slots, length = mixing.pattern(share), sum(share.values())
-    assert sorted(x for s in slots.values() for x in s) == list(range(length))
-    for s, c in share.items():
-        for t in range(length + 1):
-            assert abs(c * t / length - sum(x < t for x in slots[s])) < 1
+def test_every_slot_deviates_by_less_than_a_block(share):
+    length, served = sum(share.values()), Counter()
+    for t, s in enumerate(islice(mixing.earliest(share), length)):
+        served[s] += 1
+        assert all(abs(c * (t + 1) / length - served[x]) < 1 for x, c in share.items())
+    assert served == Counter(share)
 
 
 @settings(max_examples=150, deadline=None)
-@given(st.dictionaries(st.sampled_from("abcdef"), st.integers(0, 500), min_size=1), st.integers(6, 40))
-def test_phases_place_every_block(blocks, period):
-    share = mixing.allotments({s: 1 + i for i, s in enumerate(blocks)}, period)
-    assert sum(share.values()) >= period
-    made = mixing.phases(blocks, share)
-    assert len(made) <= 2 * len(blocks) + 1
-    at, used = 0, Counter()
-    for p in made:
-        assert p.start == at
-        at += p.periods * sum(p.share.values())
-        for s, c in p.share.items():
-            assert p.first[s] == used[s]
-            used[s] += p.periods * c
-    assert dict(used) == {s: n for s, n in blocks.items() if n}
+@given(st.dictionaries(st.sampled_from("abcdef"), st.integers(0, 60), min_size=1), st.lists(st.integers(0, 9), min_size=6, max_size=6))
+def test_places_are_those_of_looking_at_all_blocks(blocks, weights):
+    share = mixing.allotments({s: weights["abcdef".index(s)] for s in blocks})
+    assert [x[:4] for x in mixing.places(blocks, share)] == slow(blocks, share)
 
 
-def test_query_against_the_plan(spark):
+def test_query_against_brute_force(spark):
     from tests.conftest import SF
 
     rows = mixing.op6_mixing(spark, SF).collect()
@@ -46,13 +61,8 @@ def test_query_against_the_plan(spark):
     held = Counter((r.source, r.block) for r in rows)
     sizes = Counter(docs.values())
     assert all(held[s, b] == (mixing.BLOCK if (b + 1) * mixing.BLOCK <= n else n % mixing.BLOCK) for s, n in sizes.items() for b in range(-(-n // mixing.BLOCK)))
-    slots = {r.slot: (r.source, r.block) for r in rows}
-    assert sorted(slots) == list(range(len(held))) and len(set(slots.values())) == len(held)
-    for p in mixing.phases({s: -(-n // mixing.BLOCK) for s, n in sizes.items()}, mixing.allotments({s: n**0.5 for s, n in sizes.items()})):
-        for s, where in mixing.pattern(p.share).items():
-            for k in range(p.periods):
-                for j, at in enumerate(where):
-                    assert slots[p.start + k * sum(p.share.values()) + at] == (s, p.first[s] + k * p.share[s] + j)
+    want = slow({s: -(-n // mixing.BLOCK) for s, n in sizes.items()}, {s: Fraction(n**0.5) for s, n in sizes.items()})
+    assert {(r.phase, r.source, r.block, r.slot) for r in rows} == set(want)
 
 
 def test_mix_keeps_rows_and_order(spark, monkeypatch):
