@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from meshframe.storage import bucketed
+
 
 def oriented(edges: DataFrame) -> DataFrame:
     """(u, v): each undirected edge of (src, dst) once, towards the higher (degree, id)."""
@@ -18,6 +20,11 @@ def oriented(edges: DataFrame) -> DataFrame:
     return with_n.select(F.when(up, F.col("src")).otherwise(F.col("dst")).alias("u"), F.when(up, F.col("dst")).otherwise(F.col("src")).alias("v"), F.when(up, F.col("nd")).otherwise(F.col("ns")).alias("nv"))
 
 
+def held(edges: DataFrame) -> DataFrame:
+    """The oriented edges written once, in buckets of their lower end, since every join reads them."""
+    return bucketed(oriented(edges), "u", "oriented")[0]
+
+
 def raw_triangles(up: DataFrame) -> DataFrame:
     """(u, v, w) along the orientation."""
     wedge = up.select("u", "v", "nv").join(up.select("u", F.col("v").alias("w"), F.col("nv").alias("nw")), "u").where("nv < nw or nv = nw and v < w").select("u", "v", "w")
@@ -26,12 +33,12 @@ def raw_triangles(up: DataFrame) -> DataFrame:
 
 def triangles(edges: DataFrame) -> DataFrame:
     """(a, b, c), a < b < c, of the graph (src, dst), both directions given."""
-    return raw_triangles(oriented(edges)).select(F.array_sort(F.array("u", "v", "w")).alias("t")).select(*[F.col("t")[i].alias(n) for i, n in enumerate("abc")])
+    return raw_triangles(held(edges)).select(F.array_sort(F.array("u", "v", "w")).alias("t")).select(*[F.col("t")[i].alias(n) for i, n in enumerate("abc")])
 
 
 def four_cliques(edges: DataFrame) -> DataFrame:
     """(a, b, c, d), ascending: triangles with a common out-neighbour of their corners."""
-    up = oriented(edges)
+    up = held(edges)
     out = up.select("u", F.col("v").alias("x"))
     grown = raw_triangles(up).join(out, "u").join(out.withColumnRenamed("u", "v"), ["v", "x"], "left_semi").join(out.withColumnRenamed("u", "w"), ["w", "x"], "left_semi")
     return grown.select(F.array_sort(F.array("u", "v", "w", "x")).alias("t")).select(*[F.col("t")[i].alias(n) for i, n in enumerate("abcd")])

@@ -15,9 +15,11 @@ from meshframe.functions import geometry as G
 from meshframe.operators import cliques, coarsen, exterior, pde, prolong, report, sampling, sparse, topology
 from meshframe.plans import hierarchy, multigrid
 from meshframe.sources import cube, orders, ply
-from meshframe.storage import current, settle, shared_folder
+from meshframe.storage import bucketed, current, settle, shared_folder
 
 CUBE_N = 10
+#: Tasks over which the pairs of one group of parts and tets are spread.
+SALTS = 8
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
@@ -335,9 +337,9 @@ def relative_error(spark, sf_dir):
 
 @query
 def jacobi_sweeps(spark, sf_dir):
-    a, x = settle(laplacian(spark, sf_dir), "matrix"), ramp(spark, sf_dir)
-    b, x = settle(sparse.spmv(a, x), "right"), x.select("i", F.lit(0.0).alias("v"))
-    d = settle(sparse.inverse_diagonal(a, x), "diagonal")
+    a, x = bucketed(laplacian(spark, sf_dir), "j", "matrix")[0], ramp(spark, sf_dir)
+    b, x = bucketed(sparse.spmv(a, x), "i", "right")[0], x.select("i", F.lit(0.0).alias("v"))
+    d = bucketed(sparse.inverse_diagonal(a, x), "i", "diagonal")[0]
     for omega in G.chebyshev_omegas(2.0):
         x = sparse.jacobi_sweep(a, b, x, d, omega)
     return rounded(x, "v")
@@ -391,19 +393,20 @@ def two_hop_reach(spark, sf_dir):
 
 
 def grouped_points(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Parts (vid, g, p) and tets with corner positions, by group. A group's tets go to many partitions, as each row
-    meets many points: their number, not their size, is the work."""
+    """Parts (vid, g, p) and tets with corner positions, by group. Tets have a salt and parts go to every salt, so that a
+    group's tets meet its parts in SALTS tasks: the number of pairs, not the size of the rows, is the work."""
     v, t = orders.order_mesh(spark, sf_dir)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    corners = topology.tet_points(t, v).withColumn("g", F.floor(F.col("v0") / 40)).repartition(parts, "g", F.pmod("tid", F.lit(16)))
-    return labels(spark, sf_dir).join(v, "vid").select("vid", F.col("coarse_id").alias("g"), G.point(F.col("x"), F.col("y"), F.col("z")).alias("p")), corners
+    corners = topology.tet_points(t, v).withColumns({"g": F.floor(F.col("v0") / 40), "salt": F.pmod("tid", F.lit(SALTS)).cast("int")})
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    points = labels(spark, sf_dir).join(v, "vid").select("vid", F.col("coarse_id").alias("g"), G.point(F.col("x"), F.col("y"), F.col("z")).alias("p"), salts)
+    return points, corners
 
 
 @query
 def best_tet_per_point(spark, sf_dir):
     """For each part the tet of the orders of its group that contains it with the least margin."""
     points, corners = grouped_points(spark, sf_dir)
-    near = points.join(corners, (points["g"] == corners["g"]) & G.in_box(F.col("p"), *[F.col(f"p{i}") for i in range(4)]))
+    near = points.join(corners, (points["g"] == corners["g"]) & (points["salt"] == corners["salt"]) & G.in_box(F.col("p"), *[F.col(f"p{i}") for i in range(4)]))
     hits = G.with_tet_coordinates(near, "p", [f"p{i}" for i in range(4)]).select("vid", "tid", r6("metric").alias("metric")).where("metric > -0.5")
     return hits.groupBy("vid").agg(F.min(F.struct("metric", "tid")).alias("top")).select("vid", "top.tid", "top.metric")
 
@@ -412,7 +415,7 @@ def best_tet_per_point(spark, sf_dir):
 def best_triangle_per_point(spark, sf_dir):
     """For each part the triangle v0 v1 v2 of its group's tets whose plane is nearest, if it projects inside."""
     points, corners = grouped_points(spark, sf_dir)
-    hits = G.with_triangle_projection(points.join(corners, "g"), "p", ["p0", "p1", "p2"]).select("vid", "tid", r6("height").alias("height")).where("height is not null")
+    hits = G.with_triangle_projection(points.join(corners, ["g", "salt"]), "p", ["p0", "p1", "p2"]).select("vid", "tid", r6("height").alias("height")).where("height is not null")
     return hits.groupBy("vid").agg(F.min(F.struct("height", "tid")).alias("top")).select("vid", "top.tid", "top.height")
 
 

@@ -100,18 +100,20 @@ def finest(vertices: DataFrame, tets: DataFrame, settings: Settings | None = Non
 def coarser(h: Hierarchy, settings: Settings) -> Level:
     """The level above the last one, with the interpolation from it."""
     low, k = h.levels[-1], len(h.levels)
-    with stage(h, k, "sampling"):
-        mean = topology.average_length(low.edges).first().avg_len
-        radius = settings.search_radius_factor ** (1 / 3) * mean
+    with stage(h, k, "sampling priority"):
         rank = F.coalesce("rank", F.lit(LAST))
         order = low.vertices.select("vid").join(low.exterior.select("vid", "rank"), "vid", "left")
         order = settle(order.select("vid", rank.alias("rank"), F.col("rank").isNotNull().alias("is_exterior")), "priority")
+    with stage(h, k, "sampling"):
+        mean = topology.average_length(low.edges).first().avg_len
+        radius = settings.search_radius_factor ** (1 / 3) * mean
         samples, marks = sampling.disk_sample(order, low.edges, radius, settings.local)
     with stage(h, k, "coarse graph"):
         clusters, coarse, ext_coarse = coarsen.exterior_first(low.vertices, samples, marks, low.exterior, low.ext_edges, low.edges)
         at = settle(samples.join(low.vertices.withColumnRenamed("vid", "fine_vid"), "fine_vid").select(F.col("coarse_id").alias("vid"), "x", "y", "z", "is_exterior"), "points")
         vertices = at.select("vid", "x", "y", "z")
         edges = settle(topology.with_length(coarse, vertices), "edges")
+    with stage(h, k, "exterior detect"):
         outer = settle(at.where("is_exterior").select("vid", F.col("vid").alias("rank")), "exterior")
         ext_edges = settle(coarsen.within(ext_coarse, outer.select("vid")).join(edges, ["src", "dst"]).select("src", "dst", "len"), "ext-edges")
     with stage(h, k, "simplicial complex"):
@@ -136,18 +138,32 @@ def build(vertices: DataFrame, tets: DataFrame, settings: Settings | None = None
     return h
 
 
-#: The stages of a level in the timing document; those without work of their own here stay 0.
-STAGES = ("sampling", "sampling priority", "exterior detect", "sort feature", "coarse graph", "smooth interior", "simplicial complex", "interpolation")
+# The arrays of the timing document, an entry for each coarse level, by the stage that they tell of. Here
+# coarse levels sort no features and smooth no interior, so two of them hold zeros.
+LEVEL_FIELDS = {
+    "level_sampling_ms": "sampling",
+    "level_sampling_priority_ms": "sampling priority",
+    "level_exterior_detect_ms": "exterior detect",
+    "level_sort_feature_ms": "sort feature",
+    "level_coarse_graph_ms": "coarse graph",
+    "level_smooth_interior_ms": "smooth interior",
+    "level_simplicial_complex_ms": "simplicial complex",
+    "level_interpolation_ms": "interpolation",
+}
 
 
 def timing_document(h: Hierarchy) -> dict:
     """Milliseconds by stage, an entry for each coarse level, and in total."""
     done = {(k, name): ms for k, name, ms in h.timings}
     levels = sorted({k for k, _ in done if k})
-    arrays = {f"level_{s.replace(' ', '_')}_ms": [done.get((k, s), 0.0) for k in levels] for s in STAGES}
-    totals = [sum(done.get((k, s), 0.0) for s in STAGES) for k in levels]
-    start = {"num_vertices_start": h.levels[0].n if h.levels else 0, "init_ms": done.get((0, "init"), 0.0), "init_exterior_extraction_ms": done.get((0, "finest"), 0.0)}
-    return {**start, **arrays, "level_total_ms": totals, "final_exterior_graph_ms": 0.0, "total_hierarchy_ms": h.total_ms}
+    document = {
+        "num_vertices_start": h.levels[0].n if h.levels else 0,
+        "init_ms": done.get((0, "init"), 0.0),
+        "init_exterior_extraction_ms": done.get((0, "finest"), 0.0),
+    }
+    document |= {field: [done.get((k, name), 0.0) for k in levels] for field, name in LEVEL_FIELDS.items()}
+    document["level_total_ms"] = [sum(done.get((k, name), 0.0) for name in LEVEL_FIELDS.values()) for k in levels]
+    return document | {"final_exterior_graph_ms": 0.0, "total_hierarchy_ms": h.total_ms}
 
 
 def grow(h: Hierarchy, vertices: DataFrame, tets: DataFrame, settings: Settings) -> None:

@@ -6,30 +6,34 @@ import argparse
 import hashlib
 import json
 import os
-import shutil
 import sys
+from collections.abc import Iterator
 from pathlib import Path
 
 PART_BYTES = 90_000_000
+#: Bytes that are copied at once.
+COPY_BYTES = 1 << 22
 
 
-def part_paths(folder: str, filename: str) -> list[Path]:
-    return sorted(Path(folder).glob(f"{filename}.part*"))
+def blocks(path: str, size: int) -> Iterator[bytes]:
+    with open(path, "rb") as f:
+        yield from iter(lambda: f.read(size), b"")
 
 
 def split(path: str, folder: str, part_bytes: int = PART_BYTES) -> dict:
-    """Parts of a file, stale ones removed first: {filename, size, sha256, parts}."""
-    source = Path(path)
-    for old in part_paths(folder, source.name):
-        old.unlink()
-    digest, parts = hashlib.sha256(), []
-    with source.open("rb") as f:
-        while block := f.read(part_bytes):
-            digest.update(block)
-            part = Path(folder, f"{source.name}.part{len(parts):03d}")
-            part.write_bytes(block)
-            parts.append(part.name)
-    return {"filename": source.name, "size": source.stat().st_size, "sha256": digest.hexdigest(), "parts": parts}
+    """Cut a file into parts and return its manifest entry: {filename, size, sha256, parts, part_sha256}. Parts are written
+    beside those of an earlier split and take their places at the end; what is left of these goes."""
+    name, whole, digests = os.path.basename(path), hashlib.sha256(), []
+    for k, block in enumerate(blocks(path, part_bytes)):
+        whole.update(block)
+        digests.append(hashlib.sha256(block).hexdigest())
+        Path(folder, f".{name}.{k}").write_bytes(block)
+    parts = [f"{name}.part{k:03d}" for k in range(len(digests))]
+    for stale in set(Path(folder).glob(f"{name}.part*")) - {Path(folder, p) for p in parts}:
+        stale.unlink()
+    for k, part in enumerate(parts):
+        os.replace(Path(folder, f".{name}.{k}"), Path(folder, part))
+    return {"filename": name, "size": os.path.getsize(path), "sha256": whole.hexdigest(), "parts": parts, "part_sha256": digests}
 
 
 def write_manifest(folder: str, entries: dict[str, dict]) -> Path:
@@ -53,10 +57,16 @@ def assemble(folder: str, name: str, target: str, force: bool = False) -> bool:
     missing = [p for p in entry["parts"] if not Path(folder, p).exists()]
     if missing or not entry["parts"]:
         raise FileNotFoundError(f"missing parts of {name}: {missing or 'all'}")
+    wanted = entry.get("part_sha256", [None] * len(entry["parts"]))
     with open(f"{target}.tmp", "wb") as out:
-        for p in entry["parts"]:
-            with Path(folder, p).open("rb") as f:
-                shutil.copyfileobj(f, out)
+        for p, digest in zip(entry["parts"], wanted, strict=True):
+            seen = hashlib.sha256()
+            for block in blocks(str(Path(folder, p)), COPY_BYTES):
+                seen.update(block)
+                out.write(block)
+            if digest not in (None, seen.hexdigest()):
+                os.unlink(f"{target}.tmp")
+                raise ValueError(f"part {p} of {name} has changed since it was split")
     if (got := os.path.getsize(f"{target}.tmp")) != entry["size"]:
         os.unlink(f"{target}.tmp")
         raise ValueError(f"{name} has {got} bytes, not {entry['size']}")

@@ -88,6 +88,11 @@ def test_parts(tmp_path):
     assert not parts.assemble(str(folder), "m", str(out / "m.ply")) and parts.assemble(str(folder), "m", str(out / "m.ply"), force=True)
     with pytest.raises(KeyError):
         parts.assemble(str(folder), "x", "y")
+    (folder / entry["parts"][1]).write_bytes(b"x" * 300)
+    with pytest.raises(ValueError, match="has changed"):
+        parts.assemble(str(folder), "m", str(out / "n.ply"))
+    again = parts.split(str(source), str(folder), 600)
+    assert len(again["parts"]) == 2 and sorted(p.name for p in folder.glob("*part*")) == again["parts"] and not list(folder.glob(".m*"))
     (folder / entry["parts"][0]).unlink()
     with pytest.raises(FileNotFoundError):
         parts.assemble(str(folder), "m", str(out / "n.ply"))
