@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshframe.operators import cliques, coarsen, exterior, pde, prolong, sampling, topology
+from meshframe.operators import cliques, coarsen, exterior, nearest, pde, prolong, sampling, sparse, topology
 from meshframe.plans import oracles as S
 from meshframe.sources import orders
 from meshframe.storage import settle
@@ -71,6 +71,42 @@ def order_poisson_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pde.system_matrix("poisson", pde.stiffness(v, t), pde.lumped_mass(v, t)).select("i", "j", (F.round("v", 3) + 0.0).alias("v"))
 
 
+def order_by_solid_angle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts in the order of the solid angle that their tetrahedra take up, the most exposed first; ties, to six digits, by
+    id."""
+    sums = exterior.solid_angle_sums(*orders.order_mesh(spark, sf_dir)).select("vid", *r6("omega"))
+    return exterior.by_solid_angle(sums).select("vid", F.col("rank").cast("bigint").alias("rank"))
+
+
+def features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v, t, edges = mesh(spark, sf_dir)
+    ext, ext_edges = outside(v, t, edges)
+    return exterior.sharpness(v, ext, ext_edges, edges).select("vid", *r6("feature"))
+
+
+def order_by_feature(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The surface's order in sampling: exterior parts, the sharpest first."""
+    return exterior.by_feature(features(spark, sf_dir)).select("vid", F.col("rank").cast("bigint").alias("rank"))
+
+
+def sharpest_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten sharpest exterior parts."""
+    return exterior.sharpest(features(spark, sf_dir), 10).select("vid", "feature")
+
+
+def neighbour_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each part's neighbours, ascending, as text."""
+    lists = topology.neighbour_lists(topology.adjacency(orders.order_tets(spark, sf_dir)))
+    return lists.select("vid", F.array_join(F.transform("nbrs", lambda x: x.cast("string")), " ").alias("nbrs"))
+
+
+def nearest_three(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three nearest of every 40th part to each part."""
+    v = orders.order_vertices(spark, sf_dir)
+    found = nearest.nearest_centres(v, v.where("vid % 40 = 0").withColumnRenamed("vid", "coarse_id"), 3)
+    return found.select("vid", F.col("rank").cast("int").alias("rank"), "coarse_id", *r6("dist"))
+
+
 def disk_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts no two of which are within RADIUS over one or two edges, exterior ones first; all rounds on the cluster."""
     v, t, edges = mesh(spark, sf_dir)
@@ -112,6 +148,13 @@ def interpolation_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interpolated(spark, sf_dir)[1].select("f", F.col("kind").cast("int").alias("kind"))
 
 
+def interpolation_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row: the interpolation's worst row sum and least entry, and how many rows and entries are off."""
+    p = settle(interpolated(spark, sf_dir)[0], "prolongation")
+    unity = sparse.partition_of_unity(p, 1e-4).select(*r6("worst"), "n_off")
+    return unity.crossJoin(sparse.negative_entries(p, 1e-4).select("n_negative")).crossJoin(p.agg(F.count_distinct("i").alias("n_rows"), F.count("*").alias("n_entries")))
+
+
 EXT = [*S.ORDER, S.POINTS, S.UND, S.corner_angles(), S.EXTERIOR, S.edge_angles(), S.EXT_EDGES]
 ROUNDS = f"""pair AS MATERIALIZED (SELECT src, dst FROM el WHERE len < {RADIUS} UNION SELECT e.src, f.dst FROM el e JOIN el f ON f.src = e.dst WHERE e.src <> f.dst AND e.len < {RADIUS} AND f.len < {RADIUS} AND e.len + f.len < {RADIUS}),
 turn AS (SELECT row_number() OVER (ORDER BY NOT outer_one, vid) AS i, vid, outer_one FROM (SELECT vid, vid IN (SELECT vid FROM ext) AS outer_one FROM pts)),
@@ -185,7 +228,7 @@ UNION ALL SELECT * FROM (SELECT f, 6, "to" AS j, CASE WHEN h IS NOT NULL THEN CA
 
 
 WEIGHTS = f"WITH RECURSIVE {', '.join([S.PARTS, S.TETS, S.UND, S.LENGTHS, *weights_sql()])}\n"
-QUERIES = {f.__name__: f for f in (order_exterior_vertices, order_exterior_edges, order_sharpness, order_surface_depth, order_stiffness, order_poisson_matrix, disk_sample, exterior_clusters, interpolation, interpolation_cases)}
+QUERIES = {f.__name__: f for f in (order_exterior_vertices, order_exterior_edges, order_sharpness, order_surface_depth, order_stiffness, order_poisson_matrix, order_by_solid_angle, order_by_feature, sharpest_vertices, neighbour_lists, nearest_three, disk_sample, exterior_clusters, interpolation, interpolation_cases, interpolation_checks)}
 ORACLES = {
     "order_exterior_vertices": S.sql([*S.ORDER, S.POINTS, S.corner_angles(), S.EXTERIOR], f"SELECT vid, {S.r6('omega')} AS omega FROM ext"),
     "order_exterior_edges": S.sql(EXT, "SELECT a, b FROM xe"),
@@ -193,6 +236,12 @@ ORACLES = {
     "order_surface_depth": S.sql([*S.ORDER, S.FACES], "SELECT vid, CASE WHEN vid IN (SELECT unnest([a, b, c]) FROM bfaces) THEN 0 ELSE 1 END AS depth FROM pts"),
     "order_stiffness": S.sql([*S.ORDER, S.POINTS, S.stiffness()], "SELECT i, j, round(v, 3) + 0.0 AS v FROM stiff"),
     "order_poisson_matrix": S.sql([*S.ORDER, S.POINTS, S.stiffness(), S.MASS], "SELECT i, j, round(sum(v), 3) + 0.0 AS v FROM (SELECT * FROM stiff UNION ALL SELECT i, i, 1e-3 * v FROM mass) GROUP BY 1, 2"),
+    "order_by_solid_angle": S.sql([*S.ORDER, S.POINTS, S.corner_angles()], "SELECT vid, row_number() OVER (ORDER BY round(omega, 6), vid) - 1 AS rank FROM omega"),
+    "order_by_feature": S.sql([*EXT, S.SURFACE], "SELECT vid, row_number() OVER (ORDER BY round(feature, 6) DESC, vid) - 1 AS rank FROM feature"),
+    "sharpest_vertices": S.sql([*EXT, S.SURFACE], f"SELECT vid, {S.r6('feature')} AS feature FROM feature ORDER BY round(feature, 6) DESC, vid LIMIT 10"),
+    "neighbour_lists": S.sql(S.GRAPH, "SELECT src AS vid, string_agg(dst::VARCHAR, ' ' ORDER BY dst) AS nbrs FROM adj GROUP BY 1"),
+    "nearest_three": S.sql([S.PARTS], f"SELECT vid, rank::INTEGER AS rank, coarse_id, {S.r6('dist')} AS dist FROM (SELECT *, row_number() OVER (PARTITION BY vid ORDER BY dist, coarse_id) AS rank FROM (SELECT p.vid, q.vid AS coarse_id, {S.norm(S.sub('p.', 'q.'))} AS dist FROM pts p, pts q WHERE q.vid % 40 = 0)) WHERE rank <= 3"),
+    "interpolation_checks": WEIGHTS + f", p AS (SELECT f, j, sum(v) AS v FROM weights GROUP BY 1, 2), sums AS (SELECT f, abs(sum(v) - 1) AS off FROM p GROUP BY 1) SELECT {S.r6('max(off)')} AS worst, count(*) FILTER (off > 1e-4) AS n_off, (SELECT count(*) FILTER (v < -1e-4) FROM p) AS n_negative, count(*) AS n_rows, (SELECT count(*) FROM p) AS n_entries FROM sums",
     "disk_sample": f"WITH RECURSIVE {', '.join([*S.ORDER, S.POINTS, S.UND, S.corner_angles(), S.EXTERIOR, S.LENGTHS, ROUNDS])}\nSELECT row_number() OVER (ORDER BY t.i) - 1 AS coarse_id, vid AS fine_vid, outer_one AS is_exterior FROM walk JOIN turn t USING (vid) WHERE taken",
     "exterior_clusters": f"WITH RECURSIVE {', '.join([*EXT, S.LENGTHS, MARKS, SURFACE])}\nSELECT vid, coalesce(c, 0) AS coarse_id, CASE WHEN dist < 'inf'::DOUBLE THEN {S.r6('dist')} END AS dist FROM pts LEFT JOIN best USING (vid)",
     "interpolation": WEIGHTS + f"SELECT f AS i, j, {S.r6('sum(v)')} AS v FROM weights GROUP BY 1, 2",
