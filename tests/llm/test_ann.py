@@ -45,17 +45,20 @@ def test_recall(spark, sf):
     assert all(abs(g[3] - near[g[0], g[2]]) < 1e-12 for g in hits)
 
 
+def learned(x):
+    links = ann.nearest(x, x, ann.LINKS, np.arange(len(x)))
+    model = ann.fitted(x)
+    return links, ann.partitioned(links, 5, np.random.default_rng(4)), model, ann.probabilities(model, x[:600])
+
+
 def test_learned_partitions_are_balanced_and_probed_in_part(spark):
     rng = np.random.default_rng(4)
     centres = rng.standard_normal((40, 16)) * 3
     x = ann.unit(centres[np.arange(6000) % 40] + 0.4 * rng.standard_normal((6000, 16)))
-    links = ann.nearest(x, x, ann.LINKS, np.arange(len(x)))
-    part = ann.partitioned(links, 5, rng)
+    links, part, model, p = spark.sparkContext.parallelize([0], 1).map(lambda _: learned(x)).first()  # one thread, as in production
     assert set(np.bincount(part)) <= {187, 188}
     assert (part[links] == part[:, None]).mean() > 0.7  # by chance 1 / 32
-    model = ann.fitted(x)
     assert model["parts"] == 32
-    p = ann.probabilities(model, x[:600])
     order = np.argsort(-p, axis=1)
     ranked = np.take_along_axis(p, order, 1)
     assert ((np.cumsum(ranked, axis=1) - ranked) <= model["reach"]).sum(axis=1).mean() < 8
