@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 import corpus_pipeline
 from meshframe.llm import jaccard
 from tests.conftest import SF
@@ -27,7 +29,9 @@ def classes(texts):
     return [find(i) for i in range(len(texts))]
 
 
-def test_stage_removes_copies_of_similarity_08(spark):
+@pytest.mark.parametrize("members", [jaccard.MEMBERS, 2])
+def test_stage_removes_copies_of_similarity_08(spark, monkeypatch, members):
+    monkeypatch.setattr(jaccard, "MEMBERS", members)
     rng = random.Random(3)
     texts = ["", "one two", "One  two", "one two three"]
     for _ in range(12):
@@ -44,6 +48,29 @@ def test_stage_removes_copies_of_similarity_08(spark):
     assert got == want and len(want) < len(texts)
 
 
+def test_parts_of_a_large_bucket_find_every_link(spark, monkeypatch):
+    """Near copies that all meet in one bucket, in chains whose ends differ: parts of two texts or of few bytes find the
+    components of all pairs, and no task gets more."""
+    rng = random.Random(8)
+    texts = []
+    for _ in range(4):
+        words = [str(rng.randrange(10**6)) for _ in range(120)]
+        for _ in range(9):
+            texts.append(" ".join(words))
+            words = list(words)
+            words[rng.randrange(120)] = str(rng.randrange(10**6))
+    rng.shuffle(texts)
+    want = classes(texts)
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "_row long, text string")
+    marked = jaccard.materialise(jaccard.signatures(docs).withColumn("_bands", jaccard.F.array(jaccard.F.lit(1).cast("long"))), "one-bucket")
+    for name, value in (("MEMBERS", 2), ("SET_BYTES", 1_500)):
+        with monkeypatch.context() as m:
+            m.setattr(jaccard, name, value)
+            got = {r._row: r._root for r in jaccard.link(marked).collect()}
+        firsts = {}
+        assert [firsts.setdefault(got[i], i) for i in range(len(texts))] == want and len(set(want)) < len(texts)
+
+
 def test_tables_against_all_pairs(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows = docs.orderBy("doc_id").collect()
