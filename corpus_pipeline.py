@@ -61,12 +61,13 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     with stage_scope(spark, docs, sf_dir):
-        numbered = docs.withColumn("_row", F.monotonically_increasing_id())
+        aside = {c: f"_own{c}" for c in docs.columns if c.lower() in ("_row", "_key", "_bands", "_size", "_root")}
+        numbered = docs.withColumnsRenamed(aside).withColumn("_row", F.monotonically_increasing_id())
         marked = common.materialise(jaccard.signatures(numbered), "near-duplicates")
         grouped = jaccard.link(marked)
         first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("one")
         winners = grouped.groupBy("_root").agg(first).select("one._row")
-        return marked.join(winners, "_row", "left_semi").select(*docs.columns)
+        return marked.join(winners, "_row", "left_semi").select(*[F.col(f"`{aside.get(c, c)}`").alias(c) for c in docs.columns])
 
 
 def repeat_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
