@@ -76,3 +76,23 @@ def test_mix_keeps_rows_and_order(spark, monkeypatch):
     with pytest.raises(ValueError):
         mixing.mix(docs, {"a": 1})
     assert mixing.mix(docs.limit(0)).count() == 0
+
+
+@settings(max_examples=150, deadline=None)
+@given(SHARES, st.integers(0, 300), st.integers(0, 40))
+def test_a_guess_keeps_the_number_of_blocks_and_a_true_start_goes_on(share, slot, warm):
+    served = mixing.advanced(share, 0, dict.fromkeys(share, 0), slot)
+    assert [x for x in islice(mixing.earliest(share, slot, served), 50)] == list(islice(mixing.earliest(share), slot + 50))[slot:]
+    assert sum(mixing.guess(share, slot, warm).values()) == slot
+
+
+@pytest.mark.parametrize("warm", [0, 30])
+def test_ranges_of_long_phases_make_the_schedule_of_looking_at_all_blocks(spark, monkeypatch, warm):
+    """Phases in ranges of 7 slots; without a warm-up guesses go wrong and are mended, each range from the one before."""
+    monkeypatch.setattr(mixing, "PIECE", 7)
+    monkeypatch.setattr(mixing, "WARM", warm)
+    blocks = {"a": 61, "b": 40, "c": 9, "d": 30, "e": 3, "": 14}
+    share = mixing.allotments({"a": 0.37, "b": 2**0.5 / 7, "c": 0.011, "d": 0.2, "e": 0.0, "": 0.09})
+    got = mixing.placed(spark, blocks, share).orderBy("slot").collect()
+    assert [tuple(r) for r in got] == list(mixing.places(blocks, share))
+    assert [tuple(r)[:4] for r in got] == slow(blocks, share)
