@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meshframe.functions import geometry as G
+from meshframe.operators.prolong import met
 from meshframe.storage import settle
 
 
@@ -28,6 +29,13 @@ def spmm(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.select("i", F.col("j").alias("k"), "v").join(right, "k").groupBy("i", "j").agg(F.sum(F.col("v") * F.col("w")).alias("v"))
 
 
+def spmm_in_blocks(a: DataFrame, b: DataFrame) -> DataFrame:
+    """``spmm`` for inner indices with many entries on both sides, such as hubs: the entries of an index are counted on
+    either side, and its products are spread over a grid of blocks instead of one partition."""
+    products = met(a.select(F.col("i").alias("f"), F.col("j").alias("c"), "v"), b.select(F.col("i").alias("c"), "j", F.col("v").alias("w")))
+    return products.groupBy(F.col("f").alias("i"), "j").agg(F.sum(F.col("v") * F.col("w")).alias("v"))
+
+
 def galerkin(a: DataFrame, p: DataFrame) -> DataFrame:
     """P^T (A P); the inner product first, since it is the smaller one."""
     return spmm(transpose(p), spmm(a, p))

@@ -193,6 +193,7 @@ ORACLES: dict[str, str] = {
     "spmv": sql(LINEAR, f"SELECT i, {r6('v')} AS v FROM rhs"),
     "spmv_transposed": sql([RAMP, BRANDS], f"SELECT p.j AS i, {r6('sum(p.v * x.v)')} AS v FROM p JOIN ramp x ON x.i = p.i GROUP BY 1"),
     "spmm": sql([TETS, UND, LAP, BRANDS], f"SELECT l.i, p.j, {r6('sum(l.v * p.v)')} AS v FROM lap l JOIN p ON p.i = l.j GROUP BY 1, 2"),
+    "laplacian_squared_rows": sql([TETS, UND, LAP], "SELECT i, count(*) AS n_entries, sum(v * v) AS sum_squares FROM (SELECT l.i, m.j, sum(l.v * m.v) AS v FROM lap l JOIN lap m ON m.i = l.j GROUP BY 1, 2) GROUP BY 1"),
     "galerkin_rap": sql([TETS, UND, LAP, BRANDS], f"SELECT q.j AS i, p.j, {r6('sum(l.v)')} AS v FROM lap l JOIN p ON p.i = l.j JOIN p q ON q.i = l.i GROUP BY 1, 2"),
     "dirichlet_matrix": sql([TETS, UND, LAP, RAMP], "SELECT i, j, v FROM lap WHERE i % 10 <> 0 AND j % 10 <> 0 UNION ALL SELECT i, i, 1.0 FROM ramp WHERE i % 10 = 0"),
     "dirichlet_right_side": sql([*LINEAR, "moved AS (SELECT l.i, sum(l.v * x.v) AS v FROM lap l JOIN ramp x ON x.i = l.j WHERE x.i % 10 = 0 GROUP BY 1)"], f"SELECT i, {r6('rhs.v - coalesce(moved.v, 0)')} AS v FROM rhs LEFT JOIN moved USING (i) WHERE i % 10 <> 0 UNION ALL SELECT i, v FROM ramp WHERE i % 10 = 0"),

@@ -148,6 +148,17 @@ def dense(df, n, m):
     return out
 
 
+def test_products_over_a_hub_in_blocks(spark, monkeypatch):
+    """An index that meets all others on both sides, in blocks of four entries."""
+    monkeypatch.setattr(prolong, "BLOCK", 4)
+    rng = np.random.default_rng(5)
+    m = np.diag(rng.standard_normal(30))
+    m[0], m[:, 0] = rng.standard_normal(30), rng.standard_normal(30)
+    a = spark.createDataFrame([(int(i), int(j), float(m[i, j])) for i, j in zip(*np.nonzero(m), strict=True)], "i bigint, j bigint, v double")
+    assert np.allclose(dense(sparse.spmm_in_blocks(a, a), 30, 30), m @ m)
+    assert sparse.spmm_in_blocks(a, a.limit(0)).count() == 0
+
+
 def test_sparse_against_numpy(spark):
     rng = np.random.default_rng(2)
     mats = [np.where(rng.random(s) < 0.4, rng.standard_normal(s), 0) for s in ((7, 7), (7, 3))]
