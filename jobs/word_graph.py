@@ -7,8 +7,8 @@ again replaces itself. Then ``matrix`` is assembled from the counts of all batch
 
     python -m jobs.word_graph --documents /data/sf0.1 --output /data/words --config jobs/word_graph.json
 
-``documents`` is the folder of the files (those named *.parquet with ``pattern`` in front count), ``output`` gets the
-folders counts, matrix, mark and checkpoint. Settings: ``buckets``, the partitions of the matrix; ``files_per_batch``;
+``documents`` is the folder of the files, or of folders of such files as Spark writes them (those named *.parquet with
+``pattern`` in front count), ``output`` gets the folders counts, matrix, mark and checkpoint. Settings: ``buckets``, the partitions of the matrix; ``files_per_batch``;
 ``pattern``. A null text has no words; a word beside itself makes no edge; documents count as often as they stand in
 the files.
 
@@ -62,8 +62,7 @@ def read(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
 
 def run(spark: SparkSession, documents: str, output: str, buckets: int = DEFAULTS["buckets"], files_per_batch: int = DEFAULTS["files_per_batch"], pattern: str = DEFAULTS["pattern"]) -> DataFrame:
     """Take the new files of ``documents``, wait until they are done, and return the whole matrix."""
-    glob = f"{pattern}*.parquet"
-    stream = spark.readStream.schema("text string").option("pathGlobFilter", glob).option("maxFilesPerTrigger", files_per_batch).parquet(documents)
+    stream = spark.readStream.schema("text string").option("pathGlobFilter", "*.parquet").option("maxFilesPerTrigger", files_per_batch).parquet(f"{documents}/{pattern}*.parquet")
 
     def take(batch: DataFrame, number: int) -> None:
         with settings(batch.sparkSession, spark__sql__sources__partitionOverwriteMode="dynamic"):

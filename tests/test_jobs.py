@@ -86,6 +86,17 @@ def test_word_graph_repairs_what_a_stopped_run_left(spark, tmp_path, monkeypatch
     assert matrix(word_graph.run(spark, str(source), output)) == graph(["a b c", "c d"])
 
 
+def test_word_graph_reads_folders_of_files(spark, tmp_path):
+    source, output = tmp_path / "in", str(tmp_path / "out")
+    source.mkdir()
+    write(spark, ["a b", None], source / "documents.parquet", "part-0.parquet")
+    write(spark, ["not read"], source / "other.parquet", "part-0.parquet")
+    assert matrix(word_graph.run(spark, str(source), output)) == graph(["a b"])
+    write(spark, ["b c"], source / "documents.parquet", "part-1.parquet")
+    write(spark, ["c d"], source, "documents-2.parquet")
+    assert matrix(word_graph.run(spark, str(source), output)) == graph(["a b", "b c", "c d"])
+
+
 def test_word_graph_of_no_documents(spark, tmp_path):
     (tmp_path / "in").mkdir()
     assert word_graph.run(spark, str(tmp_path / "in"), str(tmp_path / "out")).count() == 0
