@@ -1,7 +1,8 @@
 """Triangles and four-cliques of a graph, each once, corners ascending.
 
-Edges are oriented from the corner of lower degree to that of higher degree before they are joined, which
-bounds a corner's out-degree by the square root of twice the edges whatever the hubs."""
+Edges are oriented from the corner of lower degree to that of higher degree before they meet, which
+bounds a corner's out-degree by the square root of twice the edges whatever the hubs. What meets are lists of ends: a
+wedge is never a row, and only triangles are."""
 
 from __future__ import annotations
 
@@ -21,24 +22,36 @@ def oriented(edges: DataFrame) -> DataFrame:
 
 
 def held(edges: DataFrame) -> DataFrame:
-    """The oriented edges written once, in buckets of their lower end, since every join reads them."""
-    return bucketed(oriented(edges), "u", "oriented")[0]
+    """(u, vs): the ends of each corner's oriented edges, ascending by (degree, id), written once, in buckets of the
+    corner, since every join reads them."""
+    ends = F.transform(F.array_sort(F.collect_set(F.struct("nv", "v"))), lambda e: e["v"])
+    return bucketed(oriented(edges).groupBy("u").agg(ends.alias("vs")), "u", "oriented")[0]
 
 
-def raw_triangles(up: DataFrame) -> DataFrame:
-    """(u, v, w) along the orientation."""
-    wedge = up.select("u", "v", "nv").join(up.select("u", F.col("v").alias("w"), F.col("nv").alias("nw")), "u").where("nv < nw or nv = nw and v < w").select("u", "v", "w")
-    return wedge.join(up.select(F.col("u").alias("v"), F.col("v").alias("w")), ["v", "w"], "left_semi")
+def common(rows: DataFrame, up: DataFrame, key: str, ends: str) -> DataFrame:
+    """``rows`` whose list ``ends`` has ends of the corner ``key``, and only those. The lists of ``up`` are hashed, not sorted,
+    as they are the smaller side."""
+    own = up.select(F.col("u").alias(key), F.col("vs").alias("_own")).hint("shuffle_hash")
+    return rows.join(own, key).withColumn(ends, F.array_intersect(ends, "_own")).drop("_own").where(F.size(ends) > 0)
+
+
+def closed(up: DataFrame) -> DataFrame:
+    """(u, v, ws): each oriented edge that has triangles, with their third corners: the ends of u that come after v, met
+    with those of v."""
+    after = up.where(F.size("vs") > 1).select("u", "vs", F.posexplode("vs").alias("_at", "v"))
+    later = after.where(F.col("_at") + 1 < F.size("vs")).select("u", "v", F.slice("vs", F.col("_at") + 2, F.size("vs")).alias("ws"))
+    return common(later, up, "v", "ws")
 
 
 def triangles(edges: DataFrame) -> DataFrame:
     """(a, b, c), a < b < c, of the graph (src, dst), both directions given."""
-    return raw_triangles(held(edges)).select(F.array_sort(F.array("u", "v", "w")).alias("t")).select(*[F.col("t")[i].alias(n) for i, n in enumerate("abc")])
+    made = closed(held(edges)).select("u", "v", F.explode("ws").alias("w"))
+    return made.select(F.array_sort(F.array("u", "v", "w")).alias("t")).select(*[F.col("t")[i].alias(n) for i, n in enumerate("abc")])
 
 
 def four_cliques(edges: DataFrame) -> DataFrame:
-    """(a, b, c, d), ascending: triangles with a common out-neighbour of their corners."""
+    """(a, b, c, d), ascending: edges with two third corners that are joined themselves."""
     up = held(edges)
-    out = up.select("u", F.col("v").alias("x"))
-    grown = raw_triangles(up).join(out, "u").join(out.withColumnRenamed("u", "v"), ["v", "x"], "left_semi").join(out.withColumnRenamed("u", "w"), ["w", "x"], "left_semi")
-    return grown.select(F.array_sort(F.array("u", "v", "w", "x")).alias("t")).select(*[F.col("t")[i].alias(n) for i, n in enumerate("abcd")])
+    grown = closed(up).where(F.size("ws") > 1).select("u", "v", F.explode("ws").alias("w"), F.col("ws").alias("xs"))
+    made = common(grown, up, "w", "xs").select("u", "v", "w", F.explode("xs").alias("x"))
+    return made.select(F.array_sort(F.array("u", "v", "w", "x")).alias("t")).select(*[F.col("t")[i].alias(n) for i, n in enumerate("abcd")])

@@ -129,3 +129,27 @@ def test_heavy_centres_meet_in_blocks(spark, monkeypatch):
     lists = spark.createDataFrame([(c, k) for c, n in ((7, 23), (1, 2), (9, 4)) for k in range(n)], "c long, k long")
     got = sorted((r.f, r.c, r.k) for r in prolong.met(points, lists).collect())
     assert got == sorted((p.f, p.c, q.k) for p in points.collect() for q in lists.collect() if p.c == q.c)
+
+
+def test_wedges_are_lists_and_never_rows(spark, near):
+    """An oriented edge gives one row with its third corners, also where corners with many ends share them."""
+    from meshframe.operators import cliques
+
+    pairs = {(a, b) for a in range(12) for b in range(100, 112)} | {(0, 1), (1, 2), (0, 2), (100, 101)}
+    edges = spark.createDataFrame([e for a, b in pairs for e in ((a, b), (b, a))], "src long, dst long")
+    up = cliques.held(edges)
+    ends = {r.u: set(r.vs) for r in up.collect()}
+    assert sum(map(len, ends.values())) == len(pairs)
+    got = cliques.closed(up).collect()
+    assert len(got) == len({(r.u, r.v) for r in got}) and all(set(r.ws) <= ends[r.u] & ends[r.v] for r in got)
+    assert sum(len(r.ws) for r in got) == cliques.triangles(edges).count() == 1 + 3 * 12 + 12
+    assert cliques.four_cliques(edges).count() == 12 + 3
+
+
+def test_features_join_no_paths_of_two_edges(spark):
+    """Third corners at each edge come from the triangles alone."""
+    from meshframe.operators import exterior
+
+    tris = spark.createDataFrame([(1, 2, 3), (1, 2, 4), (2, 3, 4)], "a long, b long, c long")
+    got = {(r.a, r.b): r.ws for r in exterior.opposite(tris, "ws").collect()}
+    assert got == {(1, 2): [3, 4], (1, 3): [2], (2, 3): [1, 4], (1, 4): [2], (2, 4): [1, 3], (3, 4): [2]}
