@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +12,9 @@ from meshframe.functions import geometry as G
 from meshframe.operators.prolong import met
 from meshframe.storage import settle
 
+#: Blocks of either side of a product at least, the entries of a side that a cell holds, and products at one time.
+GRID, CELL, STEP = 4, 16_000_000, 4_000_000
+
 
 def reduce_entries(entries: DataFrame) -> DataFrame:
     """Duplicate entries summed; partial sums precede the shuffle."""
@@ -36,6 +42,58 @@ def spmm_in_blocks(a: DataFrame, b: DataFrame) -> DataFrame:
     return products.groupBy(F.col("f").alias("i"), "j").agg(F.sum(F.col("v") * F.col("w")).alias("v"))
 
 
+def product_row_sums(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(i, n_entries, sum_squares): the entries of each row of a b and the sum of their squares, without moving a product.
+
+    Rows of ``a`` and columns of ``b`` are dealt into a grid of blocks, and each cell multiplies its rows by its columns. A cell
+    has all terms of its entries, so that only a count and a sum of each row leave it. What moves are both matrices, once for
+    each block of the other side. A side has GRID blocks, or as many as leave about CELL entries in one."""
+    n = max(a.count(), b.count())
+    side = max(GRID, -(-n // CELL))
+    block = lambda c: F.pmod(F.xxhash64(c), F.lit(side)).cast("int")
+    each = F.explode(F.sequence(F.lit(0), F.lit(side - 1)))
+    listed = lambda m, key, other: m.groupBy(key).agg(F.collect_list(F.struct(other, "v")).alias("e")).select(F.col(key).alias("at"), F.col(f"e.{other}").alias("k"), F.col("e.v").alias("v"))
+    cell = (F.col("p") * side + F.col("q")).alias("cell")
+    left = listed(a, "i", "j").select("*", block("at").alias("p"), each.alias("q")).select(cell, "at", "k", "v")
+    right = listed(b, "j", "i").select("*", block("at").alias("q"), each.alias("p")).select(cell, "at", "k", "v")
+    made = left.groupBy("cell").cogroup(right.groupBy("cell")).applyInArrow(multiplied, "i long, n_entries long, sum_squares double")
+    return made.groupBy("i").agg(F.sum("n_entries").alias("n_entries"), F.sum("sum_squares").alias("sum_squares"))
+
+
+def multiplied(left: pa.Table, right: pa.Table) -> pa.Table:
+    """A cell's rows (at, k, v) times its columns (at, k, v), some STEP products at a time."""
+    rows, columns = left.combine_chunks(), right.combine_chunks()
+    lists = lambda t: (t["at"].to_numpy(), pc.list_value_length(t["k"]).to_numpy(), pc.list_flatten(t["k"]).to_numpy(), pc.list_flatten(t["v"]).to_numpy())
+    at, size, k, v = lists(rows)
+    top, width, inner, w = lists(columns)
+    order = np.argsort(inner, kind="stable")
+    inner, w, place = inner[order], w[order], np.repeat(np.arange(len(top)), width)[order]
+    first = np.searchsorted(inner, k, "left")
+    many = np.searchsorted(inner, k, "right") - first
+    ends = np.concatenate([[0], np.cumsum(size)])
+    load = np.concatenate([[0], np.cumsum(many)])[ends]  # products before each row
+    counts, squares = np.zeros(len(at), np.int64), np.zeros(len(at))
+    low = 0
+    while low < len(at):
+        high = max(low + 1, int(np.searchsorted(load, load[low] + STEP, "right")) - 1)
+        part = slice(ends[low], ends[high])
+        times = many[part]
+        total = int(times.sum())
+        if total:
+            hit = np.repeat(first[part] - np.concatenate([[0], np.cumsum(times)[:-1]]), times) + np.arange(total)
+            row = np.repeat(np.repeat(np.arange(high - low), size[low:high]), times)
+            key = row * len(top) + place[hit]
+            turn = np.argsort(key, kind="stable")
+            key, term = key[turn], (np.repeat(v[part], times) * w[hit])[turn]
+            starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            sums, own = np.add.reduceat(term, starts), key[starts] // len(top)
+            counts[low:high] = np.bincount(own, minlength=high - low)
+            squares[low:high] = np.bincount(own, sums * sums, minlength=high - low)
+        low = high
+    some = counts > 0
+    return pa.table({"i": at[some], "n_entries": counts[some], "sum_squares": squares[some]})
+
+
 def galerkin(a: DataFrame, p: DataFrame) -> DataFrame:
     """P^T (A P); the inner product first, since it is the smaller one."""
     return spmm(transpose(p), spmm(a, p))

@@ -275,7 +275,7 @@ def spmm(spark, sf_dir):
 def laplacian_squared_rows(spark, sf_dir):
     """Entries and sum of squares of each row of the squared Laplacian; parts of many neighbours make the product uneven."""
     lap = settle(laplacian(spark, sf_dir), "laplacian")
-    return sparse.spmm_in_blocks(lap, lap).groupBy("i").agg(F.count("*").alias("n_entries"), F.sum(F.col("v") * F.col("v")).alias("sum_squares"))
+    return sparse.product_row_sums(lap, lap)
 
 
 @query

@@ -214,3 +214,15 @@ def test_nearest_centre(spark):
     frame = lambda m, k: spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(m)], f"{k} bigint, x double, y double, z double")
     got = {r.vid: r.coarse_id for r in topology.nearest_centre(frame(a, "vid"), frame(b, "coarse_id")).collect()}
     assert got == dict(enumerate(((a[:, None] - b[None]) ** 2).sum(axis=2).argmin(axis=1).tolist()))
+
+
+def test_row_sums_of_a_product_need_no_products_moved(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    pairs = {(int(i), int(j)) for i, j in rng.integers(0, 40, (300, 2))} | {(7, j) for j in range(40)} | {(i, 7) for i in range(40)}
+    a = spark.createDataFrame([(i, j, float((i * 5 + j) % 4 - 1)) for i, j in pairs], "i long, j long, v double")
+    want = {r.i: (r.n, r.s) for r in sparse.spmm(a, a).groupBy("i").agg(F.count("*").alias("n"), F.sum(F.col("v") * F.col("v")).alias("s")).collect()}
+    for grid, cell, step in ((4, 10**6, 10**6), (1, 100, 7), (3, 10**6, 1)):
+        for name, value in (("GRID", grid), ("CELL", cell), ("STEP", step)):
+            monkeypatch.setattr(sparse, name, value)
+        assert {r.i: (r.n_entries, r.sum_squares) for r in sparse.product_row_sums(a, a).collect()} == want
+    assert sparse.product_row_sums(a, a.limit(0)).count() == 0
