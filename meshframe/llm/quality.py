@@ -1,8 +1,7 @@
 """Quality rules with a hashed n-gram log-likelihood ratio (operator 4).
 
 ``base_rules`` counts words, symbols, repeated lines and repeated 8-word windows. ``ratio_model`` estimates
-two multinomials over hashed byte n-grams, one of a trusted target (a bounded sample of documents labelled
-good), one of the whole raw corpus; a document's score is its mean log ratio per n-gram, and it is kept if
+two multinomials over hashed byte n-grams, one of a trusted target (all documents labelled good), one of the whole raw corpus; a document's score is its mean log ratio per n-gram, and it is kept if
 the score reaches a threshold that a fixed share of the trusted documents reach. Nothing is random: every
 document is scored whole, and the same tables always give the same verdicts.
 
@@ -20,13 +19,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import add_columns, materialise, read_table, slices, texts, utf8
+from .common import add_columns, read_table, slices, texts, utf8
 
 GRAM, BUCKETS = 4, 1 << 16
 WINDOW = 8
 MIN_WORDS, MAX_REPEAT_PERCENT = 20, 30
-#: Documents labelled good that form the trusted target, at most, and the share of them to keep.
-TRUSTED = 20_000
+#: The share of the trusted documents to keep.
 KEEP_SHARE = 0.999
 #: Pseudo-count of each bucket.
 SMOOTH = 0.5
@@ -159,18 +157,28 @@ def rules(df: DataFrame, ratio: np.ndarray, threshold: float, text_col: str = "t
     return add_columns(df, text_col, T.StructType([*BASE.fields, T.StructField("llr", T.DoubleType()), T.StructField("kept", T.BooleanType())]), make, drop_source=True)
 
 
-def trusted_sample(docs: DataFrame, labels: DataFrame, most: int = TRUSTED) -> DataFrame:
-    """The texts of at most ``most`` documents labelled good, the first by a hash of their id."""
-    ids = labels.where("quality = 1").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    return materialise(docs.join(F.broadcast(ids), "doc_id", "left_semi").select("text"), "trusted")
+def trusted_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The texts of all documents labelled good."""
+    ids = labels.where("quality = 1").select("doc_id").distinct()
+    return docs.join(F.broadcast(ids), "doc_id", "left_semi").select("text")  # the texts are not shuffled
+
+
+def low_quantile(scores: DataFrame, column: str, share: float) -> float | None:
+    """The exact quantile, interpolated, of a small ``share``; None without rows. A task keeps no more than that share."""
+    at = (scores.count() - 1) * share
+    if at < 0:
+        return None
+    low = int(at)
+    near = [r[0] for r in scores.select(column).orderBy(column).offset(low).limit(2).collect()]
+    return float(near[0] if len(near) == 1 else (low + 1 - at) * near[0] + (at - low) * near[1])
 
 
 def ratio_model(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
     """The log ratio of each bucket and the threshold of the mean."""
-    trusted = trusted_sample(docs, labels)
+    trusted = trusted_texts(docs, labels)
     ratio = log_ratio(table(gram_counts(trusted)), table(gram_counts(docs)))
-    low = score(trusted, ratio).agg(F.percentile("llr", F.lit(1 - KEEP_SHARE)).alias("x")).first().x
-    return ratio, float("-inf") if low is None else float(low)
+    low = low_quantile(score(trusted, ratio), "llr", 1 - KEEP_SHARE)
+    return ratio, float("-inf") if low is None else low
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

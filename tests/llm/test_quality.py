@@ -71,3 +71,15 @@ def test_odd_tables(spark):
     assert not ratio.any() and threshold == float("-inf")
     assert [(r.n_words, r.kept) for r in quality.rules(docs, ratio, threshold).orderBy("n_words").collect()] == [(0, False), (0, False), (50_000, False)]
     assert quality.rules(docs.limit(0), ratio, threshold).count() == 0
+
+
+def test_all_good_documents_are_trusted(spark):
+    """More than 20,000, and the threshold is the exact quantile of all of them."""
+    n = 20_500
+    docs = spark.range(n).selectExpr("id AS doc_id", "concat('text ', id) AS text")
+    labels = spark.range(n).selectExpr("id AS doc_id", "1 AS quality").unionByName(spark.range(5).selectExpr("id AS doc_id", "1 AS quality"))
+    assert quality.trusted_texts(docs, labels).count() == n
+    scores = spark.range(n).selectExpr("cast((id * 7919 % 20500) AS double) AS llr")
+    assert np.isclose(quality.low_quantile(scores, "llr", 0.001), np.quantile(np.arange(n), 0.001))
+    assert quality.low_quantile(scores.limit(1), "llr", 0.001) == 0.0
+    assert quality.low_quantile(scores.limit(0), "llr", 0.001) is None
