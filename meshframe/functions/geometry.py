@@ -112,30 +112,47 @@ def staged(value: Column, *steps: Callable[[Column], Column]) -> Column:
     return F.element_at(held, 1)
 
 
-def with_tet_coordinates(df: DataFrame, p: str, corners: list[str]) -> DataFrame:
-    """``df`` with ``w0``..``w3``, the barycentric coordinates of point column ``p`` in the tet of ``corners``
-    (the first by complement), and ``metric``: the smallest of them, or -1 when p is outside or the tet is flat."""
+def named(v: Point, name: str) -> list[Column]:
+    """The coordinates of a point as columns name_x, name_y and name_z."""
+    return [v[a].alias(f"{name}_{a}") for a in AXES]
+
+
+def held(name: str) -> Vec:
+    """The point that ``named`` made columns of."""
+    return Vec(*[F.col(f"{name}_{a}") for a in AXES])
+
+
+def tet_frames(df: DataFrame, corners: list[str], margin: float = 1e-9) -> DataFrame:
+    """``df`` without its flat tets, and with what the coordinates of points in the tet of point columns ``corners`` need, as
+    plain columns: they are worked out once a tet, so that a pair of a point and a tet takes but a few products."""
     a = F.col(corners[0])
-    sides = F.struct(*[sub(F.col(c), a).alias(n) for c, n in zip([*corners[1:], p], "bcdr", strict=True)])
-    normals = lambda s: F.struct(s["r"].alias("r"), s["b"].alias("b"), cross(s["c"], s["d"]).alias("nb"), cross(s["d"], s["b"]).alias("nc"), cross(s["b"], s["c"]).alias("nd"))
-    flat = lambda s: F.least(*[dot(s[n], s[n]) for n in ("nb", "nc", "nd")]) < 1e-20
-    heights = lambda s: F.struct(dot(s["b"], s["nb"]).alias("whole"), flat(s).alias("flat"), *[dot(s["r"], s[n]).alias(n) for n in ("nb", "nc", "nd")])
-    three = lambda s: F.struct((s["flat"] | (s["whole"] == 0)).alias("flat"), *[F.try_divide(s[n], s["whole"]).alias(f"w{i}") for i, n in ((1, "nb"), (2, "nc"), (3, "nd"))])
-    four = lambda s: F.struct(s["flat"].alias("flat"), (1 - s["w1"] - s["w2"] - s["w3"]).alias("w0"), *[s[f"w{i}"].alias(f"w{i}") for i in (1, 2, 3)])
-    least = lambda s: F.struct(s["flat"].alias("flat"), F.least(*[s[f"w{i}"] for i in range(4)]).alias("least"), *[s[f"w{i}"].alias(f"w{i}") for i in range(4)])
-    last = lambda s: F.struct(*[s[f"w{i}"].alias(f"w{i}") for i in range(4)], F.when(s["flat"] | (s["least"] < 0), F.lit(-1.0)).otherwise(s["least"]).alias("metric"))
-    return df.withColumn("_tet", staged(sides, normals, heights, three, four, least, last)).select("*", "_tet.*").drop("_tet")
-
-
-def in_box(p: Column, *corners: Column, margin: float = 1e-9) -> Column:
-    """Whether p lies in the bounding box of the corners, give or take the margin; no point of their hull lies outside."""
+    sides = F.struct(*[sub(F.col(c), a).alias(n) for c, n in zip(corners[1:], "bcd", strict=True)])
+    normals = lambda s: F.struct(s["b"].alias("b"), cross(s["c"], s["d"]).alias("nb"), cross(s["d"], s["b"]).alias("nc"), cross(s["b"], s["c"]).alias("nd"))
+    whole = lambda s: F.struct(dot(s["b"], s["nb"]).alias("whole"), F.least(*[dot(s[n], s[n]) for n in ("nb", "nc", "nd")]).alias("least"), *[s[n].alias(n) for n in ("nb", "nc", "nd")])
+    made = df.withColumn("_tet", staged(sides, normals, whole)).where("not (_tet.least < 1e-20 or _tet.whole = 0)")
+    at = {x: [F.col(c)[x] for c in corners] for x in AXES}
+    box = [c for x in AXES for c in ((F.least(*at[x]) - margin).alias(f"_low_{x}"), (F.greatest(*at[x]) + margin).alias(f"_high_{x}"))]
+    return made.select("*", *named(a, "_o"), *[c for n in ("nb", "nc", "nd") for c in named(F.col("_tet")[n], f"_{n}")], F.col("_tet.whole").alias("_whole"), *box).drop("_tet")
+
+
+def in_frame_box(p: Point) -> Column:
+    """Whether p lies in the box of its row's tet frame; no point of the tet lies outside."""
     inside = F.lit(True)
     for a in AXES:
-        held = [c[a] for c in corners]
-        inside = inside & (p[a] >= F.least(*held) - margin) & (p[a] <= F.greatest(*held) + margin)
+        inside = inside & (p[a] >= F.col(f"_low_{a}")) & (p[a] <= F.col(f"_high_{a}"))
     return inside
 
 
+def tet_coordinates(p: Point) -> tuple[list[Column], Column]:
+    """The barycentric coordinates of p in the tet of its row's frame (the first by complement), and the metric: the
+    smallest of them, or -1 when p is outside."""
+    r = sub(p, held("_o"))
+    three = [F.try_divide(dot(r, held(n)), F.col("_whole")) for n in ("_nb", "_nc", "_nd")]
+    w = [1 - three[0] - three[1] - three[2], *three]
+    least = F.least(*w)
+    return w, F.when(least < 0, F.lit(-1.0)).otherwise(least)
+
+
 def edge_weight(p: Column, a: Column, b: Column) -> Column:
     """The weight of b when p is projected on edge a-b and clamped to it; 0 on an edge without length."""
     e = sub(b, a)
@@ -147,17 +164,28 @@ def edge_distance(p: Column, a: Column, b: Column) -> Column:
     return norm(sub(sub(p, a), scale(sub(b, a), edge_weight(p, a, b))))
 
 
-def with_triangle_projection(df: DataFrame, p: str, corners: list[str]) -> DataFrame:
-    """``df`` with ``flat``, whether the triangle of ``corners`` is degenerate, ``height``, the distance of point column
-    ``p`` to its plane or null when the projection is outside, and ``w0``..``w2``, the coordinates of the projection."""
+def triangle_frames(df: DataFrame, corners: list[str]) -> DataFrame:
+    """``df`` without its degenerate triangles, and with what projections on the triangle of point columns ``corners`` need,
+    as plain columns (see ``tet_frames``)."""
     a = F.col(corners[0])
-    sides = F.struct(*[sub(F.col(c), a).alias(n) for c, n in zip([*corners[1:], p], "str", strict=True)])
-    products = lambda x: F.struct(*[dot(x[i], x[j]).alias(i + j) for i, j in ("ss", "st", "tt", "rs", "rt")], x["r"].alias("r"), cross(x["s"], x["t"]).alias("n"))
-    whole = lambda x: F.struct((x["ss"] * x["tt"] - x["st"] * x["st"]).alias("whole"), (x["tt"] * x["rs"] - x["st"] * x["rt"]).alias("v"), (x["ss"] * x["rt"] - x["st"] * x["rs"]).alias("w"), dot(x["n"], x["r"]).alias("nr"), norm(x["n"]).alias("size"))
-    shares = lambda x: F.struct((F.abs(x["whole"]) < 1e-12).alias("flat"), F.try_divide(x["v"], x["whole"]).alias("w1"), F.try_divide(x["w"], x["whole"]).alias("w2"), F.try_divide(F.abs(x["nr"]), x["size"]).alias("height"))
-    three = lambda x: F.struct(x["flat"].alias("flat"), x["height"].alias("height"), (1 - x["w1"] - x["w2"]).alias("w0"), x["w1"].alias("w1"), x["w2"].alias("w2"))
-    last = lambda x: F.struct(x["flat"].alias("flat"), F.when(~x["flat"] & (F.least(x["w0"], x["w1"], x["w2"]) >= -1e-5), x["height"]).alias("height"), *[x[f"w{i}"].alias(f"w{i}") for i in range(3)])
-    return df.withColumn("_triangle", staged(sides, products, whole, shares, three, last)).select("*", "_triangle.*").drop("_triangle")
+    sides = F.struct(*[sub(F.col(c), a).alias(n) for c, n in zip(corners[1:], "st", strict=True)])
+    products = lambda x: F.struct(*[dot(x[i], x[j]).alias(i + j) for i, j in ("ss", "st", "tt")], x["s"].alias("s"), x["t"].alias("t"), cross(x["s"], x["t"]).alias("n"))
+    whole = lambda x: F.struct((x["ss"] * x["tt"] - x["st"] * x["st"]).alias("whole"), norm(x["n"]).alias("size"), *[x[n].alias(n) for n in ("ss", "st", "tt", "s", "t", "n")])
+    made = df.withColumn("_triangle", staged(sides, products, whole)).where("not abs(_triangle.whole) < 1e-12")
+    scalars = [F.col(f"_triangle.{n}").alias(f"_{n}") for n in ("ss", "st", "tt", "whole", "size")]
+    return made.select("*", *named(a, "_o"), *[c for n in "stn" for c in named(F.col("_triangle")[n], f"_{n}")], *scalars).drop("_triangle")
+
+
+def triangle_projection(p: Point) -> tuple[Column, list[Column]]:
+    """The distance of p to the plane of its row's triangle frame, or null when the projection is outside, and the
+    coordinates of the projection."""
+    r = sub(p, held("_o"))
+    rs, rt = dot(r, held("_s")), dot(r, held("_t"))
+    w1 = F.try_divide(F.col("_tt") * rs - F.col("_st") * rt, F.col("_whole"))
+    w2 = F.try_divide(F.col("_ss") * rt - F.col("_st") * rs, F.col("_whole"))
+    w = [1 - w1 - w2, w1, w2]
+    height = F.try_divide(F.abs(dot(held("_n"), r)), F.col("_size"))
+    return F.when(F.least(*w) >= -1e-5, height), w
 
 
 def safe_inverse(c: Column, epsilon: float) -> Column:

@@ -48,9 +48,11 @@ def met(points: DataFrame, lists: DataFrame) -> DataFrame:
 
 def tet_candidates(points: DataFrame, tets: DataFrame, coarse: DataFrame) -> DataFrame:
     """For fine points (f, c, p) the cliques at their centre that contain them: metric, corners, weights."""
-    spread = placed(met(points, rotated(tets, list("abcd"))), coarse, ["c", "r1", "r2", "r3"])
-    spread = spread.where(G.in_box(F.col("p"), *[F.col(f"q_{k}") for k in ("c", "r1", "r2", "r3")], margin=1e-4))
-    return G.with_tet_coordinates(spread, "p", ["q_c", "q_r1", "q_r2", "q_r3"]).where(F.col("metric") > -1e-5)
+    corners = ["c", "r1", "r2", "r3"]
+    frames = G.tet_frames(placed(rotated(tets, list("abcd")), coarse, corners), [f"q_{k}" for k in corners], 1e-4)
+    near = met(points, settle(frames.drop(*[f"q_{k}" for k in corners]), "frames4")).where(G.in_frame_box(F.col("p")))
+    w, metric = G.tet_coordinates(F.col("p"))
+    return near.select("f", "c", "r1", "r2", "r3", *[f"o_{k}" for k in "abcd"], *[x.alias(f"w{i}") for i, x in enumerate(w)], metric.alias("metric")).where(F.col("metric") > -1e-5)
 
 
 def interpolation(vertices: DataFrame, samples: DataFrame, clusters: DataFrame, coarse_edges: DataFrame, triangles: DataFrame, tets: DataFrame, corrected: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -80,12 +82,14 @@ def interpolation(vertices: DataFrame, samples: DataFrame, clusters: DataFrame,
     found3 = settle(best(tet_candidates(rest, tets, coarse), ["metric", "o_a", "o_b", "o_c", "o_d"], ["c", "r1", "r2", "r3", "w0", "w1", "w2", "w3"]), "case3")
     out.append(weight(found3, 3, *zip([F.col(k) for k in ("c", "r1", "r2", "r3")], [F.col(f"w{i}") for i in range(4)], strict=True)).where(F.col("v") > TINY))
     rest = settle(rest.join(found3.select("f"), "f", "left_anti"), "rest4")
-    spread = placed(met(rest, rotated(triangles, list("abc"))), coarse, ["c", "r1", "r2"])
-    tried = settle(G.with_triangle_projection(spread, "p", ["q_c", "q_r1", "q_r2"]), "triangles")
+    frames = settle(G.triangle_frames(placed(rotated(triangles, list("abc")), coarse, ["c", "r1", "r2"]), ["q_c", "q_r1", "q_r2"]), "frames3")
+    height, shares = G.triangle_projection(F.col("p"))
+    kept = ["f", "c", "p", "r1", "r2", "o_a", "o_b", "o_c", "q_c", "q_r1", "q_r2"]
+    tried = settle(met(rest, frames).select(*kept, height.alias("height"), *[x.alias(f"w{i}") for i, x in enumerate(shares)]), "triangles")
     found4 = settle(best(tried.where("height is not null"), ["height", "o_a", "o_b", "o_c"], ["c", "r1", "r2", "w0", "w1", "w2"]), "case4")
     out.append(weight(found4, 4, *zip([F.col(k) for k in ("c", "r1", "r2")], [F.col(f"w{i}") for i in range(3)], strict=True)).where(F.col("v") > TINY))
     rest = rest.join(found4.select("f"), "f", "left_anti")
-    outside = tried.where("height is null and not flat").join(found4.select("f"), "f", "left_anti")
+    outside = tried.where("height is null").join(found4.select("f"), "f", "left_anti")
     p, q = F.col("p"), {k: F.col(f"q_{k}") for k in ("c", "r1", "r2")}
     sides = F.array(*[F.struct(F.col(k).alias("to"), G.edge_distance(p, q[a], q[b]).alias("away")) for k, a, b in (("r2", "c", "r1"), ("c", "r1", "r2"), ("r1", "r2", "c"))])
     recorded = outside.select("f", "c", "p", F.struct("o_a", "o_b", "o_c").alias("turn"), F.inline(sides))

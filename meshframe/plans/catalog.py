@@ -400,12 +400,12 @@ def two_hop_reach(spark, sf_dir):
 
 
 def grouped_points(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Parts (vid, g, p) and tets with corner positions, by group. Tets have a salt and parts go to every salt, so that a
-    group's tets meet its parts in SALTS tasks: the number of pairs, not the size of the rows, is the work."""
+    """Parts (vid, g, q_x, q_y, q_z) and tets with corner positions, by group. Tets have a salt and parts go to every salt, so
+    that a group's tets meet its parts in SALTS tasks: the number of pairs, not the size of the rows, is the work."""
     v, t = orders.order_mesh(spark, sf_dir)
     corners = topology.tet_points(t, v).withColumns({"g": F.floor(F.col("v0") / 40), "salt": F.pmod("tid", F.lit(SALTS)).cast("int")})
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
-    points = labels(spark, sf_dir).join(v, "vid").select("vid", F.col("coarse_id").alias("g"), G.point(F.col("x"), F.col("y"), F.col("z")).alias("p"), salts)
+    points = labels(spark, sf_dir).join(v, "vid").select("vid", F.col("coarse_id").alias("g"), *G.named(G.point(F.col("x"), F.col("y"), F.col("z")), "q"), salts)
     return points, corners
 
 
@@ -413,8 +413,9 @@ def grouped_points(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
 def best_tet_per_point(spark, sf_dir):
     """For each part the tet of the orders of its group that contains it with the least margin."""
     points, corners = grouped_points(spark, sf_dir)
-    near = points.join(corners, (points["g"] == corners["g"]) & (points["salt"] == corners["salt"]) & G.in_box(F.col("p"), *[F.col(f"p{i}") for i in range(4)]))
-    hits = G.with_tet_coordinates(near, "p", [f"p{i}" for i in range(4)]).select("vid", "tid", r6("metric").alias("metric")).where("metric > -0.5")
+    corners = G.tet_frames(corners, [f"p{i}" for i in range(4)]).drop(*[f"{n}{i}" for n in "pv" for i in range(4)])
+    near = points.join(corners, (points["g"] == corners["g"]) & (points["salt"] == corners["salt"]) & G.in_frame_box(G.held("q")))
+    hits = near.select("vid", "tid", r6(G.tet_coordinates(G.held("q"))[1]).alias("metric")).where("metric > -0.5")
     return hits.groupBy("vid").agg(F.min(F.struct("metric", "tid")).alias("top")).select("vid", "top.tid", "top.metric")
 
 
@@ -422,7 +423,8 @@ def best_tet_per_point(spark, sf_dir):
 def best_triangle_per_point(spark, sf_dir):
     """For each part the triangle v0 v1 v2 of its group's tets whose plane is nearest, if it projects inside."""
     points, corners = grouped_points(spark, sf_dir)
-    hits = G.with_triangle_projection(points.join(corners, ["g", "salt"]), "p", ["p0", "p1", "p2"]).select("vid", "tid", r6("height").alias("height")).where("height is not null")
+    corners = G.triangle_frames(corners, ["p0", "p1", "p2"]).drop(*[f"{n}{i}" for n in "pv" for i in range(4)])
+    hits = points.join(corners, ["g", "salt"]).select("vid", "tid", r6(G.triangle_projection(G.held("q"))[0]).alias("height")).where("height is not null")
     return hits.groupBy("vid").agg(F.min(F.struct("height", "tid")).alias("top")).select("vid", "top.tid", "top.height")
 
 
