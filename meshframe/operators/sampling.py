@@ -19,13 +19,14 @@ from meshframe.storage import forget, settle, settled
 LOCAL, CONFLICTS = 20_000, 64
 
 
-def reach(edges: DataFrame, radius: float) -> DataFrame:
+def reach(edges: DataFrame, radius: float, starts: DataFrame | None = None) -> DataFrame:
     """(src, dst, dist): the shortest path of one or two edges between two vertices, where it is under the
-    radius; edges are (src, dst, len) both ways."""
+    radius, from those of ``starts`` (src) alone where given; edges are (src, dst, len) both ways."""
     short = edges.where(F.col("len") < radius)
-    two = short.select("src", F.col("dst").alias("mid"), F.col("len").alias("d1")).join(short.select(F.col("src").alias("mid"), "dst", F.col("len").alias("d2")), "mid")
+    first = short if starts is None else short.join(starts.select("src"), "src", "left_semi")
+    two = first.select("src", F.col("dst").alias("mid"), F.col("len").alias("d1")).join(short.select(F.col("src").alias("mid"), "dst", F.col("len").alias("d2")), "mid")
     paths = two.select("src", "dst", (F.col("d1") + F.col("d2")).alias("dist")).where((F.col("src") != F.col("dst")) & (F.col("dist") < radius))
-    return short.select("src", "dst", F.col("len").alias("dist")).unionByName(paths).groupBy("src", "dst").agg(F.min("dist").alias("dist"))
+    return first.select("src", "dst", F.col("len").alias("dist")).unionByName(paths).groupBy("src", "dst").agg(F.min("dist").alias("dist"))
 
 
 def pick_local(priority: DataFrame, near: DataFrame) -> DataFrame:

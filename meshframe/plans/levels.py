@@ -122,7 +122,8 @@ def exterior_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     ext, ext_edges = outside(v, t, edges)
     samples = settle(seeds(v, ext), "samples")
     both = settle(topology.both_ways(ext_edges).join(edges, ["src", "dst"]).select("src", "dst", "len"), "exterior-both")
-    near = sampling.reach(edges, NEAR).join(samples.select(F.col("fine_vid").alias("src"), "coarse_id"), "src").select(F.col("dst").alias("vid"), "coarse_id", "dist")
+    own = samples.select(F.col("fine_vid").alias("src"), "coarse_id")
+    near = sampling.reach(edges, NEAR, own).join(own, "src").select(F.col("dst").alias("vid"), "coarse_id", "dist")
     marks = settle(coarsen.nearest(near), "marks")
     made = coarsen.exterior_first(v, samples, marks, ext, both, edges)[0]
     return made.select("vid", "coarse_id", F.when(F.col("dist") < float("inf"), F.round("dist", 6) + 0.0).alias("dist"))

@@ -1,6 +1,8 @@
 """What grows faster than the tables, or stands still where it should grow: plans and files of single steps."""
 
-from meshframe.plans import catalog
+from meshframe.operators import exterior, sampling, topology
+from meshframe.plans import catalog, levels
+from meshframe.sources import orders
 from tests.conftest import SF
 
 
@@ -13,3 +15,22 @@ def test_pairs_of_points_and_cliques_take_plain_products(spark):
         plan = plan_of(catalog.QUERIES[name](spark, SF))
         pairs = [x for x in plan.split("== Physical Plan ==")[1].splitlines() if "Join" in x and "salt" in x]
         assert pairs and not any("transform(" in x for x in pairs)
+
+
+def test_sums_of_angles_meet_the_edges_not_points(spark):
+    v, t = orders.order_mesh(spark, SF)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        lines = plan_of(exterior.dihedral_sums(v, t, topology.undirected_edges(t).where("a % 3 = 0"))).split("== Physical Plan ==")[1].splitlines()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    meet = next(k for k, x in enumerate(lines) if "LeftSemi" in x)
+    total = next(k for k, x in enumerate(lines) if "sum(theta" in x)
+    assert meet < total  # the plan reads from the top: the join is the later step
+
+
+def test_reach_from_some_starts(spark):
+    edges = spark.createDataFrame([(a, b, 0.1) for a, b in ((1, 2), (2, 1), (2, 3), (3, 2), (3, 4), (4, 3))], "src long, dst long, len double")
+    some = sampling.reach(edges, 0.25, spark.createDataFrame([(1,), (4,)], "src long"))
+    assert sorted(some.collect()) == sorted(sampling.reach(edges, 0.25).where("src in (1, 4)").collect()) and some.count() == 4
