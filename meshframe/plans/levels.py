@@ -110,7 +110,7 @@ def nearest_three(spark: SparkSession, sf_dir: str) -> DataFrame:
 def disk_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts no two of which are within RADIUS over one or two edges, exterior ones first; all rounds on the cluster."""
     v, t, edges = mesh(spark, sf_dir)
-    ext = outside(v, t, edges)[0].select("vid", F.col("vid").alias("rank"))
+    ext = settle(exterior.exterior_vertices(v, t), "exterior").select("vid", F.col("vid").alias("rank"))
     order = v.select("vid").join(ext, "vid", "left").select("vid", F.coalesce("rank", F.lit(1 << 62)).alias("rank"), F.col("rank").isNotNull().alias("is_exterior"))
     return sampling.disk_sample(order, edges, RADIUS, local=0)[0].select("coarse_id", "fine_vid", "is_exterior")
 

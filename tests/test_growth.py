@@ -34,3 +34,11 @@ def test_reach_from_some_starts(spark):
     edges = spark.createDataFrame([(a, b, 0.1) for a, b in ((1, 2), (2, 1), (2, 3), (3, 2), (3, 4), (4, 3))], "src long, dst long, len double")
     some = sampling.reach(edges, 0.25, spark.createDataFrame([(1,), (4,)], "src long"))
     assert sorted(some.collect()) == sorted(sampling.reach(edges, 0.25).where("src in (1, 4)").collect()) and some.count() == 4
+
+
+def test_sample_takes_no_exterior_edges(spark, monkeypatch):
+    def never(*_):
+        raise AssertionError("exterior edges are not needed")
+
+    monkeypatch.setattr(exterior, "exterior_edges", never)
+    assert levels.disk_sample(spark, SF).count()
