@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from meshframe.functions import geometry as G
 from meshframe.operators import nearest
+from meshframe.storage import small_partitions
 
 # The faces of a tetrahedron with outward winding, and its edges, by corner.
 FACES = ((1, 2, 3), (0, 3, 2), (0, 1, 3), (0, 2, 1))
@@ -70,6 +71,7 @@ def boundary_vertices(tets: DataFrame) -> DataFrame:
 def undirected_edges(tets: DataFrame) -> DataFrame:
     """(a, b), a < b, each edge of the complex once."""
     rows = F.array(*[F.struct(F.least(f"v{i}", f"v{j}").alias("a"), F.greatest(f"v{i}", f"v{j}").alias("b")) for i, j in TET_EDGES])
+    small_partitions(tets.sparkSession)
     return tets.select(F.inline(rows)).where("a <> b").distinct()
 
 
@@ -116,6 +118,7 @@ def bounding_box(vertices: DataFrame) -> DataFrame:
 
 def complex_surface(boundary: DataFrame, triangles: DataFrame) -> DataFrame:
     """(f0, f1, f2): boundary faces and clique triangles, once per corner set; a boundary face's winding wins."""
+    small_partitions(boundary.sparkSession)
     both = boundary.select(F.lit(0).alias("source"), "f0", "f1", "f2").unionByName(triangles.select(F.lit(1).alias("source"), F.col("a").alias("f0"), F.col("b").alias("f1"), F.col("c").alias("f2")))
     marked = both.select("*", *canonical("f0", "f1", "f2"))
     return marked.groupBy("a", "b", "c").agg(F.min(F.struct("source", "f0", "f1", "f2")).alias("own")).select("own.f0", "own.f1", "own.f2")

@@ -42,3 +42,19 @@ def test_sample_takes_no_exterior_edges(spark, monkeypatch):
 
     monkeypatch.setattr(exterior, "exterior_edges", never)
     assert levels.disk_sample(spark, SF).count()
+
+
+def test_graph_steps_lower_the_size_of_merged_partitions(spark):
+    name, v, t = "spark.sql.adaptive.advisoryPartitionSizeInBytes", *orders.order_mesh(spark, SF)
+    before = spark.conf.get(name)
+    steps = (lambda: topology.undirected_edges(t), lambda: exterior.dihedral_sums(v, t), lambda: catalog.complex_surface(spark, SF))
+    try:
+        for step in steps:
+            spark.conf.unset(name)
+            step()
+            assert spark.conf.get(name) == "16MB"
+        spark.conf.set(name, "40MB")
+        steps[0]()
+        assert spark.conf.get(name) == "40MB"  # a chosen size stays
+    finally:
+        spark.conf.set(name, before)
