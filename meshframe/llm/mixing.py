@@ -141,8 +141,9 @@ def places(blocks: dict[str, int], share: dict[str, int], most: float = math.inf
         phase += 1
 
 
-def ranked(docs: DataFrame, source_col: str = "source") -> tuple[DataFrame, dict[str, int]]:
-    """``docs`` with ``_rank`` from 0 within each source, in the order of a hash, and the sources' counts."""
+def hashed(docs: DataFrame, source_col: str = "source") -> tuple[DataFrame, DataFrame, dict[str, int]]:
+    """``docs`` with ``_source``, a hash bucket ``_bucket`` and the row ``_row`` from 1 in the hash order of source and bucket;
+    (_source, _bucket, n, _offset), the rows of each bucket and those of its source before it; and the sources' counts."""
     keys = [c for c in docs.columns if c != "text" and docs.schema[c].dataType.typeName() in ("long", "integer", "string")]
     source = F.coalesce(F.col(f"`{source_col}`"), F.lit(""))
     marked = docs.withColumns({"_source": source, "_hash": F.xxhash64(*[F.col(f"`{k}`") for k in keys])})
@@ -150,27 +151,34 @@ def ranked(docs: DataFrame, source_col: str = "source") -> tuple[DataFrame, dict
     marked = marked.withColumn("_bucket", F.pmod(F.shiftrightunsigned("_hash", 8), F.lit(buckets)))
     sizes = marked.groupBy("_source", "_bucket").agg(F.count("*").alias("n"))
     before = Window.partitionBy("_source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.withColumn("_offset", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    offsets = sizes.withColumn("_offset", F.coalesce(F.sum("n").over(before), F.lit(0)))
     counts = {r["_source"]: r["n"] for r in sizes.groupBy("_source").agg(F.sum("n").alias("n")).collect()}
     ties = [F.xxhash64("text")] if "text" in docs.columns else []
     within = F.row_number().over(Window.partitionBy("_source", "_bucket").orderBy("_hash", *[F.col(f"`{k}`") for k in keys], *ties))
-    numbered = marked.withColumn("_row", within).join(offsets, ["_source", "_bucket"])
-    return numbered.withColumn("_rank", F.col("_offset") + F.col("_row") - 1).drop("_bucket", "_hash", "_row", "_offset"), counts
+    return marked.withColumn("_row", within).drop("_hash"), offsets, counts
 
 
 def schedule(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK, source_col: str = "source") -> DataFrame:
     """``docs`` with ``block`` (its number within the source), ``slot`` (place of the block in the mix),
-    ``phase`` and ``lag`` (exact target less served blocks of the phase after the slot, under one either way)."""
+    ``phase`` and ``lag`` (exact target less served blocks of the phase after the slot, under one either way).
+
+    The rows of a bucket have ranks without a gap, so the places of its blocks are gathered first and join by bucket, as
+    the rows lie: documents move once, into their buckets."""
     docs = without(docs, ADDED)
-    numbered, counts = ranked(docs, source_col)
+    marked, offsets, counts = hashed(docs, source_col)
     if weights is None:
         weights = {s: n**TEMPERATURE for s, n in counts.items()}
     elif missing := set(counts) - set(weights):
         raise ValueError(f"no weight for sources {sorted(missing)}")
     blocks = {s: -(-n // block) for s, n in counts.items()}
     place = placed(docs.sparkSession, blocks, allotments({s: weights[s] for s in blocks}))
-    found = numbered.withColumn("block", F.floor(F.col("_rank") / block).cast("long")).join(place, ["_source", "block"])
-    return found.select(*docs.columns, "block", "slot", "phase", "lag", "_rank")
+    number = lambda rank: F.floor(rank / block).cast("long")
+    met = offsets.withColumn("block", F.explode(F.sequence(number(F.col("_offset")), number(F.col("_offset") + F.col("n") - 1))))
+    slots = F.array_sort(F.collect_list(F.struct("block", "slot", "phase", "lag"))).alias("_slots")
+    held = met.join(place, ["_source", "block"]).groupBy("_source", "_bucket").agg(F.min("_offset").alias("_offset"), slots)
+    found = marked.join(held, ["_source", "_bucket"]).withColumn("_rank", F.col("_offset") + F.col("_row") - 1)
+    at = F.element_at("_slots", (number(F.col("_rank")) - F.col("_slots")[0]["block"] + 1).cast("int"))
+    return found.withColumn("_at", at).select(*[F.col(f"`{c}`") for c in docs.columns], "_at.block", "_at.slot", "_at.phase", "_at.lag", "_rank")
 
 
 def placed(spark: SparkSession, blocks: dict[str, int], share: dict[str, int]) -> DataFrame:

@@ -1,5 +1,6 @@
 import hashlib
 import os
+import re
 from collections import Counter
 
 import corpus_pipeline
@@ -70,3 +71,36 @@ def test_language_stage_drops_only_text_of_no_learnt_language(spark):
     docs = spark.createDataFrame(clean + [(i, t, None, s, n) for i, t, _, s, n in odd], "doc_id long, text string, lang string, source string, n_chars long")
     got = {r.doc_id for r in corpus_pipeline.language_stage(spark, docs, "nowhere").collect()}
     assert got == {r[0] for r in clean}
+
+
+def moves_of_text(df) -> list[int]:
+    """How many exchanges each scan of texts passes in the plan, the least first."""
+    above: list[tuple[int, str]] = []
+    found = []
+    for line in df._jdf.queryExecution().executedPlan().toString().splitlines():
+        depth = len(re.match(r"[\s:|+\-]*", line)[0])
+        above = [x for x in above if x[0] < depth]
+        above.append((depth, line))
+        if "Scan parquet" in line and re.search(r"[\[,]text#", line.split("Batched")[0]):
+            found.append(sum(" Exchange " in f" {x.lstrip(' :|+-')}" for _, x in above))
+    return sorted(found)
+
+
+def test_texts_move_no_more_when_tables_are_too_large_to_broadcast(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "-1")
+    try:
+        stages = dict(corpus_pipeline.STAGES)
+        got = {k: moves_of_text(stages[k](spark, docs, SF))[0] for k in ("near_duplicates", "repeats", "mixing")}
+    finally:
+        spark.conf.set(name, before)
+    assert got == {"near_duplicates": 0, "repeats": 0, "mixing": 2}  # of the tables that the first two keep
+
+
+def test_stages_pass_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "some words of one text", 7, 8, 9), (2, "other words, not the same", 10, 11, 12)], "doc_id long, text string, k1 long, `a b,c;d` int, `x.y` int").withColumn("source", corpus_pipeline.F.lit("s"))
+    for name in ("near_duplicates", "repeats"):
+        made = dict(corpus_pipeline.STAGES)[name](spark, docs, SF)
+        assert made.columns == docs.columns and sorted(made.collect()) == sorted(docs.collect())
