@@ -38,6 +38,12 @@ class Factors:
     n: int
 
 
+def apart(df: DataFrame) -> DataFrame:
+    """``df`` as a side of joins that aren't broadcast. Its files are small beside its rows, since ids, nodes and flags compress
+    well: under the threshold for a broadcast they would go through the driver whole, several times a depth."""
+    return df.hint("merge")
+
+
 def depth_for(n: int) -> int:
     depth = 0
     while n >> depth > LEAF:
@@ -59,9 +65,9 @@ def dissect(a: DataFrame, places: DataFrame, depth: int, axes: tuple[str, ...] =
         sided = nodes.join(cuts, "node", "left").withColumn("upper", (~F.col("fixed")) & (value > 0))
         sided = settle(sided.select("i", *axes, "node", "fixed", "upper"), "sides")
         end = lambda c, s: sided.where(~F.col("fixed")).select(F.col("i").alias(c), F.col("node").alias(f"{s}_node"), F.col("upper").alias(f"{s}_upper"))
-        crossing = links.join(end("i", "a").where("not a_upper"), "i").join(end("j", "b").where("b_upper"), "j").where("a_node = b_node").select("i").distinct().withColumn("cut", F.lit(True))
+        crossing = links.join(apart(end("i", "a").where("not a_upper")), "i").join(apart(end("j", "b").where("b_upper")), "j").where("a_node = b_node").select("i").distinct().withColumn("cut", F.lit(True))
         half = F.when(F.col("fixed") | F.col("cut"), F.col("node")).otherwise(F.col("node") * 2 + F.col("upper").cast("long"))
-        nodes = settle(sided.join(crossing, "i", "left").select("i", *axes, half.alias("node"), (F.col("fixed") | F.coalesce("cut", F.lit(False))).alias("fixed")), "nodes")
+        nodes = settle(sided.join(apart(crossing), "i", "left").select("i", *axes, half.alias("node"), (F.col("fixed") | F.coalesce("cut", F.lit(False))).alias("fixed")), "nodes")
     return nodes.select("i", "node")
 
 
@@ -96,7 +102,7 @@ def factorise(a: DataFrame, places: DataFrame, depth: int | None = None) -> Fact
     n = places.count()
     depth = depth_for(n) if depth is None else depth
     nodes = settle(dissect(a, places, depth), "dissection")
-    name = lambda k: nodes.select(F.col("i").alias(k), F.col("node").alias(f"n{k}"))
+    name = lambda k: apart(nodes.select(F.col("i").alias(k), F.col("node").alias(f"n{k}")))
     # an entry is held by the deeper of its rows' nodes; the two are one or stand above each other
     left = settle(a.join(name("i"), "i").join(name("j"), "j").select("i", "j", "v", F.greatest("ni", "nj").alias("node"), (F.col("ni") >= F.col("nj")).alias("row"), (F.col("nj") >= F.col("ni")).alias("col")), "entries")
     rows = nodes.select("node", F.col("i").alias("own"))
@@ -171,7 +177,7 @@ def solve(f: Factors, b: DataFrame) -> DataFrame:
     """(i, v): the solution for the right side ``b`` (i, v); rows that it lacks are zero."""
     kinds = "i long, v double, own boolean"
     known = None
-    right = f.nodes.join(b.select("i", "v"), "i", "left").select("i", "node", F.coalesce("v", F.lit(0.0)).alias("v"))
+    right = f.nodes.join(apart(b.select("i", "v")), "i", "left").select("i", "node", F.coalesce("v", F.lit(0.0)).alias("v"))
     top = len(f.fronts) - 1
     for k, front in enumerate(f.fronts):
         inside = F.col("node") >= 1 << (top - k)
@@ -180,15 +186,15 @@ def solve(f: Factors, b: DataFrame) -> DataFrame:
         known = done if known is None else known.unionByName(done)
         if k < top:
             taken = made.where("not own").groupBy("i").agg(F.sum("v").alias("off"))
-            right = right.where(~inside).join(taken, "i", "left").select("i", "node", (F.col("v") + F.coalesce("off", F.lit(0.0))).alias("v"))
+            right = right.where(~inside).join(apart(taken), "i", "left").select("i", "node", (F.col("v") + F.coalesce("off", F.lit(0.0))).alias("v"))
             right = settle(right, "right")
     z = known
     solved = None
     for front in reversed(f.fronts):
-        own = front.select("node", F.explode("own").alias("i")).join(z, "i")
+        own = front.select("node", F.explode("own").alias("i")).join(apart(z), "i")
         values = own
         if solved is not None:
-            values = own.unionByName(front.select("node", F.explode("met").alias("i")).join(solved, "i"))
+            values = own.unionByName(front.select("node", F.explode("met").alias("i")).join(apart(solved), "i"))
         values = settle(values, "values")  # a relation of its own beside the front
         made = front.groupBy("node").cogroup(values.groupBy("node")).applyInArrow(stepped(backward), kinds).select("i", "v")
         solved = settle(made if solved is None else solved.unionByName(made), "solution")

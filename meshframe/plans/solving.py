@@ -54,7 +54,7 @@ def plate(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     part = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("i"), "p_size")
     places = part.select("i", (F.col("i") % WIDTH).cast("double").alias("x"), F.floor(F.col("i") / WIDTH).cast("double").alias("y"), F.lit(0.0).alias("z"))
     ahead = F.array(*[F.when(F.col("i") % WIDTH < WIDTH - 1, F.col("i") + 1), F.col("i") + WIDTH])
-    pairs = part.select("i", "p_size", F.explode(ahead).alias("j")).join(part.select(F.col("i").alias("j"), F.col("p_size").alias("other")), "j")
+    pairs = part.select("i", "p_size", F.explode(ahead).alias("j")).join(factor.apart(part.select(F.col("i").alias("j"), F.col("p_size").alias("other"))), "j")
     springs = settle(pairs.select("i", "j", (1 + (F.col("p_size") + F.col("other")) / 100.0).alias("k")), "springs")
     each = F.array(*[F.struct(F.col(p).alias("i"), F.col(q).alias("j"), (s * F.col("k")).alias("v")) for p, q, s in (("i", "j", -1.0), ("j", "i", -1.0), ("i", "i", 1.0), ("j", "j", 1.0))])
     held = places.select("i", F.col("i").alias("j"), F.lit(1.0).alias("v"))
@@ -64,7 +64,7 @@ def plate(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 def factor_solution(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The plate solved by sparse factors for the right side whose solution is the ramp."""
     a, places = plate(spark, sf_dir)
-    return factor.solve(factor.factorise(a, places), sparse.spmv(a, ramp(spark, sf_dir))).select("i", r6("v"))
+    return factor.solve(factor.factorise(a, places), sparse.spmv(a, factor.apart(ramp(spark, sf_dir)))).select("i", r6("v"))
 
 
 def largest_eigenvalue(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -73,3 +73,20 @@ def test_twenty_thousand_rows(spark):
     solved = factor.solve(factor.factorise(a, places), b)
     off = solved.join(x.withColumnRenamed("v", "want"), "i").agg(F.max(F.abs(F.col("v") - F.col("want"))).alias("off"), F.count("*").alias("n")).first()
     assert off.n == m**3 and off.off < 1e-10
+
+
+def test_no_relation_of_the_rows_is_broadcast(spark, monkeypatch):
+    """Only cuts, one row a node, may go through the driver."""
+    seen = []
+    settle = factor.settle
+
+    def watched(df, label="step"):
+        made = settle(df, label)
+        seen.append((label, df._jdf.queryExecution().executedPlan().toString()))
+        return made
+
+    monkeypatch.setattr(factor, "settle", watched)
+    a, places = grid(spark, 6)
+    b = a.groupBy("i").agg(F.sum("v").alias("v"))
+    assert factor.solve(factor.factorise(a, places, 2), b).count() == 216
+    assert {x for x, plan in seen if "BroadcastHashJoin" in plan} <= {"sides"} and len(seen) > 15
