@@ -97,3 +97,29 @@ def test_tridiagonal():
     alpha, beta = rng.standard_normal(9), rng.standard_normal(8)
     want = np.linalg.eigvalsh(np.diag(alpha) + np.diag(beta, 1) + np.diag(beta, -1))[-1]  # 9 rows: one thread
     assert spectral.largest_of_tridiagonal(alpha.tolist(), beta.tolist()) == pytest.approx(want, abs=1e-12)
+
+
+def test_lanczos_steps_write_blocks_not_rows(spark, monkeypatch):
+    """A block of ids is one row of the vectors; blocks change no coefficient."""
+    a, places = grid(spark, 6)
+    whole = spectral.lanczos(a, places.select("i"), 4)
+    kept, rows = spectral.bucketed, []
+
+    def watched(df, key, label):
+        made = kept(df, key, label)
+        rows.append((label, made[0].count()))
+        return made
+
+    monkeypatch.setattr(spectral, "bucketed", watched)
+    monkeypatch.setattr(spectral, "BLOCK", 40, raising=False)
+    for odd, want in ((False, 6), (True, None)):  # ids close together, and one far away
+        b, r = a, places.select("i")
+        if odd:
+            far = lambda c: F.when(F.col(c) == 215, 1 << 40).otherwise(F.col(c)).alias(c)
+            b, r = a.select(far("i"), far("j"), "v"), r.select(far("i"))
+        rows.clear()
+        got = spectral.lanczos(b, r, 4)
+        assert all(n <= 40 for label, n in rows if label == "lanczos") and rows
+        if want:
+            assert {n for label, n in rows if label == "lanczos"} == {want}
+            assert np.allclose(got[0], whole[0], atol=1e-12) and np.allclose(got[1], whole[1], atol=1e-12)
