@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,8 +13,8 @@ from meshframe.functions import geometry as G
 from meshframe.operators.prolong import met
 from meshframe.storage import settle
 
-#: Blocks of either side of a product at least, the entries of a side that a cell holds, and products at one time.
-GRID, CELL, STEP = 4, 16_000_000, 4_000_000
+#: Blocks of rows of a product at least, the entries that a block has, products at one time, and entries of columns taken at once.
+GRID, CELL, STEP, TAKEN = 16, 2_000_000, 2_000_000, 100_000
 
 
 def reduce_entries(entries: DataFrame) -> DataFrame:
@@ -45,53 +46,97 @@ def spmm_in_blocks(a: DataFrame, b: DataFrame) -> DataFrame:
 def product_row_sums(a: DataFrame, b: DataFrame) -> DataFrame:
     """(i, n_entries, sum_squares): the entries of each row of a b and the sum of their squares, without moving a product.
 
-    Rows of ``a`` and columns of ``b`` are dealt into a grid of blocks, and each cell multiplies its rows by its columns. A cell
-    has all terms of its entries, so that only a count and a sum of each row leave it. What moves are both matrices, once for
-    each block of the other side. A side has GRID blocks, or as many as leave about CELL entries in one."""
-    n = max(a.count(), b.count())
-    side = max(GRID, -(-n // CELL))
-    block = lambda c: F.pmod(F.xxhash64(c), F.lit(side)).cast("int")
-    each = F.explode(F.sequence(F.lit(0), F.lit(side - 1)))
-    listed = lambda m, key, other: m.groupBy(key).agg(F.collect_list(F.struct(other, "v")).alias("e")).select(F.col(key).alias("at"), F.col(f"e.{other}").alias("k"), F.col("e.v").alias("v"))
-    cell = (F.col("p") * side + F.col("q")).alias("cell")
-    left = listed(a, "i", "j").select("*", block("at").alias("p"), each.alias("q")).select(cell, "at", "k", "v")
-    right = listed(b, "j", "i").select("*", block("at").alias("q"), each.alias("p")).select(cell, "at", "k", "v")
-    made = left.groupBy("cell").cogroup(right.groupBy("cell")).applyInArrow(multiplied, "i long, n_entries long, sum_squares double")
-    return made.groupBy("i").agg(F.sum("n_entries").alias("n_entries"), F.sum("sum_squares").alias("sum_squares"))
-
-
-def multiplied(left: pa.Table, right: pa.Table) -> pa.Table:
-    """A cell's rows (at, k, v) times its columns (at, k, v), some STEP products at a time."""
-    rows, columns = left.combine_chunks(), right.combine_chunks()
-    lists = lambda t: (t["at"].to_numpy(), pc.list_value_length(t["k"]).to_numpy(), pc.list_flatten(t["k"]).to_numpy(), pc.list_flatten(t["v"]).to_numpy())
-    at, size, k, v = lists(rows)
-    top, width, inner, w = lists(columns)
-    order = np.argsort(inner, kind="stable")
-    inner, w, place = inner[order], w[order], np.repeat(np.arange(len(top)), width)[order]
-    first = np.searchsorted(inner, k, "left")
-    many = np.searchsorted(inner, k, "right") - first
-    ends = np.concatenate([[0], np.cumsum(size)])
-    load = np.concatenate([[0], np.cumsum(many)])[ends]  # products before each row
-    counts, squares = np.zeros(len(at), np.int64), np.zeros(len(at))
-    low = 0
-    while low < len(at):
-        high = max(low + 1, int(np.searchsorted(load, load[low] + STEP, "right")) - 1)
-        part = slice(ends[low], ends[high])
-        times = many[part]
-        total = int(times.sum())
-        if total:
-            hit = np.repeat(first[part] - np.concatenate([[0], np.cumsum(times)[:-1]]), times) + np.arange(total)
-            row = np.repeat(np.repeat(np.arange(high - low), size[low:high]), times)
-            key = row * len(top) + place[hit]
-            turn = np.argsort(key, kind="stable")
-            key, term = key[turn], (np.repeat(v[part], times) * w[hit])[turn]
-            starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            sums, own = np.add.reduceat(term, starts), key[starts] // len(top)
-            counts[low:high] = np.bincount(own, minlength=high - low)
-            squares[low:high] = np.bincount(own, sums * sums, minlength=high - low)
-        low = high
-    some = counts > 0
-    return pa.table({"i": at[some], "n_entries": counts[some], "sum_squares": squares[some]})
+    ``a`` is cut into blocks of neighbouring rows of about CELL entries, GRID at least. To each block go the rows of ``b``
+    that its entries name, and no others; a task holds a block's entries and takes the columns of ``b`` one after the other as
+    they stream by. It has all terms of its rows, so that only a count and a sum of each row leave it. ``b`` moves once for
+    each block that needs a row: about once where ids lie near those of their neighbours, never more often than the
+    products are or the blocks."""
+    blocks = max(GRID, -(-a.count() // CELL))
+    dealt = settle(a.select("i", "j", "v").repartitionByRange(blocks, "i").withColumn("p", F.spark_partition_id()), "rows")
+    needed = dealt.select("p", F.col("j").alias("i")).distinct()
+    rows = dealt.select("p", F.lit(None).cast("long").alias("at"), F.col("j").alias("k"), "v", "i")
+    columns = b.select("i", "j", "v").join(needed, "i").select("p", F.col("j").alias("at"), F.col("i").alias("k"), "v", F.lit(None).cast("long").alias("i"))
+    both = rows.unionByName(columns).repartitionById(blocks, F.col("p")).sortWithinPartitions("at")  # one long to sort by: the block's rows, then columns
+    made = both.select("at", "k", "v", "i").mapInArrow(row_sums_of_block, "i long, n_entries long, sum_squares double")
+    return made.where("n_entries > 0")
+
+
+class Rows:
+    """The rows (at, k, v) of a block, in the order of their inner index, and what has been added up for each."""
+
+    def __init__(self, at: np.ndarray, k: np.ndarray, v: np.ndarray):
+        self.top, own = np.unique(at, return_inverse=True)
+        order = np.argsort(k, kind="stable")
+        self.k, self.v, self.own = k[order], v[order], own[order]
+        self.counts, self.squares = np.zeros(len(self.top), np.int64), np.zeros(len(self.top))
+
+    def take(self, at: np.ndarray, k: np.ndarray, w: np.ndarray) -> None:
+        """Multiply whole columns (at, k, w), which stand side by side, some STEP products at a time."""
+        first = np.searchsorted(self.k, k, "left")
+        many = np.searchsorted(self.k, k, "right") - first
+        ends = np.concatenate([[0], np.flatnonzero(at[1:] != at[:-1]) + 1, [len(at)]])
+        before = np.concatenate([[0], np.cumsum(many)])
+        load = before[ends]
+        low = 0
+        while low < len(ends) - 1:
+            high = max(low + 1, int(np.searchsorted(load, load[low] + STEP, "right")) - 1)
+            if load[high] - load[low] > STEP:
+                self.take_long(first, many, w, before, ends[low], ends[high])
+            elif load[high] > load[low]:
+                part = slice(ends[low], ends[high])
+                row, term = self.terms(first[part], many[part], w[part])
+                column = np.repeat(np.arange(high - low), load[low + 1 : high + 1] - load[low:high])
+                self.add(column * len(self.top) + row, term)
+            low = high
+
+    def terms(self, first: np.ndarray, many: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        hit = np.repeat(first - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(int(many.sum()))
+        return self.own[hit], self.v[hit] * np.repeat(w, many)
+
+    def add(self, key: np.ndarray, term: np.ndarray) -> None:
+        turn = np.argsort(key)
+        key = key[turn]
+        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        sums, own = np.add.reduceat(term[turn], starts), key[starts] % len(self.top)
+        self.counts += np.bincount(own, minlength=len(self.top))
+        self.squares += np.bincount(own, sums * sums, minlength=len(self.top))
+
+    def take_long(self, first: np.ndarray, many: np.ndarray, w: np.ndarray, before: np.ndarray, low: int, high: int) -> None:
+        """One column of more than STEP products: a sum for every row, over parts of the column."""
+        sums, seen = np.zeros(len(self.top)), np.zeros(len(self.top), bool)
+        while low < high:
+            to = min(high, max(low + 1, int(np.searchsorted(before, before[low] + STEP, "right")) - 1))
+            row, term = self.terms(first[low:to], many[low:to], w[low:to])
+            sums += np.bincount(row, term, minlength=len(self.top))
+            seen[row] = True
+            low = to
+        self.counts += seen
+        self.squares += np.where(seen, sums * sums, 0.0)
+
+
+def row_sums_of_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Entries (at, k, v, i): those of a block's rows i, whose ``at`` is null, then those of the columns ``at`` that it is
+    multiplied by, ascending. The last column of what has come is kept back until it is known to be whole."""
+    held, kept, n, rows = [], [], 0, None
+    joined = lambda parts: tuple(np.concatenate([c.to_numpy(zero_copy_only=False) for c in x]) for x in zip(*parts, strict=True))
+    for batch in batches:
+        own = batch["at"].null_count
+        if own:
+            held.append((batch["i"][:own], batch["k"][:own], batch["v"][:own]))
+        if own == len(batch):
+            continue
+        if rows is None:
+            rows, held = Rows(*joined(held)), []
+        kept.append((batch["at"][own:], batch["k"][own:], batch["v"][own:]))
+        n += len(batch) - own
+        if n >= TAKEN and kept[0][0][0] != batch["at"][-1]:
+            at, k, w = joined(kept)
+            last = int(np.searchsorted(at, at[-1], "left"))
+            rows.take(at[:last], k[:last], w[:last])
+            kept, n = [tuple(pa.array(x[last:]) for x in (at, k, w))], len(at) - last
+    if rows is not None:
+        rows.take(*joined(kept))
+        yield pa.RecordBatch.from_pydict({"i": rows.top, "n_entries": rows.counts, "sum_squares": rows.squares})
 
 
 def galerkin(a: DataFrame, p: DataFrame) -> DataFrame:

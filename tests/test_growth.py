@@ -1,6 +1,11 @@
 """What grows faster than the tables, or stands still where it should grow: plans and files of single steps."""
 
-from meshframe.operators import exterior, sampling, topology
+import tracemalloc
+
+import numpy as np
+import pyarrow as pa
+
+from meshframe.operators import exterior, sampling, sparse, topology
 from meshframe.plans import catalog, levels
 from meshframe.sources import orders
 from tests.conftest import SF
@@ -58,3 +63,34 @@ def test_graph_steps_lower_the_size_of_merged_partitions(spark):
         assert spark.conf.get(name) == "40MB"  # a chosen size stays
     finally:
         spark.conf.set(name, before)
+
+
+def streamed(own, columns):
+    """Batches of a block's entries (i, k, v) and of columns (at, k, v), as a task gets them."""
+    yield pa.RecordBatch.from_pydict({"at": pa.nulls(len(own[0]), pa.int64()), "k": own[1], "v": own[2], "i": own[0]})
+    for low in range(0, len(columns[0]), 1000):
+        at, k, v = (x[low : low + 1000] for x in columns)
+        yield pa.RecordBatch.from_pydict({"at": at, "k": k, "v": v, "i": pa.nulls(len(at), pa.int64())})
+
+
+def test_a_block_of_a_product_holds_few_of_the_columns_that_it_meets(monkeypatch):
+    rng = np.random.default_rng(8)
+    own = [np.repeat(np.arange(40), 10), rng.integers(0, 300, 400), rng.integers(-2, 3, 400).astype(float)]
+    left = np.zeros((40, 300))
+    np.add.at(left, (own[0], own[1]), own[2])
+    columns = [np.repeat(np.arange(100), 300), np.tile(np.arange(300), 100), rng.integers(-2, 3, 30_000).astype(float)]
+    want = left @ columns[2].reshape(100, 300).T
+    for step, taken in ((2_000_000, 100_000), (50, 10), (1500, 1), (10**6, 700)):
+        monkeypatch.setattr(sparse, "STEP", step)
+        monkeypatch.setattr(sparse, "TAKEN", taken)
+        made = pa.Table.from_batches(sparse.row_sums_of_block(streamed(own, columns)))
+        assert made["i"].to_pylist() == list(range(40)) and set(made["n_entries"].to_pylist()) == {100}
+        assert np.allclose(made["sum_squares"].to_numpy(), (want**2).sum(axis=1))
+    monkeypatch.undo()
+    long = [np.repeat(np.arange(3000), 300), np.tile(np.arange(300), 3000), np.ones(900_000)]
+    tracemalloc.start()
+    try:
+        assert next(sparse.row_sums_of_block(streamed(own, long))).num_rows == 40
+        assert tracemalloc.get_traced_memory()[1] < 45 << 20  # nothing that grows with the columns
+    finally:
+        tracemalloc.stop()
