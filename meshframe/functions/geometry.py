@@ -160,8 +160,13 @@ def edge_weight(p: Column, a: Column, b: Column) -> Column:
     return F.when(square > 1e-20, clamp(F.try_divide(dot(sub(p, a), e), square), 0.0, 1.0)).otherwise(F.lit(0.0))
 
 
+def edge_offset(p: Column, a: Column, b: Column) -> Vec:
+    """From the point of edge a-b nearest to p, to p."""
+    return sub(sub(p, a), scale(sub(b, a), edge_weight(p, a, b)))
+
+
 def edge_distance(p: Column, a: Column, b: Column) -> Column:
-    return norm(sub(sub(p, a), scale(sub(b, a), edge_weight(p, a, b))))
+    return norm(edge_offset(p, a, b))
 
 
 def triangle_frames(df: DataFrame, corners: list[str]) -> DataFrame:

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from meshframe.functions import geometry as G
 from meshframe.storage import settle
@@ -13,6 +17,14 @@ TINY = 1e-12
 BLOCK = 1_024
 
 
+@F.arrow_udf(returnType=DoubleType())
+def length_by_pow(x: pa.Array, y: pa.Array, z: pa.Array) -> pa.Array:
+    """The root of the sum of the coordinates' squares by the C library's pow, which isn't always the rounded square. It
+    decides between edges at one distance as C and SQL do; the JVM's pow(x, 2) is x * x."""
+    rows = zip(x.to_pylist(), y.to_pylist(), z.to_pylist(), strict=True)
+    return pa.array([None if None in r else math.sqrt(math.pow(r[0], 2.0) + math.pow(r[1], 2.0) + math.pow(r[2], 2.0)) for r in rows], pa.float64())
+
+
 def placed(df: DataFrame, points: DataFrame, keys: list[str]) -> DataFrame:
     """``df`` with positions q_<key> from points (id, q)."""
     for k in keys:
@@ -91,9 +103,10 @@ def interpolation(vertices: DataFrame, samples: DataFrame, clusters: DataFrame,
     rest = rest.join(found4.select("f"), "f", "left_anti")
     outside = tried.where("height is null").join(found4.select("f"), "f", "left_anti")
     p, q = F.col("p"), {k: F.col(f"q_{k}") for k in ("c", "r1", "r2")}
-    sides = F.array(*[F.struct(F.col(k).alias("to"), G.edge_distance(p, q[a], q[b]).alias("away")) for k, a, b in (("r2", "c", "r1"), ("c", "r1", "r2"), ("r1", "r2", "c"))])
+    sides = F.array(*[F.struct(F.col(k).alias("to"), G.edge_offset(p, q[a], q[b]).alias("off")) for k, a, b in (("r2", "c", "r1"), ("c", "r1", "r2"), ("r1", "r2", "c"))])
     recorded = outside.select("f", "c", "p", F.struct("o_a", "o_b", "o_c").alias("turn"), F.inline(sides))
-    last = recorded.groupBy("f", "c", "p", "to").agg(F.max_by("away", "turn").alias("away"))  # later triangles overwrite
+    last = recorded.groupBy("f", "c", "p", "to").agg(F.max_by("off", "turn").alias("off"))  # later triangles overwrite
+    last = last.withColumn("away", length_by_pow("off.x", "off.y", "off.z"))
     if corrected:
         last = last.where("to <> c")
     found5 = settle(best(last, ["away", "to"], ["c", "p", "to"]), "case5")
