@@ -8,7 +8,7 @@ again replaces itself. Then ``matrix`` is assembled from the counts of all batch
     python -m jobs.word_graph --documents /data/sf0.1 --output /data/words --config jobs/word_graph.json
 
 ``documents`` is the folder of the files, or of folders of such files as Spark writes them (those named *.parquet with
-``pattern`` in front count), ``output`` gets the folders counts, matrix, mark and checkpoint. Settings: ``buckets``, the partitions of the matrix; ``files_per_batch``;
+``pattern`` in front count), ``output`` gets the folders counts, matrix, mark, checkpoint and work, which is empty after a run. Settings: ``buckets``, the partitions of the matrix; ``files_per_batch``;
 ``pattern``. A null text has no words; a word beside itself makes no edge; documents count as often as they stand in
 the files.
 
@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from jobs.common import LOG, command, settings
 from meshframe.operators import sparse
+from meshframe.storage import swept
 
 DEFAULTS = {"buckets": 16, "files_per_batch": 64, "pattern": "documents"}
 COUNTS = "i string, j string, v long, batch long"
@@ -40,10 +41,8 @@ def pairs(documents: DataFrame) -> DataFrame:
     return sparse.reduce_entries(both)
 
 
-def normalised(counts: DataFrame, buckets: int) -> DataFrame:
-    """The matrix of counts (i, j, v) of any number of batches."""
-    upper = sparse.reduce_entries(counts)
-    sums = sparse.row_sums(upper.unionByName(sparse.transpose(upper)))
+def normalised(upper: DataFrame, sums: DataFrame, buckets: int) -> DataFrame:
+    """The matrix of counts (i, j, v), each entry once, and of the words' sums (i, total)."""
     side = lambda k, name: sums.select(F.col("i").alias(k), F.col("total").alias(name))
     both = upper.join(side("i", "s_i"), "i").join(side("j", "s_j"), "j")
     scale = F.sqrt(F.col("s_i").cast("double")) * F.sqrt(F.col("s_j").cast("double"))
@@ -60,12 +59,18 @@ def read(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
         return None
 
 
+def kept(df: DataFrame, path: str) -> DataFrame:
+    """``df`` written in place of what stands at ``path``, and read back."""
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def run(spark: SparkSession, documents: str, output: str, buckets: int = DEFAULTS["buckets"], files_per_batch: int = DEFAULTS["files_per_batch"], pattern: str = DEFAULTS["pattern"]) -> DataFrame:
     """Take the new files of ``documents``, wait until they are done, and return the whole matrix."""
     stream = spark.readStream.schema("text string").option("pathGlobFilter", "*.parquet").option("maxFilesPerTrigger", files_per_batch).parquet(f"{documents}/{pattern}*.parquet")
 
     def take(batch: DataFrame, number: int) -> None:
-        with settings(batch.sparkSession, spark__sql__sources__partitionOverwriteMode="dynamic"):
+        with settings(batch.sparkSession, spark__sql__sources__partitionOverwriteMode="dynamic"), swept(batch.sparkSession):
             pairs(batch).withColumn("batch", F.lit(number).cast("long")).write.mode("overwrite").partitionBy("batch").parquet(f"{output}/counts")
         LOG.info("word_graph counted batch %s", number)
 
@@ -88,8 +93,12 @@ def assemble(spark: SparkSession, output: str, buckets: int) -> None:
     if mark is not None and [tuple(r) for r in mark.select("batch", "buckets").collect()] == [now]:
         return
     counts = spark.createDataFrame([], COUNTS) if counts is None else counts
-    with settings(spark, spark__sql__sources__partitionOverwriteMode="static"):
-        normalised(counts.select("i", "j", "v"), buckets).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{output}/matrix")
+    with settings(spark, spark__sql__sources__partitionOverwriteMode="static"), swept(spark):
+        upper = kept(sparse.reduce_entries(counts.select("i", "j", "v")), f"{output}/work/entries")
+        sums = kept(sparse.row_sums(upper.unionByName(sparse.transpose(upper))), f"{output}/work/sums")
+        normalised(upper, sums, buckets).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{output}/matrix")
+        for part, name in ((upper, "entries"), (sums, "sums")):
+            kept(spark.createDataFrame([], part.schema), f"{output}/work/{name}")  # emptied
         spark.createDataFrame([now], MARK).write.mode("overwrite").parquet(f"{output}/mark")
 
 

@@ -1,13 +1,18 @@
 """What grows faster than the tables, or stands still where it should grow: plans and files of single steps."""
 
+import glob
+import time
 import tracemalloc
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
+from jobs import word_graph
 from meshframe.operators import exterior, sampling, sparse, topology
 from meshframe.plans import catalog, levels
 from meshframe.sources import orders
+from meshframe.storage import CLEANUP, bucketed, settle
 from tests.conftest import SF
 
 
@@ -94,3 +99,36 @@ def test_a_block_of_a_product_holds_few_of_the_columns_that_it_meets(monkeypatch
         assert tracemalloc.get_traced_memory()[1] < 45 << 20  # nothing that grows with the columns
     finally:
         tracemalloc.stop()
+
+
+def shuffles(spark):
+    """Shuffle files in the folders of this process."""
+    folders = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    return {f for d in folders for f in glob.glob(f"{d}/**/shuffle_*.data", recursive=True)}
+
+
+def left_by(spark, step):
+    before, flag = shuffles(spark), spark.conf.get(CLEANUP, None)
+    step()
+    for _ in range(50):  # files are removed in the background
+        if not (left := shuffles(spark) - before):
+            break
+        time.sleep(0.1)
+    assert spark.conf.get(CLEANUP, None) == flag
+    return left
+
+
+def test_what_is_written_leaves_no_shuffle_files(spark, tmp_path):
+    counted = spark.range(5000).groupBy((F.col("id") % 70).alias("k")).count()
+    documents = tmp_path / "in"
+    spark.createDataFrame([("a b c a b",), ("b c d",)], "text string").write.parquet(str(documents / "documents.parquet"))
+    spark.conf.set(CLEANUP, "false")
+    try:
+        assert left_by(spark, lambda: counted.write.parquet(str(tmp_path / "plain")))
+        assert not left_by(spark, lambda: settle(counted)) and not left_by(spark, lambda: bucketed(counted, "k"))
+        made = []
+        left = left_by(spark, lambda: made.append(word_graph.run(spark, str(documents), str(tmp_path / "out"))))
+        assert len({f.split("/shuffle_")[1].split("_")[0] for f in left}) <= 2 and made[0].count() == 5  # of a maximum and of a count
+    finally:
+        spark.conf.unset(CLEANUP)
+    assert not [f for f in glob.glob(str(tmp_path / "out/work/*/*.parquet")) if spark.read.parquet(f).count()]
