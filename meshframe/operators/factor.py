@@ -18,13 +18,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, GroupedData
 from pyspark.sql import functions as F
 
 from meshframe.storage import settle
 
 #: Rows that a leaf is aimed at, rows that a front may have at most, and the least pivot.
 LEAF, FRONT, EPSILON = 384, 12_000, 1e-13
+#: Fronts of one file of factors: readers take rows by the thousand, whatever their arrays hold.
+TOGETHER = 32
 FACTORS = "node long, own array<long>, met array<long>, d array<double>, low array<double>"
 
 
@@ -44,6 +46,13 @@ def apart(df: DataFrame) -> DataFrame:
     return df.hint("merge")
 
 
+def side_by_side(df: DataFrame, depth: int) -> GroupedData:
+    """``df`` by node, over partitions of about TOGETHER of the nodes at ``depth``. Their number is set, since shuffles of a front's
+    rows or entries are small beside what it makes of them and would be merged."""
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(1 << depth) // TOGETHER)) if depth else 1
+    return df.repartition(min(parts, 1 << depth), "node").groupBy("node")
+
+
 def depth_for(n: int) -> int:
     depth = 0
     while n >> depth > LEAF:
@@ -110,7 +119,7 @@ def factorise(a: DataFrame, places: DataFrame, depth: int | None = None) -> Fact
     for k in range(depth, -1, -1):
         inside = (F.col("node") >= 1 << k) & (F.col("node") < 1 << (k + 1))
         held = left.where(inside).groupBy("node", "i", "j", "row", "col").agg(F.sum("v").alias("v"))
-        made = settle(rows.where(inside).groupBy("node").cogroup(held.groupBy("node")).applyInArrow(front_of, FACTORS + ", ui array<long>, uj array<long>, uv array<double>"), "front")
+        made = settle(side_by_side(rows.where(inside), k).cogroup(side_by_side(held, k)).applyInArrow(front_of, FACTORS + ", ui array<long>, uj array<long>, uv array<double>"), "front")
         fronts.append(made.drop("ui", "uj", "uv"))
         if k:
             updates = made.select(F.inline(F.arrays_zip(F.col("ui").alias("i"), F.col("uj").alias("j"), F.col("uv").alias("v"))))
@@ -181,7 +190,7 @@ def solve(f: Factors, b: DataFrame) -> DataFrame:
     top = len(f.fronts) - 1
     for k, front in enumerate(f.fronts):
         inside = F.col("node") >= 1 << (top - k)
-        made = settle(front.groupBy("node").cogroup(right.where(inside).groupBy("node")).applyInArrow(stepped(forward), kinds), "forward")
+        made = settle(side_by_side(front, top - k).cogroup(side_by_side(right.where(inside), top - k)).applyInArrow(stepped(forward), kinds), "forward")
         done = made.where("own").select("i", "v")
         known = done if known is None else known.unionByName(done)
         if k < top:
@@ -190,12 +199,12 @@ def solve(f: Factors, b: DataFrame) -> DataFrame:
             right = settle(right, "right")
     z = known
     solved = None
-    for front in reversed(f.fronts):
+    for k, front in enumerate(reversed(f.fronts)):
         own = front.select("node", F.explode("own").alias("i")).join(apart(z), "i")
         values = own
         if solved is not None:
             values = own.unionByName(front.select("node", F.explode("met").alias("i")).join(apart(solved), "i"))
         values = settle(values, "values")  # a relation of its own beside the front
-        made = front.groupBy("node").cogroup(values.groupBy("node")).applyInArrow(stepped(backward), kinds).select("i", "v")
+        made = side_by_side(front, k).cogroup(side_by_side(values, k)).applyInArrow(stepped(backward), kinds).select("i", "v")
         solved = settle(made if solved is None else solved.unionByName(made), "solution")
     return solved

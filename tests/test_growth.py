@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from jobs import word_graph
-from meshframe.operators import exterior, sampling, sparse, topology
+from meshframe.operators import exterior, factor, sampling, sparse, topology
 from meshframe.plans import catalog, levels
 from meshframe.sources import orders
 from meshframe.storage import CLEANUP, bucketed, settle
@@ -139,3 +139,16 @@ def test_third_corners_at_some_edges(spark):
     some = spark.createDataFrame([(1, 2), (2, 3), (8, 9)], "a long, b long")
     assert sorted(map(tuple, exterior.opposite(tris, "ks", some).collect())) == [(1, 2, [3, 4]), (2, 3, [1, 4])]
     assert exterior.opposite(tris, "ks").count() == 6
+
+
+def test_few_fronts_share_a_file(spark, monkeypatch):
+    monkeypatch.setattr(factor, "TOGETHER", 4)
+    n = 24
+    places = spark.range(n * n).select(F.col("id").alias("i"), (F.col("id") % n).cast("double").alias("x"), F.floor(F.col("id") / n).cast("double").alias("y"), F.lit(0.0).alias("z"))
+    links = [(i, j) for i in range(n * n) for j in ([i + 1] if i % n < n - 1 else []) + ([i + n] if i + n < n * n else [])]
+    a = spark.createDataFrame([(i, j, -1.0) for p in links for i, j in (p, p[::-1])] + [(i, i, 5.0) for i in range(n * n)], "i long, j long, v double")
+    made = factor.factorise(a, places, 5)
+    held = [r["count"] for r in made.fronts[0].groupBy(F.input_file_name()).count().collect()]
+    assert sum(held) == 32 and len(held) > 4 and max(held) < 12  # shuffles of 4 partitions would leave 4 files at most
+    x = factor.solve(made, sparse.spmv(a, places.select("i", F.col("x").alias("v")))).collect()
+    assert len(x) == n * n and all(abs(r.v - r.i % n) < 1e-9 for r in x)
